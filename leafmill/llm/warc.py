@@ -280,12 +280,12 @@ def load(spark, path: str, payload: bool = True) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, read back from archives in the shared folder.
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, read back from gzip archives in the shared folder.
 
     A response's size and digest are those of the payload that was read; a revisit has them in its headers."""
     spark = pages.sparkSession
     path = common.shared_path(spark, "warc")
-    archive(pages, path)
+    archive(pages, path, "gzip")
     back = load(spark, path)
     number = lambda c: F.regexp_extract(c, "^<urn:page:(-?\\d+)>$", 1).try_cast("long")
     is_response = F.col("record_type") == "response"
