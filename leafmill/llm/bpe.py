@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 
 from pyspark.sql import DataFrame
 
@@ -21,8 +22,8 @@ from .common import worker_cache
 
 #: White space as the Unicode property has it (Python's own \s has four control characters more).
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-MAX_STATES = 100_000
-MAX_PIECES = 300_000
+#: Bounds of what a worker remembers: states, pieces, pairs of tokens.
+MAX_STATES, MAX_PIECES, MAX_PAIRS = 300_000, 500_000, 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -50,36 +51,68 @@ def merge(ranks: dict[bytes, int], piece: bytes, stop: int = 1) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+class Remembered(dict):
+    """A bounded memory of two generations: a full one becomes the older, and what is met again moves to the younger."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most // 2, {}
+
+    def recall(self, key):
+        """The value of a key that isn't in the younger generation, or None."""
+        value = self.older.get(key)
+        if value is not None:
+            self[key] = value
+        return value
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+
+
 class Transducer:
-    """Encodes pieces of bytes; states and transitions are made when first needed and dropped when too many."""
+    """Encodes pieces of bytes; states and transitions are made when first needed and dropped when too many.
+
+    Tokens lie in a trie, whose nodes are numbered; `child` leads from (node, byte) to a node, `token_at` has a node's token."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.tokens = ranks, {v: k for k, v in ranks.items()}
-        self.prefixes = {k[:i] for k in ranks for i in range(1, len(k) + 1)}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.child: dict[int, int] = {}
+        self.token_at = [-1]
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                key = node << 8 | byte
+                node = self.child.get(key) or self.child.setdefault(key, len(self.token_at))
+                if node == len(self.token_at):
+                    self.token_at.append(-1)
+            self.token_at[node] = rank
+        self.pairs: dict[int, bool] = {}
         self.split: dict[int, tuple[int, int] | None] = {}
         self.edges: dict[tuple[int, int], list[tuple[bytes, int, int]]] = {}
         self.reset()
 
     def reset(self) -> None:
         self.states: dict[tuple, dict] = {}
-        self.start = self.state(((-1, b"", ()),))
+        self.start = self.state(((-1, 0, ()),))
 
     def state(self, threads: tuple) -> dict:
-        """The row of a state: byte -> (row, tokens out); under -1 the tokens that end the piece here."""
+        """The row of a state: byte -> (row, tokens out); under -1 the tokens that end the piece here. The last thread
+        is the one that has just closed a token."""
         row = self.states.get(threads)
         if row is None:
-            row = self.states[threads] = {-1: next(p for _, at, p in threads if not at), -2: threads}
+            row = self.states[threads] = {-1: threads[-1][2], -2: threads}
         return row
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the two tokens are the encoding of their joined bytes."""
-        if left < 0:
-            return True
-        key = (left, right)
+        key = left << 32 | right
         found = self.pairs.get(key)
         if found is None:
-            found = self.pairs[key] = not self.crosses(left, right)
+            if len(self.pairs) > MAX_PAIRS:
+                self.pairs.clear()
+            found = self.pairs[key] = left < 0 or not self.crosses(left, right)
         return found
 
     def halves(self, token: int) -> tuple[int, int] | None:
@@ -117,21 +150,26 @@ class Transducer:
 
     def step(self, row: dict, byte: int) -> tuple[dict, tuple]:
         threads, closed = [], None
-        for last, at, pending in row[-2]:
-            grown = at + bytes((byte,))
-            if grown not in self.prefixes:
-                continue
-            threads.append((last, grown, pending))
-            token = self.ranks.get(grown)
-            if token is not None and closed is None and self.fits(last, token):
-                closed = (token, b"", (*pending, token))
+        child, token_at = self.child, self.token_at
+        for last, node, pending in row[-2]:
+            to = child.get(node << 8 | byte)
+            if to is not None:
+                threads.append((last, to, pending))
+                token = token_at[to]
+                if token >= 0 and closed is None and self.fits(last, token):
+                    closed = (token, 0, (*pending, token))
+        first = threads[0][2] if threads else closed[2]
         threads.append(closed)
-        shared = 0
-        first = threads[0][2]
-        while all(len(p) > shared and p[shared] == first[shared] for _, _, p in threads) and len(first) > shared:
-            shared += 1
-        to = self.state(tuple((last, at, p[shared:]) for last, at, p in threads))
-        row[byte] = made = (to, first[:shared])
+        shared = len(first)
+        if shared:  # what all live threads agree on goes out
+            for _, _, p in threads:
+                if p[:shared] != first[:shared]:
+                    shared = next(k for k in range(shared) if k >= len(p) or p[k] != first[k])
+                    if not shared:
+                        break
+        if shared:
+            threads = [(last, node, p[shared:]) for last, node, p in threads]
+        row[byte] = made = (self.state(tuple(threads)), first[:shared])
         return made
 
     def encode(self, piece: bytes) -> list[int]:
@@ -152,25 +190,21 @@ class Encoder:
 
     def __init__(self, ranks_path: str, pattern: str):
         self.transducer, self.find = Transducer(load_ranks(ranks_path)), splitter(pattern).findall
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(MAX_PIECES)
         self.bytes_of = [self.transducer.tokens.get(i, b"") for i in range(max(self.transducer.tokens) + 1)]
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.transducer.encode(piece.encode())
-        return b"".join(i.to_bytes(4, "little") for i in ids)
-
     def encode_bytes(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        pieces = self.find(text)
-        known = self.known
-        if len(known) > MAX_PIECES:
-            known.clear()
+        pieces, known = self.find(text), self.known
+        known.turn()
         try:
             return b"".join([known[p] for p in pieces])
         except KeyError:
+            encode, pack = self.transducer.encode, struct.pack
             for p in pieces:
-                if p not in known:
-                    known[p] = self.__missing__(p)
+                if p not in known and known.recall(p) is None:
+                    ids = encode(p.encode())
+                    known[p] = pack(f"<{len(ids)}I", *ids)
             return b"".join([known[p] for p in pieces])
 
     def decode(self, ids: bytes, chunk: int = 65536):

@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 
 from .common import materialize, worker_cache
 
+
 def byte_of_char() -> dict[str, int]:
     """How byte-level vocabularies spell bytes: printable Latin-1 characters stand for themselves, the others, in order, for the
     characters from U+0100 on."""
