@@ -11,8 +11,9 @@ The steps:
 2. Representatives' signatures in BANDS bands of ROWS places. Two sets of similarity s share no band with probability
    (1 - s**ROWS)**BANDS: under 1e-5 at 0.8.
 3. In each band bucket every member is paired with the bucket's smallest id. Pairs are verified on the full shingle sets, and
-   components of the verified links are grouped. Only where a bucket still holds several components are its members
-   paired across components, and verified; so no link that joins components is lost and no group is expanded into all its pairs.
+   components of the verified links are grouped. Where a bucket still holds several components, members outside its largest
+   are compared with the bucket's others in blocks, and new links regroup; so no link that joins components is lost, and
+   no group is expanded into all its pairs.
 
 Defined results: null, empty and blank texts have no shingles and stand alone; a text with fewer words than a shingle has its
 whole word sequence as its one shingle; repeated texts form one class; rows that repeat an id form one row of the
@@ -32,6 +33,8 @@ PLACES = BANDS * ROWS
 MAX_WORDS = 400_000
 #: Elements whose permutations are in memory at once.
 BLOCK = 1 << 15
+#: Pairs a row up to which a group's strays are paired one by one; beyond, blocks of rows meet, by so many shingles at a time.
+FEW, BLOCK_ROWS, COLUMNS = 16, 128, 1 << 16
 
 
 class WordHashes:
@@ -203,6 +206,55 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return both.mapInArrow(run, "a long, b long, linked boolean")
 
 
+def _verified_blocks(near: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between components in the groups of near (main, id, comp, all, strays), strays against all of the group.
+
+    Both sides are dealt into blocks of BLOCK_ROWS; a task counts all intersections of two blocks by a matrix product over the
+    shingles that both have, and emits links only."""
+    texts = near.join(docs, "id").select("main", "id", "comp", "text", F.ceil(F.col("all") / BLOCK_ROWS).cast("int").alias("wide"), F.ceil(F.col("strays") / BLOCK_ROWS).cast("int").alias("tall"))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    strays = texts.where("comp != main").select("main", dealt("tall").alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"), "id", "comp", "text")
+    others = texts.select("main", F.explode(F.sequence(F.lit(0), F.col("tall") - 1)).alias("i"), dealt("wide").alias("j"), "id", "comp", "text")
+    others = others.select(*[F.col(c).alias(f"{c}_") for c in others.columns])
+
+    def compare(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        hashes = worker_cache("word-hashes", WordHashes)
+        out_a, out_b = [], []
+        if left.num_rows and right.num_rows:
+            xs = [shingles(t.as_py(), size, hashes) for t in left["text"]]
+            ys = [shingles(t.as_py(), size, hashes) for t in right["text_"]]
+            both = np.intersect1d(np.unique(np.concatenate(xs)), np.unique(np.concatenate(ys)), assume_unique=True)
+            shared = np.zeros((len(xs), len(ys)), "f4")
+            for at in range(0, len(both), COLUMNS):
+                part = both[at : at + COLUMNS]
+                shared += _matrix(xs, part) @ _matrix(ys, part).T
+            sizes = np.array([len(x) for x in xs], float)[:, None] + np.array([len(y) for y in ys], float)[None]
+            ids, others = left["id"].to_numpy(), right["id_"].to_numpy()
+            linked = (100 * shared.astype("f8") >= percent * (sizes - shared)) & (left["comp"].to_numpy()[:, None] != right["comp_"].to_numpy()[None])
+            for i, k in zip(*np.nonzero(linked), strict=True):
+                out_a.append(int(ids[i]))
+                out_b.append(int(others[k]))
+        return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    keys = ["main", "i", "j"]
+    return strays.groupBy(*keys).cogroup(others.groupBy("main_", "i_", "j_")).applyInArrow(compare, "a long, b long")
+
+
+def _matrix(sets: list, columns):
+    """Rows of ones where a set has a column's shingle; counts stay exact in single precision up to 2 ** 24."""
+    import numpy as np
+
+    out = np.zeros((len(sets), len(columns)), "f4")
+    for i, s in enumerate(sets):
+        at = np.searchsorted(columns, s)
+        at[at == len(columns)] = 0
+        out[i, at[columns[at] == s]] = 1
+    return out
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per id: doc_id, n_shingles, component_id (the smallest id reachable by links), kept (doc_id = component_id)."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).where("id is not null")
@@ -220,22 +272,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     found = materialize(_verified(shared.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), texts, size, percent), "verified")
     links = found.where("linked").select("a", "b").unionByName(twice.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     group = materialize(components(links), "groups")
-    # buckets that still hold several components: pair across them what no check has met yet
+    # Buckets that still hold several components: the largest is the bucket's main one, members of others are strays. A pair
+    # that joins components has a stray in it, so strays are compared with all that share a bucket of the same main component.
     placed = shared.join(group, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
     placed = materialize(placed.join(mixed, "key"), "mixed")
-    # the first component of a bucket needs no pairs of its own: each member of the others meets all smaller components
     size_of = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
     main = size_of.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
-    stray = placed.join(main, "key").where("comp != main").select("key", F.col("id").alias("x"), F.col("comp").alias("comp_x"), "main")
-    other = placed.select("key", F.col("id").alias("y"), F.col("comp").alias("comp_y"))
-    crossed = stray.join(other, "key").where("comp_x != comp_y and (comp_y = main or x < y)")
-    sizes = classes.select("id", "n")
-    crossed = crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    crossed = crossed.join(found.select("a", "b"), ["a", "b"], "left_anti")
-    crossed = crossed.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
-    crossed = materialize(crossed.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b"), "crossed")
-    more = materialize(_verified(crossed, texts, size, percent).where("linked").select("a", "b"), "more")
+    near = placed.join(main, "key").select("main", "id", "comp").distinct().join(classes.select("id", "n"), "id")
+    near = materialize(near, "near")
+    fill = near.groupBy("main").agg(F.count("*").alias("all"), F.count_if(F.col("comp") != F.col("main")).alias("strays"))
+    fill = fill.withColumn("few", F.col("strays") * F.col("all") <= FEW * (F.col("strays") + F.col("all")))
+    near = materialize(near.join(fill, "main"), "near")
+    few = near.where("few")  # at most FEW pairs a row
+    crossed = few.where("comp != main").select("main", F.col("id").alias("x"), F.col("comp").alias("comp_x"), F.col("n").alias("n_x")).join(
+        few.select("main", F.col("id").alias("y"), F.col("comp").alias("comp_y"), F.col("n").alias("n_y")), "main"
+    )
+    crossed = crossed.where((F.col("comp_x") != F.col("comp_y")) & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent))
+    crossed = crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(found.select("a", "b"), ["a", "b"], "left_anti")
+    more = _verified(materialize(crossed, "crossed"), texts, size, percent).where("linked").select("a", "b")
+    more = materialize(more.unionByName(_verified_blocks(near.where("not few"), texts, size, percent)), "more")
     if more.limit(1).count():
         group = materialize(components(links.unionByName(more)), "groups")
     top = group.select(F.col("id").alias("rep"), "component")
