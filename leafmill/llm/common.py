@@ -65,9 +65,11 @@ def _clean() -> None:
 
 
 def worker_cache(key: str, make):
-    """make() once in each Python worker process, however many tasks it runs."""
+    """make() once in each Python worker process, for all its tasks that use the key in a row. Only the latest key's value is
+    kept: workers live on through stages, and each stage has its own bounded memory."""
     store = sys.modules["__main__"].__dict__.setdefault("_leafmill_cache", {})
     if key not in store:
+        store.clear()
         store[key] = make()
     return store[key]
 

@@ -24,7 +24,7 @@ EPOCHS = 16
 N_GRAMS = (3, 4, 5)
 #: Texts of each class that training takes at most.
 PER_CLASS = 3000
-MAX_WORDS = 600_000
+MAX_WORDS = 400_000
 
 
 def grams(words: list[str], bits: int = BUCKET_BITS):
