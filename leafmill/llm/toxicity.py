@@ -23,7 +23,7 @@ DIM = 4
 EPOCHS = 16
 N_GRAMS = (3, 4, 5)
 #: Texts of each class that training takes at most.
-PER_CLASS = 3000
+PER_CLASS = 2400
 MAX_WORDS = 400_000
 
 
