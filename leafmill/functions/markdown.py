@@ -12,6 +12,7 @@ from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What makes a line of each kind.
 FENCE = re.compile(r"```|~~~")
@@ -104,11 +105,11 @@ def to_plain(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", html.unescape(re.sub(r"<[^>]+>", "", body))).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def markdown_to_html(texts: pd.Series, offsets: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else to_html(t, int(n)) for t, n in zip(texts, offsets, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def markdown_to_plain(texts: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else to_plain(t) for t in texts])

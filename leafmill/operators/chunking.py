@@ -10,6 +10,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 # Characters after which a text may be cut (white space too), and the limits.
@@ -30,7 +31,7 @@ def cuts(text: str, limit: int = PIECE_CHARS) -> list[str]:
     return [*out, text[start:]]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _split_long(texts: pd.Series, limits: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else cuts(t, n) for t, n in zip(texts, limits, strict=True)])
 
@@ -51,7 +52,7 @@ def batch_numbers(sizes: list[int], chars: int = BATCH_CHARS, items: int = BATCH
     return out
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def batch_ids(sizes: pd.Series) -> pd.Series:
     """W2 as a column: sizes in order to batch numbers."""
     return pd.Series([None if s is None else batch_numbers(list(s)) for s in sizes])

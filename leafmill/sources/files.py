@@ -11,6 +11,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import kind
 
@@ -40,7 +41,7 @@ def decode(data: bytes) -> str:
     return data.decode("utf-8", "replace")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decoded(data: pd.Series) -> pd.Series:
     return pd.Series([None if d is None else decode(d) for d in data])
 
@@ -82,7 +83,7 @@ def gif_frames(data: bytes) -> int:
     return frames
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_animated(data: pd.Series) -> pd.Series:
     return pd.Series([None if d is None else animated(d) for d in data])
 
