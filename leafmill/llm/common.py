@@ -8,13 +8,9 @@ import sys
 import tempfile
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Executors need no installed copy of this package: what they run travels with the job.
-cloudpickle.register_pickle_by_value(sys.modules["leafmill"])
-
 _made: list[str] = []
 _own_dir: list[str] = []
 

@@ -42,7 +42,8 @@ def grams(words: list[str], bits: int = BUCKET_BITS):
     h = np.zeros(len(chars), "u8")
     mul = np.uint64(0x100000001B3)
     for k in range(max(N_GRAMS)):
-        h[: len(chars) - k] = h[: len(chars) - k] * mul + chars[k:] + np.uint64(1)
+        m = max(len(chars) - k, 0)
+        h[:m] = h[:m] * mul + chars[k : k + m] + np.uint64(1)
         if k + 1 in N_GRAMS:
             inside = at + k + 1 <= ends
             owners.append(owner[inside])
