@@ -2,7 +2,8 @@
 
 A word (lower-cased run of non-space characters) is the mean of the embeddings of its character n-grams, of hashed
 buckets; so misspellings and new inflections share most of their vectors with words met in training. A text is the
-mean of its words, and a softmax over two classes reads that mean. Embeddings and softmax are trained jointly in numpy, by
+mean of its distinct words and of PADDING empty vectors (so that a few odd words of a short text weigh less), and a softmax over
+two classes reads that mean. Embeddings and softmax are trained jointly in numpy, by
 minibatch Adam on a bounded sample (labelled_sample: at most `per_class` texts of each class, whole). As the
 network is linear after the averages, scoring needs one number per word: the mean of its n-grams' logits.
 
@@ -25,6 +26,8 @@ N_GRAMS = (3, 4, 5)
 #: Texts of each class that training takes at most.
 PER_CLASS = 2400
 MAX_WORDS = 400_000
+#: Empty vectors in every text's mean.
+PADDING = 30
 
 
 def grams(words: list[str], bits: int = BUCKET_BITS):
@@ -52,21 +55,19 @@ def grams(words: list[str], bits: int = BUCKET_BITS):
 
 
 def split(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    """The distinct words, in order."""
+    return list(dict.fromkeys((text or "").lower().split()))
 
 
 def bag(text: str | None, bits: int = BUCKET_BITS):
-    """(buckets, weights) of a text's mean: a word weighs 1 / words, each of its n-grams an even share of that."""
+    """(buckets, weights) of a text's mean: a word weighs 1 / (words + PADDING), each of its n-grams an even share of that."""
     import numpy as np
 
     words = split(text)
     if not words:
         return np.zeros(0, "i4"), np.zeros(0, "f4")
-    count: dict[str, int] = {}
-    for w in words:
-        count[w] = count.get(w, 0) + 1
-    owner, bucket = grams(list(count), bits)
-    share = np.fromiter(count.values(), float, len(count)) / len(words) / np.bincount(owner, minlength=len(count))
+    owner, bucket = grams(words, bits)
+    share = 1 / (len(words) + PADDING) / np.bincount(owner, minlength=len(words))
     at, place = np.unique(bucket, return_inverse=True)
     return at, np.bincount(place, share[owner]).astype("f4")
 
@@ -154,7 +155,7 @@ class WordLogits:
             owner, bucket = grams(new)
             sums = np.bincount(owner, self.logits[bucket], len(new)) / np.bincount(owner, minlength=len(new))
             known.update(zip(new, sums.tolist(), strict=True))
-        return sigmoid(self.intercept + math.fsum([known[w] for w in words]) / len(words))
+        return sigmoid(self.intercept + math.fsum([known[w] for w in words]) / (len(words) + PADDING))
 
 
 def scorer(spark, model):
