@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import strip, xml_escape
@@ -12,6 +14,8 @@ from ..functions.text import strip, xml_escape
 SKIP = ["script", "style", "pre", "code", "svg", "math"]
 BLOCK = ["p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "tr", "blockquote", "section", "article", "figcaption", "figure", "dd", "dt", "aside", "header", "footer", "nav", "title", "caption", "body", "html"]
 STRUCT = ["img", "br", "hr", "svg", "image", "table", "tr", "td", "th", "figure", "video", "audio", "object", "iframe"]
+#: Characters of running context.
+CONTEXT = 400
 TOKEN = "(?s)<!--.*?-->|<!\\[CDATA\\[.*?\\]\\]>|<\\?.*?\\?>|<[^>]*>|[^<]+(?:<(?![^>]*>)[^<]*)*|<(?![^>]*>)[^<]*"
 
 
@@ -46,3 +50,27 @@ def splice(toks: DataFrame, translated: DataFrame, id_col: str) -> DataFrame:
     body = F.when(F.col("pos") == F.col("first_pos"), xml_escape(F.col("out"))).otherwise("")
     part = F.when(F.col("is_slot") & F.col("out").rlike("\\p{L}"), F.concat(lead, body, tail)).otherwise(F.col("tok"))
     return t.groupBy(id_col).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", part.alias("part")))), lambda x: x["part"]), "").alias("html"))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _running(parts: pd.Series) -> pd.Series:
+    """Contexts before each part of a document; a null part (an opening block tag) resets."""
+    out = []
+    for row in parts:
+        now, made = "", []
+        for part in row:
+            made.append(now)
+            now = "" if part is None else f"{now} {part}".strip()[-CONTEXT:]
+        out.append(made)
+    return pd.Series(out)
+
+
+def contexts(toks: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, pos, context) for every slot. A document's tokens are folded in one row, in order."""
+    opens = F.col("name").isin(BLOCK) & ~F.col("tok").startswith("</")
+    is_text = (F.col("name") == "") & ~F.col("tok").rlike("(?s)^<.*>$")
+    kept = toks.where(opens | is_text).select(id_col, F.struct("pos", F.when(is_text, F.col("tok")).alias("part"), "is_slot").alias("x"))
+    rows = kept.groupBy(id_col).agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    rows = rows.select(id_col, "xs", _running(F.transform("xs", lambda x: x["part"])).alias("ctx"))
+    out = rows.select(id_col, F.explode(F.arrays_zip("xs", "ctx")).alias("z")).where("z.xs.is_slot")
+    return out.select(id_col, F.col("z.xs.pos").alias("pos"), F.col("z.ctx").alias("context"))

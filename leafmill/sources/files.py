@@ -126,3 +126,14 @@ def spine_order(docs: DataFrame, items: DataFrame, refs: DataFrame) -> DataFrame
     items: (book, id, name); refs: (book, ord, idref). A document that the spine names twice keeps its first place."""
     placed = refs.join(items.select("book", F.col("id").alias("idref"), "name"), ["book", "idref"]).groupBy("book", "name").agg(F.min("ord").alias("place"))
     return docs.join(placed, ["book", "name"], "left").select("book", "name", F.coalesce("place", F.lit(1 << 30)).alias("place"))
+
+
+@F.pandas_udf(T.StringType())
+def joined_href(base: pd.Series, href: pd.Series) -> pd.Series:
+    """F34 as a column."""
+    return pd.Series([None if b is None or h is None else join_href(b, h) for b, h in zip(base, href, strict=True)])
+
+
+def opf_path(container):
+    """the package file that a container names."""
+    return F.regexp_extract(container, 'full-path="([^"]+)"', 1)
