@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import math
+import shutil
 import sys
 import tempfile
 import uuid
@@ -58,6 +59,8 @@ def _clean() -> None:
             drop(spark, *list(_made))
     except Exception:  # the session may be gone; what is left lies in the cluster's scratch folder
         pass
+    for path in _own_dir:
+        shutil.rmtree(path, ignore_errors=True)
 
 
 def worker_cache(key: str, make):
