@@ -259,12 +259,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     """One row per id: doc_id, n_shingles, component_id (the smallest id reachable by links), kept (doc_id = component_id)."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).where("id is not null")
     known = materialize(_described(rows, size), "shingles")
-    # classes of equal sets; reps are vertices of the links
-    rep = known.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
-    each = known.select("id", "n", "digest").join(rep, "digest", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    # classes of equal sets; reps are vertices of the links. Only sets that occur again are joined, and that join stands alone in
+    # its stage, so that a set which many texts share can be split.
+    again = known.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last")
+    again = materialize(again.select("digest", "rep"), "copies")
+    each = materialize(known.select("id", "n", "digest").join(again, "digest", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "each")
     classes = materialize(each.groupBy("id").agg(F.max("n").alias("n"), F.min("rep").alias("rep"), F.max("rep").alias("high")), "classes")
     twice = each.join(classes.where("rep < high").select("id", F.col("rep").alias("low")), "id").where("rep > low")  # ids with several rows
-    own = known.where("n > 0").join(rep.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    own = known.where("n > 0").join(each.where("id = rep and n > 0").select("id").distinct(), "id", "left_semi")
     keys = materialize(own.select("id", F.explode("keys").alias("key")).distinct(), "bands")
     buckets = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
     shared = materialize(keys.join(buckets, "key").select("key", "hub", "id"), "buckets")  # members of buckets of two or more
