@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values of the reference's behaviour.
+# Refusals, character ranges, what echo comparison ignores, file extensions.
 REFUSALS = ["无法翻译", "无法完成", "不能翻译", "无法为你翻译", "请提供", "作为ai", "作为 ai", "我是一个ai", "我是一个人工智能", "i cannot", "i can't", "i'm unable", "as an ai", "unable to translate", "cannot translate"]
 KANA = "[\\u3040-\\u309f\\u30a0-\\u30ff]"
 CJK = "[\\u4e00-\\u9fff]"
