@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 
 from pyspark.sql import DataFrame
@@ -22,6 +23,8 @@ from .common import worker_cache
 
 #: White space as the Unicode property has it (Python's own \s has four control characters more).
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: The properties that ascii_splitter() spells out.
+LETTER, DIGIT = "\\p{L}", "\\p{N}"
 #: Bounds of what a worker remembers: states, pieces, pairs of tokens.
 MAX_STATES, MAX_PIECES, MAX_PAIRS = 300_000, 500_000, 400_000
 
@@ -36,7 +39,24 @@ def splitter(pattern: str):
     """The pattern compiled, with white space as Unicode defines it."""
     import regex
 
-    return regex.compile(pattern.replace("[^\\s", f"[^{_SPACE}").replace("\\S", f"[^{_SPACE}]").replace("\\s", f"[{_SPACE}]"))
+    return regex.compile(spaced(pattern, _SPACE))
+
+
+def spaced(pattern: str, space: str) -> str:
+    return pattern.replace("[^\\s", f"[^{space}").replace("\\S", f"[^{space}]").replace("\\s", f"[{space}]")
+
+
+def ascii_splitter(pattern: str):
+    """The same matches in texts of ASCII characters alone, where letters and digits are plain ranges that the standard
+    library's machine takes in a third of the time. A pattern with other properties or syntax gets splitter()."""
+    plain = re.sub(r"\[[^\]]*\]", lambda m: m[0].replace(LETTER, "A-Za-z").replace(DIGIT, "0-9"), spaced(pattern, "\\t-\\r "))
+    plain = plain.replace(LETTER, "[A-Za-z]").replace(DIGIT, "[0-9]")
+    try:
+        if "\\p" not in plain and "\\P" not in plain:
+            return re.compile(plain)
+    except re.error:
+        pass
+    return splitter(pattern)
 
 
 def merge(ranks: dict[bytes, int], piece: bytes, stop: int = 1) -> list[int]:
@@ -189,13 +209,14 @@ class Encoder:
     """Whole texts to ids: the pattern's matches one by one, each by the transducer, finished pieces remembered."""
 
     def __init__(self, ranks_path: str, pattern: str):
-        self.transducer, self.find = Transducer(load_ranks(ranks_path)), splitter(pattern).findall
+        self.transducer = Transducer(load_ranks(ranks_path))
+        self.find, self.find_ascii = splitter(pattern).findall, ascii_splitter(pattern).findall
         self.known = Remembered(MAX_PIECES)
         self.bytes_of = [self.transducer.tokens.get(i, b"") for i in range(max(self.transducer.tokens) + 1)]
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        pieces, known = self.find(text), self.known
+        pieces, known = (self.find_ascii if text.isascii() else self.find)(text), self.known
         known.turn()
         try:
             return b"".join([known[p] for p in pieces])

@@ -118,6 +118,19 @@ def test_bpe_random_unicode():
         assert b"".join(enc.decode(ids, 2)) == text.encode()
 
 
+def test_bpe_ascii_splitter_matches_as_the_whole_pattern_does():
+    import random
+
+    r = random.Random(4)
+    whole, plain = bpe.splitter(PATTERN), bpe.ascii_splitter(PATTERN)
+    assert plain.pattern != whole.pattern
+    for _ in range(5000):
+        text = "".join(chr(r.randrange(128)) for _ in range(r.randrange(40)))
+        assert plain.findall(text) == whole.findall(text)
+    assert bpe.ascii_splitter(r"[\p{L}\p{N}]+|\s").findall("ab1 c") == ["ab1", " ", "c"]
+    assert bpe.ascii_splitter(r"\p{Lu}+").findall("AbC") == ["A", "C"]
+
+
 def test_utf8_machine_holds_back_unfinished_characters():
     m, data = bpe.Utf8Machine(), "aé漢🙂z".encode()
     parts = [m.feed(data[i : i + 1]) for i in range(len(data))]
