@@ -11,7 +11,6 @@ from .text import strip
 FIGURES = "<<<FIGURES>>>"
 PLACEHOLDER = "(?i)\\[\\[\\s*FIG\\s*:?\\s*(\\d+)\\s*\\]\\]"
 ORIGINAL, TRANSLATION = "原文", "译文"
-TRANSLATIONS = "translations array<struct<id:string,text:string,translation:string>>"
 
 
 def loose_json(answer: Column) -> Column:
@@ -50,13 +49,33 @@ def answer_blocks(answer: Column, translate: bool) -> Column:
 
 
 def translations(answer: Column) -> Column:
-    """F16: the answer's translations in order: (ordinal from 0, id, text); entries without text are passed over."""
-    made = F.from_json(loose_json(answer), TRANSLATIONS)["translations"]
-    texts = F.transform(made, lambda x: F.struct(x["id"].alias("id"), F.coalesce(x["text"], x["translation"]).alias("text")))
-    kept = F.filter(texts, lambda x: x["text"].isNotNull())
+    """F16: the answer's translations in order: (ordinal from 0, id, text). An entry is a text, or an object with text (or
+    translation; without either, empty); its place stands in for a missing id, and entries of other types are passed over."""
+    made = F.try_variant_get(F.try_parse_json(loose_json(answer)), "$.translations", "array<variant>")
+
+    def entry(x: Column, i: Column) -> Column:
+        is_object = F.startswith(F.schema_of_variant(x), F.lit("OBJECT"))
+        given = F.coalesce(F.try_variant_get(x, "$.text", "variant"), F.try_variant_get(x, "$.translation", "variant"))
+        value = F.when(is_object, F.coalesce(given, F.parse_json(F.lit('""')))).otherwise(x)
+        text = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+        return F.struct(F.coalesce(F.try_variant_get(x, "$.id", "string"), i.cast("string")).alias("id"), text.alias("text"))
+
+    kept = F.filter(F.transform(made, entry), lambda x: x["text"].isNotNull())
     return F.transform(kept, lambda x, i: F.struct(i.alias("ordinal"), x["id"].alias("id"), x["text"].alias("text")))
 
 
+def single_answer(answer: Column) -> Column:
+    """a lone answer without the JSON around it; JSON that holds no translation counts as empty."""
+    t = strip(F.coalesce(answer, F.lit("")))
+    return F.when(t.rlike(r"^[{\[]"), F.coalesce(strip(F.get(translations(t), F.lit(0))["text"]), F.lit(""))).otherwise(t)
+
+
+def json_mode_refused(message: Column) -> Column:
+    """Whether a service's error says that it knows no JSON mode."""
+    low = F.lower(F.coalesce(message, F.lit("")))
+    return F.contains(low, F.lit("response_format")) | (F.contains(low, F.lit("json")) & F.contains(low, F.lit("support")))
+
+
 def response(body: Column) -> Column:
     """content, finish reason and numeric usage of a chat completion."""
     kind = "choices array<struct<message:struct<content:string>,finish_reason:string>>, usage struct<prompt_tokens:long,completion_tokens:long,total_tokens:long>"

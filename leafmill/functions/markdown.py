@@ -113,3 +113,14 @@ def markdown_to_html(texts: pd.Series, offsets: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def markdown_to_plain(texts: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else to_plain(t) for t in texts])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def markdown_parts_to_plain(parts: pd.Series) -> pd.Series:
+    """Each part of a text by itself."""
+    return pd.Series([None if p is None else [None if t is None else to_plain(t) for t in p] for p in parts])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def markdown_parts_to_html(parts: pd.Series, offsets: pd.Series) -> pd.Series:
+    return pd.Series([None if p is None else [None if t is None else to_html(t, int(n)) for t in p] for p, n in zip(parts, offsets, strict=True)])

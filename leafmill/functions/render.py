@@ -18,6 +18,24 @@ def block(blocks: Column, label: str) -> Column:
     return F.coalesce(F.get(F.filter(blocks, lambda b: b["label"] == label), F.lit(0))["text"], F.lit(""))
 
 
+def page_body(blocks: Column, translate: bool, with_original: bool) -> Column:
+    """what a page shows of its blocks (label, text): the first, the translation (else the first), or both versions."""
+    primary = F.coalesce(F.get(blocks, F.lit(0))["text"], F.lit(""))
+    if not translate:
+        return primary
+    original, translation = block(blocks, "原文"), block(blocks, "译文")
+    if with_original:
+        return F.concat_ws("\n\n", F.nullif(original, F.lit("")), F.nullif(translation, F.lit("")))
+    return filled(translation, primary)
+
+
+def figure_texts(text: Column, caption: Column, text_t: Column, caption_t: Column, translated: bool) -> tuple[Column, Column]:
+    """a figure's text, for which its caption stands in, and its caption; translated ones first where asked for."""
+    if not translated:
+        return filled(text, caption), filled(caption)
+    return filled(text_t, text, caption_t), filled(caption_t, caption)
+
+
 def figure_plain(body: Column, caption: Column) -> Column:
     """a figure's text, with its caption in brackets where both differ."""
     return F.when((body != "") & (caption != "") & (caption != body), F.concat(body, F.lit("\n〔"), caption, F.lit("〕"))).otherwise(filled(body, caption))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.answers import PLACEHOLDER
+from ..functions.markdown import markdown_parts_to_html, markdown_parts_to_plain
 from ..functions.text import REFUSALS, strip
 
 
@@ -33,12 +34,23 @@ def reason(out: Column, finish: Column, echo: Column, target: str) -> Column:
     return F.when(finish == "length", "输出被截断").when(v == "", "返回缺失或为空").when(refused, "疑似模型拒答").when(echo, "照抄原文未翻译")
 
 
-def place_figures(pages: DataFrame, figures: DataFrame, key: str) -> DataFrame:
-    """Pages (key, text) with placeholders replaced by bodies of figures (key, n, ord, body)."""
+def _parts(pages: DataFrame, figures: DataFrame, key: str) -> DataFrame:
+    """(key, texts, figs): what lies between a page's placeholders, and what each placeholder stands for (null if nothing)."""
     last = figures.groupBy(key, "n").agg(F.max_by("body", "ord").alias("body"))
     by_page = last.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("n", "body"))).alias("figs"))
-    texts = F.split("text", PLACEHOLDER)
     numbers = F.transform(F.regexp_extract_all("text", F.lit(PLACEHOLDER), F.lit(1)), lambda x: x.cast("int"))
-    joined = pages.join(by_page, key, "left").select(key, texts.alias("texts"), numbers.alias("numbers"), "figs")
-    body = F.zip_with("texts", "numbers", lambda t, n: F.concat(F.coalesce(t, F.lit("")), F.coalesce(F.try_element_at("figs", n), F.lit(""))))
-    return joined.select(key, F.array_join(body, "").alias("text"))
+    return pages.join(by_page, key, "left").select(key, F.split("text", PLACEHOLDER).alias("texts"), F.transform(numbers, lambda n: F.try_element_at("figs", n)).alias("figs"))
+
+
+def place_figures(pages: DataFrame, figures: DataFrame, key: str) -> DataFrame:
+    """Pages (key, text) with placeholders replaced by bodies of figures (key, n, ord, body)."""
+    body = F.zip_with("texts", "figs", lambda t, f: F.concat(F.coalesce(t, F.lit("")), F.coalesce(f, F.lit(""))))
+    return _parts(pages, figures, key).select(key, F.array_join(body, "").alias("text"))
+
+
+def interleave(pages: DataFrame, figures: DataFrame, key: str, as_html: bool = False, heading_offset: int = 2) -> DataFrame:
+    """pages (key, text) rendered: Markdown parts and figures' bodies (rendered already) in turn, blank ones left out."""
+    parts = _parts(pages, figures, key)
+    made = markdown_parts_to_html("texts", F.lit(heading_offset)) if as_html else markdown_parts_to_plain("texts")
+    both = F.flatten(F.zip_with("made", "figs", lambda t, f: F.array(t, f)))
+    return parts.select(key, made.alias("made"), "figs").select(key, F.array_join(F.filter(both, lambda x: F.trim(x) != ""), "\n" if as_html else "\n\n").alias("text"))

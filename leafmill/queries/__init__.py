@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import answers, caches, channels, figures, guards, pages, texts  # noqa: F401
+    from . import answers, caches, channels, details, figures, guards, pages, texts  # noqa: F401
 
     return dict(_QUERIES)
 
