@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (shingles of five words, similarity 0.8): that with the smallest id.
-    Documents without an id can't be grouped and stay."""
+    Documents without an id can't be grouped and stay; rows that repeat an id are one document, and stay or go together."""
     gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

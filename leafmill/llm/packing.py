@@ -25,6 +25,9 @@ from pyspark.sql.window import Window
 
 from .common import materialize, worker_cache
 
+#: Fixed value: the pattern by which `tokenizers`' byte-level pre-tokenizer splits.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
 def byte_of_char() -> dict[str, int]:
     """How byte-level vocabularies spell bytes: printable Latin-1 characters stand for themselves, the others, in order, for the
@@ -38,7 +41,8 @@ class FileIds:
     """Ids of whole texts by a `tokenizers` file, little-endian unsigned 32-bit.
 
     A byte-level BPE file whose merges' ids ascend says the same as a table of ranks, which tiktoken's encoder takes faster
-    to the same ids. Texts that hold one of the file's added tokens, and other kinds of files, go to `tokenizers`."""
+    to the same ids, split by the same pattern. Texts that hold one of the file's added tokens, other patterns, and other
+    kinds of files go to `tokenizers`."""
 
     def __init__(self, path: str, pattern: str):
         import json
@@ -52,7 +56,7 @@ class FileIds:
             spec = json.load(f)
         self.ranked = None
         model, before = spec["model"], spec.get("pre_tokenizer") or {}
-        if model.get("type") == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec.get("normalizer") and not model.get("dropout"):
+        if pattern == BYTE_LEVEL and model.get("type") == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec.get("normalizer") and not model.get("dropout"):
             merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
             made = [model["vocab"][a + b] for a, b in merges]
             if made == sorted(set(made)):

@@ -105,6 +105,12 @@ def test_bpe(docs, none):
     assert bpe.encode_decode(none, RANKS, PATTERN).count() == 0
 
 
+def test_packing_takes_ids_from_tokenizers_for_patterns_of_other_kinds():
+    assert PATTERN == packing.BYTE_LEVEL and packing.FileIds(JSON, PATTERN).ranked is not None
+    other = packing.FileIds(JSON, r"\S+|\s+")
+    assert other.ranked is None and other.ids(TEXTS[4]) == packing.FileIds(JSON, PATTERN).ids(TEXTS[4])
+
+
 def test_bpe_random_unicode():
     import random
 
