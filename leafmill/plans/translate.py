@@ -13,12 +13,13 @@ from ..functions.echo import is_echo
 from ..functions.text import stub_translation, text_key, usable
 from ..operators import align, cache, chunking
 
-#: A backend takes the texts of one batch and returns as many answers; None where there is none.
-Backend = Callable[[list[str]], list[str | None]]
+#: A backend takes the texts of one batch and returns as many answers, None where there is none; or those and the number of
+#: output tokens that they took. ConnectionError says that the service can't be reached, PermissionError that it refuses the account.
+Backend = Callable[[list[str]], list[str | None] | tuple[list[str | None], int]]
 
 
 class Stopped(Exception):
-    """A guard or an authorization error ended the run."""
+    """An authorization error ended the run."""
 
 
 @dataclass
@@ -28,43 +29,62 @@ class Budget:
     max_requests: int = 1 << 60
     stall_limit: int = 25
     failure_limit: int = 5
+    max_tokens: int = 1 << 60
     requests: int = 0
+    tokens: int = 0
     stalled: int = 0
     failed: int = 0
 
     def open(self) -> bool:
-        return self.requests < self.max_requests and self.stalled < self.stall_limit and self.failed < self.failure_limit
+        return self.requests < self.max_requests and self.tokens < self.max_tokens and self.stalled < self.stall_limit and self.failed < self.failure_limit
 
 
-def ask(backend: Backend, texts: list[str], budget: Budget, depth: int = 4) -> list[str | None]:
-    """A batch's answers; a batch with missing answers is halved, at most `depth` times."""
+def send(backend: Backend, texts: list[str], budget: Budget) -> list[str | None] | None:
+    """One request and what it used up; None where a limit forbids it or the service can't be reached."""
     if not budget.open():
-        return [None] * len(texts)
+        return None
     budget.requests += 1
     try:
-        got = list(backend(texts))
-        budget.failed = 0
-    except ConnectionError:  # C2: a transport failure isn't split
+        got = backend(texts)
+    except ConnectionError:
         budget.failed += 1
+        return None
+    except PermissionError as e:
+        raise Stopped(str(e)) from e
+    answers, tokens = got if isinstance(got, tuple) else (got, 0)
+    budget.failed, budget.tokens = 0, budget.tokens + tokens
+    answers = ([*answers] + [None] * len(texts))[: len(texts)]
+    budget.stalled = 0 if any(answers) else budget.stalled + 1
+    return answers
+
+
+def ask(backend: Backend, texts: list[str], budget: Budget, depth: int = 4) -> list[str | None]:
+    """A batch's answers. C5: texts without one are halved and asked again, at most `depth` times, then one by one;
+    C6: a text that stays alone without an answer gets one request more. A transport failure (C2) isn't followed up."""
+    got = send(backend, texts, budget)
+    if got is None:
         return [None] * len(texts)
-    got = (got + [None] * len(texts))[: len(texts)]
-    budget.stalled = 0 if any(got) else budget.stalled + 1
     missing = [i for i, x in enumerate(got) if not x]
-    if missing and len(texts) > 1 and depth:
-        half = max(len(missing) // 2, 1)
-        for part in (missing[:half], missing[half:]):
-            if part:
-                for i, x in zip(part, ask(backend, [texts[i] for i in part], budget, depth - 1), strict=True):
-                    got[i] = x
+    if not missing:
+        return got
+    if len(texts) == 1 or not depth:
+        for i in missing:
+            got[i] = (send(backend, [texts[i]], budget) or [None])[0]
+        return got
+    half = max(len(missing) // 2, 1)
+    for part in (missing[:half], missing[half:]):
+        if part:
+            for i, x in zip(part, ask(backend, [texts[i] for i in part], budget, depth - 1), strict=True):
+                got[i] = x
     return got
 
 
-def run_model(pieces: DataFrame, backend: Backend, max_requests: int = 1 << 60) -> DataFrame:
+def run_model(pieces: DataFrame, backend: Backend, max_requests: int = 1 << 60, max_tokens: int = 1 << 60) -> DataFrame:
     """pieces (seg_id, k, batch, text) with out. A batch lies in one task; calls go in order of batches. Write the result before
     using it twice: a frame that is worked out again asks the model again."""
 
     def run(frames):
-        budget = Budget(max_requests)
+        budget = Budget(max_requests, max_tokens=max_tokens)
         for frame in frames:
             outs = pd.Series([None] * len(frame), index=frame.index, dtype=object)
             for _, group in frame.groupby(["seg_id", "batch"], sort=False):

@@ -1,5 +1,6 @@
 """The text channel with pluggable models."""
 
+import pytest
 from leafmill.operators import xhtml
 from leafmill.plans import translate
 from pyspark.sql import functions as F
@@ -49,7 +50,30 @@ def test_budgets():
     assert len(calls) <= 4
     calls = []
     translate.ask(lambda t: calls.append(t) or [None] * len(t), [str(i) for i in range(24)], translate.Budget())
-    assert len(calls) <= 60
+    assert len(calls) <= 2.5 * 24
+
+
+def test_tokens_retries_and_refused_accounts():
+    calls = []
+    b = translate.Budget(max_tokens=2500)
+    for i in range(20):
+        translate.ask(lambda t: calls.append(t) or (["x"], 1000), [str(i)], b)
+    assert len(calls) == 3 and b.tokens == 3000
+    tries = {}
+
+    def late(texts):
+        for t in texts:
+            tries[t] = tries.get(t, 0) + 1
+        return [t.upper() if t != "c" or len(texts) == 1 and tries[t] > 2 else None for t in texts]
+
+    assert translate.ask(late, ["a", "b", "c", "d"], translate.Budget()) == ["A", "B", "C", "D"]
+    assert tries == {"a": 1, "b": 1, "c": 3, "d": 1}
+
+    def refused(texts):
+        raise PermissionError("402")
+
+    with pytest.raises(translate.Stopped):
+        translate.ask(refused, ["a"], translate.Budget())
 
 
 def test_contexts(spark):
