@@ -19,8 +19,9 @@ f AS (SELECT page_no, kept FROM (SELECT *, row_number() OVER (PARTITION BY page_
 kept AS (SELECT s.* FROM s JOIN f ON s.page_no = f.page_no AND list_contains(f.kept, s.r))"""
 
 
-def _rects(read):
-    li = read("lineitem").where("l_orderkey % 4 = 0")  # a page is an order; every fourth order counts as one with figures
+def _rects(read, whole=False):
+    """A page is an order. The queries with SQL take every fourth, as their SQL does; whole: all orders."""
+    li = read("lineitem") if whole else read("lineitem").where("l_orderkey % 4 = 0")
     x, y = F.col("l_partkey") % 300, F.col("l_suppkey") % 400
     return li.select(
         F.col("l_orderkey").alias("page_no"), (F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_partkey") * 10000 + F.col("l_suppkey")).alias("cand_idx"), x.cast("double").alias("x0"), y.cast("double").alias("y0"),
@@ -28,23 +29,23 @@ def _rects(read):
     )
 
 
-def _candidates(read):
-    return _rects(read).where(geometry.is_candidate(600.0, 800.0))
+def _candidates(read, whole=False):
+    return _rects(read, whole).where(geometry.is_candidate(600.0, 800.0))
 
 
 @query(f"WITH {_RECTS}, {_CAND} SELECT page_no, cand_idx FROM cand")
-def p6_figure_candidates(read):
-    return _candidates(read).select("page_no", "cand_idx")
+def p6_figure_candidates(read, whole=False):
+    return _candidates(read, whole).select("page_no", "cand_idx")
 
 
 @query(f"WITH {_RECTS} SELECT page_no, cand_idx, {_ZONE} AS zone FROM rects")
-def f9_zone(read):
-    return _rects(read).select("page_no", "cand_idx", geometry.zone(600.0, 800.0).alias("zone"))
+def f9_zone(read, whole=False):
+    return _rects(read, whole).select("page_no", "cand_idx", geometry.zone(600.0, 800.0).alias("zone"))
 
 
 @query(_KEPT + " SELECT page_no, cand_idx FROM kept")
-def j6_suppress(read):
-    return ops.suppress(_candidates(read)).select("page_no", "cand_idx")
+def j6_suppress(read, whole=False):
+    return ops.suppress(_candidates(read, whole)).select("page_no", "cand_idx")
 
 
 @query(f"WITH {_RECTS}, {_CAND} SELECT page_no, cand_idx, r::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY page_no ORDER BY round_even(y0, 0), round_even(x0, 0), cand_idx) - 1 AS r FROM cand) WHERE r < 4")
@@ -57,20 +58,45 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY page_no, pos ORDER BY n) AS r F
 z AS (SELECT fr.page_no, n, cand_idx, 'zone' AS how FROM fr JOIN cr ON fr.page_no = cr.page_no AND pos = zone AND fr.r = cr.r),
 g AS (SELECT *, row_number() OVER (PARTITION BY page_no ORDER BY n) AS r FROM f ANTI JOIN z USING (page_no, n)), h AS (SELECT *, row_number() OVER (PARTITION BY page_no ORDER BY cand_idx) AS r FROM c ANTI JOIN z USING (page_no, cand_idx))
 SELECT * FROM z UNION ALL SELECT g.page_no, n, cand_idx, 'order' FROM g JOIN h ON g.page_no = h.page_no AND g.r = h.r""")
-def j4_j5_match(read):
-    c = _rects(read).withColumn("zone", geometry.zone(600.0, 800.0))
+def j4_j5_match(read, whole=False):
+    c = _rects(read, whole).withColumn("zone", geometry.zone(600.0, 800.0))
     k = F.col("cand_idx") % 3
     f = c.select("page_no", (10 - F.col("cand_idx")).alias("n"), F.when(k == 0, "").when(k == 1, "center").otherwise(F.col("zone")).alias("pos"))
     return ops.match(f, c)
 
 
 @query(f"WITH {_RECTS}, {_CAND} SELECT r.page_no, count(DISTINCT c.cand_idx)::BIGINT AS candidates FROM (SELECT DISTINCT page_no FROM rects) r LEFT JOIN cand c USING (page_no) GROUP BY r.page_no")
-def j11_candidate_count(read):
-    pages = _rects(read).select("page_no").distinct()
-    n = _candidates(read).groupBy("page_no").agg(F.count("*").alias("candidates"))
+def j11_candidate_count(read, whole=False):
+    pages = _rects(read, whole).select("page_no").distinct()
+    n = _candidates(read, whole).groupBy("page_no").agg(F.count("*").alias("candidates"))
     return pages.join(n, "page_no", "left").na.fill(0, ["candidates"])
 
 
+@query()
+def p6_figure_candidates_whole(read):
+    return p6_figure_candidates(read, whole=True)
+
+
+@query()
+def f9_zone_whole(read):
+    return f9_zone(read, whole=True)
+
+
+@query()
+def j6_suppress_whole(read):
+    return j6_suppress(read, whole=True)
+
+
+@query()
+def j4_j5_match_whole(read):
+    return j4_j5_match(read, whole=True)
+
+
+@query()
+def j11_candidate_count_whole(read):
+    return j11_candidate_count(read, whole=True)
+
+
 @query("SELECT o_orderkey, printf('figures/fig_%04d_%d.png', o_orderkey, o_custkey) AS href FROM orders")
 def f43_asset_href(read):
     return read("orders").select("o_orderkey", F.format_string("figures/fig_%04d_%d.png", "o_orderkey", "o_custkey").alias("href"))
