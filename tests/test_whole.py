@@ -1,10 +1,15 @@
 """Whole tables and whole texts, where the queries with SQL take a part: against brute force."""
 
+import hashlib
+import re
+from difflib import SequenceMatcher
+
 import pandas as pd
 import pytest
 
 from leafmill import queries as library
 from leafmill.functions import geometry
+from leafmill.functions import text as fx
 
 DATA = "/root/testdata/sf0.001"
 
@@ -79,3 +84,60 @@ def test_matching_on_all_orders(spark, rects):
                 want.append((page, 10 - r[1], hit[1], "zone"))
         want += [(page, 10 - r[1], c[1], "order") for r, c in zip(left, free, strict=False)]
     assert sorted(run(spark, "j4_j5_match_whole")) == sorted(want)
+
+
+KANA = str.maketrans("aeiou", "あえいおう")
+
+
+@pytest.fixture(scope="module")
+def texts(spark, tmp_path_factory):
+    """Folder and texts: what matters comes after more characters than any prefix had."""
+    plain = "bcdfg hjklm " * 40
+    texts = [plain + end for end in ("", " i cannot", " as an AI", " あいう", " 汉字", " aeiou " * 90, "无法翻译", "xyz " * 700) for _ in range(12)]
+    folder = str(tmp_path_factory.mktemp("texts"))
+    rows = [(i, t, "en", f"s{i % 3}") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    return folder, texts
+
+
+def value(i, t):
+    return (t.translate(KANA), "译文" + t, "I CANNOT " + t, "\n  ", "译" * 12 + "か", "汉" + t.translate(KANA))[i % 6]
+
+
+def judge(v):
+    """(usable, trustworthy)"""
+    v = v.strip()
+    kana, cjk = len(re.findall("[\u3040-\u30ff]", v)), len(re.findall("[\u4e00-\u9fff]", v))
+    good = bool(v) and not any(m in v.lower() for m in fx.REFUSALS) and not (kana and not cjk)
+    return good, good and kana * 10 <= max(kana + cjk, 1)
+
+
+def test_cache_judges_whole_texts(spark, texts):
+    folder, docs = texts
+    values = [value(i, t) for i, t in enumerate(docs)]
+    for name, k in (("p8_usable_whole", 0), ("p9_trustworthy_whole", 1)):
+        assert sorted(run(spark, name, folder)) == [(i, judge(v)[k]) for i, v in enumerate(values)]
+    key = lambda i: hashlib.md5(f"t5|zh|{i % 200}".encode()).hexdigest()
+    version = lambda i: None if i % 11 == 0 else 2 if i % 7 == 0 else 1
+    assert sorted(run(spark, "a8_first_wins_whole", folder)) == sorted((key(i), v) for i, v in enumerate(values) if version(i) == 1 and judge(v)[0])
+    good = sum(judge(v)[1] for v in values)
+    assert run(spark, "a6_cache_audit_whole", folder) == [(len(docs), good, len(docs) - good, sum(version(i) is None for i in range(len(docs))))]
+    got = library.queries()["k11_cache_clean_whole"](spark, folder).select("n", "k", "t").collect()
+    assert sorted(map(tuple, got)) == [(i, key(i), v) for i, v in enumerate(values) if judge(v)[1]]
+
+
+def test_echo_of_whole_texts(spark, tmp_path):
+    texts = ["bcdfg hjklm " * 40 + "aeiou", "aeiou " * 400, "bcdfg " * 50, "aei", "".join(chr(0x4E00 + i * 7 % 5000) + "a" for i in range(3000))]
+    texts = [t for t in texts for _ in range(2)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    strip = lambda t: re.sub(fx.ECHO_STRIP, "", t)
+    kana = lambda t: len(re.findall(fx.KANA, t))
+    want = []
+    for i, t in enumerate(texts):
+        source = t.translate(KANA)
+        s, v = strip(source), strip("译" + source if i % 2 else source + "。")
+        able = len(s) >= 8 and kana(s) >= 3
+        open_ = kana(v) > 0 and abs(len(v) - len(s)) <= max(2, int(len(s) * 0.25))
+        want.append((i, able and (v == s or open_ and SequenceMatcher(None, v, s).ratio() >= 0.9)))
+    assert sorted(run(spark, "p10_echo", str(tmp_path))) == want
+    assert want[0][1]  # kana only beyond 200 characters
