@@ -82,6 +82,12 @@ def f9_zone_whole(read):
     return f9_zone(read, whole=True)
 
 
+@query()
+def o3_reading_order_whole(read):
+    """With the feature's own cap; the query with SQL has that of its SQL, 4."""
+    return ops.reading_order(_candidates(read, whole=True)).select("page_no", "cand_idx", F.col("rank").cast("long").alias("rank"))
+
+
 @query()
 def j6_suppress_whole(read):
     return j6_suppress(read, whole=True)

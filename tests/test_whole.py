@@ -69,6 +69,14 @@ def test_suppression_on_all_orders(spark, candidates):
     assert sorted(run(spark, "j6_suppress_whole")) == sorted(want)
 
 
+def test_reading_order_keeps_eight(spark, candidates):
+    want = []
+    for page, rows in pages(candidates).items():
+        want += [(page, r[1], k) for k, r in enumerate(sorted(rows, key=lambda r: (round(r[3]), round(r[2]), r[1]))[:8])]
+    assert max(k for _, _, k in want) > 3
+    assert sorted(run(spark, "o3_reading_order_whole")) == sorted(want)
+
+
 def test_matching_on_all_orders(spark, rects):
     want = []
     for page, rows in pages(rects).items():
