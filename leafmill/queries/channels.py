@@ -84,11 +84,17 @@ def f34_normal_href(read):
 
 
 @query("SELECT source, string_agg('[' || doc_id || '] ' || left(text, 20), chr(10) ORDER BY doc_id) AS report FROM documents WHERE doc_id % 9 = 0 GROUP BY source")
-def k7_failed_units(read):
-    rows = read("documents").where("doc_id % 9 = 0").select("source", "doc_id", F.concat(F.lit("["), "doc_id", F.lit("] "), F.left("text", F.lit(20))).alias("line"))
+def k7_failed_units(read, most=20):
+    rows = read("documents").where("doc_id % 9 = 0").select("source", "doc_id", F.concat(F.lit("["), "doc_id", F.lit("] "), F.left("text", F.lit(most))).alias("line"))
     return sinks.ordered_text(rows, "source", "doc_id", "line", "\n").withColumnRenamed("text", "report")
 
 
+@query()
+def k7_failed_units_whole(read):
+    """With the 300 characters of a source that the reference keeps."""
+    return k7_failed_units(read, 300)
+
+
 @query("SELECT conv_id AS book, count(*)::BIGINT + 1 AS files FROM conversations GROUP BY conv_id")
 def k3_packages(read):
     """A package per conversation, written and read back."""

@@ -75,11 +75,17 @@ _RUBY = "'<p><ruby>' || left(text, 20) || '<rp>(</rp><rt>' || right(text, 9) ||
 
 
 @query(rf"SELECT doc_id, regexp_replace({_RUBY}, '(?is)<rt\b[^>]*>.*?</rt\s*>|<rp\b[^>]*>.*?</rp\s*>', '', 'g') AS text FROM documents")
-def f1_strip_ruby(read):
-    made = F.concat(F.lit("<p><ruby>"), F.left("text", F.lit(20)), F.lit("<rp>(</rp><rt>"), F.right("text", F.lit(9)), F.lit('</rt><rp>)</rp></ruby><RT class="a">x</RT></p>'))
+def f1_strip_ruby(read, whole=False):
+    base, ruby = (F.col("text"), F.col("text")) if whole else (F.left("text", F.lit(20)), F.right("text", F.lit(9)))
+    made = F.concat(F.lit("<p><ruby>"), base, F.lit("<rp>(</rp><rt>"), ruby, F.lit('</rt><rp>)</rp></ruby><RT class="a">x</RT></p>'))
     return read("documents").select("doc_id", fx.strip_ruby(made).alias("text"))
 
 
+@query()
+def f1_strip_ruby_whole(read):
+    return f1_strip_ruby(read, whole=True)
+
+
 _ESC = "text"
 for _c, _e in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
     _ESC = f"replace({_ESC}, '{_c}', '{_e}')"

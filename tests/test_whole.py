@@ -1,5 +1,6 @@
 """Whole tables and whole texts, where the queries with SQL take a part: against brute force."""
 
+import base64
 import hashlib
 import re
 from difflib import SequenceMatcher
@@ -149,3 +150,16 @@ def test_echo_of_whole_texts(spark, tmp_path):
         want.append((i, able and (v == s or open_ and SequenceMatcher(None, v, s).ratio() >= 0.9)))
     assert sorted(run(spark, "p10_echo", str(tmp_path))) == want
     assert want[0][1]  # kana only beyond 200 characters
+
+
+def test_functions_take_whole_texts(spark, texts):
+    folder, docs = texts
+    assert sorted(run(spark, "f1_strip_ruby_whole", folder)) == [(i, f"<p><ruby>{t}</ruby></p>") for i, t in enumerate(docs)]
+    want = [(i, "data:image/png;base64," + base64.b64encode(t.encode()).decode(), hashlib.md5(t.encode()).hexdigest()) for i, t in enumerate(docs)]
+    assert sorted(run(spark, "f8_data_url_whole", folder)) == want
+
+
+def test_failed_units_keep_300_characters(spark, texts):
+    folder, docs = texts
+    got = {r["source"]: r["report"] for r in library.queries()["k7_failed_units_whole"](spark, folder).collect()}
+    assert got == {"s0": "\n".join(f"[{i}] {docs[i][:300]}" for i in range(0, len(docs), 9))}
