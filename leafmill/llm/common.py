@@ -96,11 +96,12 @@ def mix64(x):
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """Rows to learn from: labelled 0 or 1, not held out, at most per_class of each class in the order of a hash
-    of the id. per_class is the documented bound of training; the counts of both classes cover all rows."""
+    of the id. per_class is the documented bound of training; the counts of both classes cover all labelled ids of docs."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).where(
         F.col("y").isin(0, 1) & ~held_out(F.col("_id"))
     )
     known = known.groupBy("_id").agg(F.max("y").alias("y"))  # repeated label rows: the higher label counts
+    known = known.join(docs.select(F.col("doc_id").alias("_id")), "_id", "left_semi")
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n = sum(counts.values())
     if not n:

@@ -101,10 +101,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     import numpy as np
 
     sample, counts = labelled_sample(docs, labels, label, per_class)
+    total = sum(counts.values())
+    p = (counts.get(1, 0) + 0.5) / (total + 1)
+    share = np.zeros(1 << BITS, "f4"), math.log(p / (1 - p))
     if len(counts) < 2:
-        total = sum(counts.values())
-        p = (counts.get(1, 0) + 0.5) / (total + 1)
-        return np.zeros(1 << BITS, "f4"), math.log(p / (1 - p))
+        return share
 
     def run(batches):
         import pyarrow as pa
@@ -117,6 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     kind = sample.schema["doc_id"].dataType.simpleString()
     got = sample.mapInArrow(run, f"doc_id {kind}, y int, n int, idx array<int>").toArrow().sort_by([("doc_id", "ascending"), ("n", "ascending")])
     y = got["y"].to_pylist()
+    if len(set(y)) < 2:
+        return share
     w, b = train([(i.values.to_numpy(), n, t) for i, n, t in zip(got["idx"], got["n"].to_pylist(), y, strict=True)])
     ones = sum(y)
     # the sample holds the classes in other shares than the labelled rows do

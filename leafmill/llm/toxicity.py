@@ -116,10 +116,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     import numpy as np
 
     sample, counts = labelled_sample(docs, labels, label, per_class)
+    total = sum(counts.values())
+    p = (counts.get(1, 0) + 0.5) / (total + 1)
+    share = np.zeros(1 << BUCKET_BITS, "f4"), math.log(p / (1 - p))
     if len(counts) < 2:
-        total = sum(counts.values())
-        p = (counts.get(1, 0) + 0.5) / (total + 1)
-        return np.zeros(1 << BUCKET_BITS, "f4"), math.log(p / (1 - p))
+        return share
 
     def run(batches):
         import pyarrow as pa
@@ -131,7 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     kind = sample.schema["doc_id"].dataType.simpleString()
     got = sample.mapInArrow(run, f"doc_id {kind}, y int, buckets array<int>, weights array<float>").toArrow().sort_by([("doc_id", "ascending")])
     bags = [(at.values.to_numpy(), w.values.to_numpy()) for at, w in zip(got["buckets"], got["weights"], strict=True)]
-    return train(bags, got["y"].to_pylist())
+    y = got["y"].to_pylist()
+    return train(bags, y) if len(set(y)) == 2 else share
 
 
 class WordLogits:
