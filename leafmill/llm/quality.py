@@ -30,7 +30,7 @@ _RUNS = re.compile(r"(A+)|(a+)|(0+)|(.)\4*", re.S)
 
 def shape(word: str) -> str:
     """Letters as A or a, digits as 0, other characters as they are; runs shortened to one (symbols: to two)."""
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
+    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return _RUNS.sub(lambda m: m[0][:1] if m[4] is None else m[0][:2], kinds)
 
 

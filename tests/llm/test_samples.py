@@ -1,4 +1,4 @@
-"""Samples of a part of the labelled documents."""
+"""Samples of a part of the labelled documents; shapes of long words."""
 
 import zlib
 
@@ -32,3 +32,9 @@ def test_no_labelled_document_gives_the_share(module, shard, spark):
     label = "quality" if module is quality else "toxic"
     model = module.fit(other, labels, label, 30)
     assert {r["score"] for r in module.score(other, model).collect()} == {0.5}
+
+
+def test_shape_of_a_word_longer_than_64():
+    assert quality.shape("a" * 64 + "7!!!B") == "a0!!A"
+    one, other = (quality.Hasher().features("x" * 70 + end)[0][1] for end in ("y", "9"))
+    assert one != other  # the shapes differ in what comes last
