@@ -9,8 +9,8 @@ blocks, by matrix products. A vector's links are all counted in its home cell, s
 vector, a count and at most one link per spanning-forest edge, so output stays linear where whole groups are linked.
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component, and those with a null label, have no
-links; repeated ids form one row each time they occur, and link with each other as other vectors do; null ids count as
-partners, but get no component of their own and are left out; an empty table gives an empty table.
+links; repeated ids form one row each time they occur, and link with each other as other vectors do; rows with a null id
+are left out and count for nobody; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -42,13 +42,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     finite = F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     usable = F.col("v").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull()
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
-    # equal vectors of a label: one class, its smallest id stands for it; -0.0 and 0.0 are equal
+    # equal vectors of a label: one class with a key of its own, as ids may repeat; rep is its smallest id; -0.0 and 0.0 are equal
     plain = F.transform("v", lambda x: x + F.lit(0.0))
     keyed = rows.where("usable").select("id", F.struct(F.col("label").cast("string").alias("label"), F.size("v").alias("dim")).alias("grp"), plain.alias("v"))
-    classes = materialize(keyed.groupBy("grp", "v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "vectors")
+    classes = keyed.groupBy("grp", "v").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
+    classes = materialize(classes.withColumn("key", F.monotonically_increasing_id()), "vectors")  # written, so that it stays
     of_group = classes.groupBy("grp").agg(F.count("*").alias("n"))
     # a bounded number of pivots for each label, in hash order
-    order = Window.partitionBy("grp").orderBy("order", "rep")
+    order = Window.partitionBy("grp").orderBy("order", "rep", "key")
     drawn = classes.withColumn("order", F.xxhash64("rep")).join(of_group, "grp")
     cells = F.least(F.ceil(F.col("n") / CELL), F.lit(MAX_CELLS))
     share = F.abs(F.col("order") / F.lit(2.0**63))
@@ -64,38 +65,38 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
         last, table = None, None
         for b in batches:
             homes, angles = [], []
-            for v, key, p in zip(b.column(1), b.column(2), b.column(3), strict=True):
-                key = key.as_py()
-                if key != last:
-                    last, table = key, np.array([x["p"] for x in p.as_py()], float)
+            for v, group, p in zip(b.column(1), b.column(2), b.column(3), strict=True):
+                group = group.as_py()
+                if group != last:
+                    last, table = group, np.array([x["p"] for x in p.as_py()], float)
                     table /= np.linalg.norm(table, axis=1, keepdims=True)
                 x = np.array(v.as_py(), float)
                 a = np.arccos(np.clip(table @ (x / np.linalg.norm(x)), -1, 1))
                 homes.append(int(a.argmin()))
                 angles.append(a)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(homes, pa.int32()), pa.array(angles, pa.list_(pa.float64()))], ["rep", "home", "angles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(homes, pa.int32()), pa.array(angles, pa.list_(pa.float64()))], ["key", "home", "angles"])
 
     # labels are few, but not bounded; each row meets its own label's pivots in a join that AQE may split
-    met = classes.join(by_group, "grp").select("rep", "v", F.to_json("grp").alias("key"), "pivots")
-    placed = materialize(met.mapInArrow(to_pivots, "rep long, home int, angles array<double>").join(classes, "rep"), "placed")
+    met = classes.join(by_group, "grp").select("key", "v", F.to_json("grp").alias("group"), "pivots")
+    placed = materialize(met.mapInArrow(to_pivots, "key long, home int, angles array<double>").join(classes, "key"), "placed")
     radius = placed.groupBy("grp", F.col("home").alias("cell")).agg(F.max(F.expr("angles[home]")).alias("radius"))
-    spread = placed.select("grp", "rep", "v", "weight", "home", F.expr("angles[home]").alias("own"), F.posexplode("angles").alias("cell", "angle"))
+    spread = placed.select("grp", "key", "v", "weight", "home", F.expr("angles[home]").alias("own"), F.posexplode("angles").alias("cell", "angle"))
     spread = spread.where((F.col("cell") == F.col("home")) | (F.col("angle") <= F.col("own") + 2 * eps))
     spread = spread.join(radius, ["grp", "cell"]).where((F.col("cell") == F.col("home")) | (F.col("angle") <= F.col("radius") + eps))
     # blocks of a cell: hashed, as many as its vectors fill; each home block meets each block
-    here = materialize(spread.select("grp", "cell", "rep", "v", "weight", (F.col("cell") == F.col("home")).alias("home")), "cells")
+    here = materialize(spread.select("grp", "cell", "key", "v", "weight", (F.col("cell") == F.col("home")).alias("home")), "cells")
     sizes = here.groupBy("grp", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("all_blocks"), F.ceil(F.sum(F.col("home").cast("int")) / BLOCK).cast("int").alias("home_blocks"))
     blocked = here.join(sizes, ["grp", "cell"])
-    dealt = lambda n: F.pmod(F.xxhash64("rep", F.lit(1)), F.col(n)).cast("int")
-    left = blocked.where("home").select("grp", "cell", dealt("home_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"), "rep", "v", "weight")
-    right = blocked.select("grp", "cell", F.explode(F.sequence(F.lit(0), F.col("home_blocks") - 1)).alias("i"), dealt("all_blocks").alias("j"), "rep", "v", "weight")
+    dealt = lambda n: F.pmod(F.xxhash64("key", F.lit(1)), F.col(n)).cast("int")
+    left = blocked.where("home").select("grp", "cell", dealt("home_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"), "key", "v", "weight")
+    right = blocked.select("grp", "cell", F.explode(F.sequence(F.lit(0), F.col("home_blocks") - 1)).alias("i"), dealt("all_blocks").alias("j"), "key", "v", "weight")
 
     def join(a, b):
         import numpy as np
         import pyarrow as pa
 
-        ia, wa = a["rep"].to_numpy(), a["weight"].to_numpy()
-        ib, wb = b["rep_"].to_numpy(), b["weight_"].to_numpy()
+        ia, wa = a["key"].to_numpy(), a["weight"].to_numpy()
+        ib, wb = b["key_"].to_numpy(), b["weight_"].to_numpy()
         out_id, out_n, out_to = [], [], []
         if len(ia) and len(ib):
             xa = np.array(a["v"].combine_chunks().flatten()).reshape(len(ia), -1)
@@ -125,16 +126,19 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
                 out_id.append(x)
                 out_n.append(int(n[i]))
                 out_to.append(tos[1:])
-        return pa.table([pa.array(out_id, pa.int64()), pa.array(out_n, pa.int64()), pa.array(out_to, pa.list_(pa.int64()))], ["rep", "n", "to"])
+        return pa.table([pa.array(out_id, pa.int64()), pa.array(out_n, pa.int64()), pa.array(out_to, pa.list_(pa.int64()))], ["key", "n", "to"])
 
     keys = ["grp", "cell", "i", "j"]
-    left = left.select(F.to_json("grp").alias("grp"), *keys[1:], "rep", "v", "weight")
-    right = right.select(F.to_json("grp").alias("grp_"), *[F.col(k).alias(f"{k}_") for k in [*keys[1:], "rep", "v", "weight"]])
+    left = left.select(F.to_json("grp").alias("grp"), *keys[1:], "key", "v", "weight")
+    right = right.select(F.to_json("grp").alias("grp_"), *[F.col(k).alias(f"{k}_") for k in [*keys[1:], "key", "v", "weight"]])
     pairs = left.groupBy(*keys).cogroup(right.groupBy(*[f"{k}_" for k in keys]))
-    found = materialize(pairs.applyInArrow(join, "rep long, n long, to array<long>"), "found")
-    groups = components(found.select(F.col("rep").alias("a"), F.explode("to").alias("b")))
-    per_class = classes.join(found.groupBy("rep").agg(F.sum("n").alias("n")), "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-    per_class = per_class.select("grp", "v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    found = materialize(pairs.applyInArrow(join, "key long, n long, to array<long>"), "found")
+    groups = components(found.select(F.col("key").alias("a"), F.explode("to").alias("b")))
+    grouped = classes.select("key", "rep").join(groups.withColumnRenamed("id", "key"), "key")
+    least = grouped.groupBy("component").agg(F.min("rep").alias("least"))  # a component bears its smallest id
+    named = grouped.join(least, "component").select("key", "least")
+    per_class = classes.join(found.groupBy("key").agg(F.sum("n").alias("n")), "key", "left").join(named, "key", "left")
+    per_class = per_class.select("grp", "v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
     linked = keyed.join(per_class, ["grp", "v"]).select("id", "n_links", "component_id")
     alone = rows.where("not usable").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))

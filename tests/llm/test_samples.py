@@ -1,10 +1,10 @@
-"""Samples of a part of the labelled documents; shapes of long words."""
+"""Samples of a part of the labelled documents; shapes of long words; repeated ids of vectors."""
 
 import zlib
 
 import pytest
 
-from leafmill.llm import common, quality, toxicity
+from leafmill.llm import common, neardup_vectors, quality, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +38,12 @@ def test_shape_of_a_word_longer_than_64():
     assert quality.shape("a" * 64 + "7!!!B") == "a0!!A"
     one, other = (quality.Hasher().features("x" * 70 + end)[0][1] for end in ("y", "9"))
     assert one != other  # the shapes differ in what comes last
+
+
+def test_vectors_of_one_id_are_told_apart(spark):
+    a, near_a, b, c = [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    # 5: two vectors that link with each other, one of another direction, one of another label; 7 and 9 link with one of them each
+    rows = [(5, a, 0), (5, near_a, 0), (5, b, 0), (5, c, 1), (7, [0.0, 1.0, 0.1], 0), (9, [0.0, 0.1, 1.0], 1), (8, b, 0), (3, [1.0, 0.0, 0.1], 0)]
+    got = neardup_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    want = [(5, 2, 3, False), (5, 2, 3, False), (5, 2, 5, True), (5, 1, 5, True), (7, 2, 5, False), (9, 1, 5, False), (8, 2, 5, False), (3, 2, 3, True)]
+    assert sorted(map(tuple, got)) == sorted(want)
