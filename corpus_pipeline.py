@@ -36,7 +36,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", keep_quality), ("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("packing", pack)]
 
-#: Trained models, signatures and packing are beyond SQL; tests/llm compares the stages with brute force.
+#: Trained models, signatures and packing are beyond SQL; tests/llm compares operators with brute force, of the stages columns, null and repeated ids.
 ORACLE_SQL = None
 
 
