@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def forest(links: DataFrame) -> DataFrame:
@@ -40,10 +40,12 @@ def forest(links: DataFrame) -> DataFrame:
     return links.select("a", "b").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component): every vertex of links (a, b; no nulls) with the smallest vertex of its component."""
+def components(links: DataFrame) -> DataFrame:
+    """(id, component): every vertex of links (a, b; no nulls) with the smallest vertex of its component.
+
+    Rounds go on until nothing is left to move: their number grows with the logarithm of the longest path, and is not limited."""
     now = materialize(forest(links).where("a != b").distinct(), "links")
-    for _ in range(rounds):
+    while True:
         # large star: neighbours greater than u move to the smallest of u and its neighbours
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -57,11 +59,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         # done when every vertex has one link and no root has any
         tall = new.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
         deep = 0 if tall else new.join(new.select(F.col("a").alias("r")), F.col("b") == F.col("r"), "left_semi").limit(1).count()
+        release(now)
         now = new
         if not tall and not deep:
             break
-    else:
-        raise RuntimeError(f"components not settled after {rounds} rounds")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
         now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )

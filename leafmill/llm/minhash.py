@@ -15,7 +15,10 @@ The steps:
    are compared with the bucket's others in blocks, and new links regroup; so no link that joins components is lost, and
    no group is expanded into all its pairs.
 
-Defined results: null, empty and blank texts have no shingles and stand alone; a text with fewer words than a shingle has its
+A bucket, a set or a hub that many texts share is never one task's: such keys are told by their counts and broadcast (join_one),
+hubs' texts are dealt over salted copies, and blocks are of bounded size.
+
+Defined results: null, empty and blank texts have no shingles and stand alone; very long texts are taken whole; a text with fewer words than a shingle has its
 whole word sequence as its one shingle; repeated texts form one class; rows that repeat an id form one row of the
 result, linked with whatever any of them is linked with, and the largest of their set sizes; null ids are left out; an empty table gives an empty table.
 """
@@ -25,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, worker_cache
+from .common import Words, join_one, materialize, mix64, passing, release, worker_cache
 from .components import components
 
 BANDS, ROWS = 40, 6
@@ -41,22 +44,13 @@ class WordHashes:
     """64-bit hashes of words; words met before are remembered."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self.known = Words(MAX_WORDS)
 
     def __call__(self, words: list[bytes]):
         import numpy as np
         import xxhash
 
-        known = self.known
-        if len(known) > MAX_WORDS:
-            known.clear()
-        try:
-            return np.array([known[w] for w in words], "u8")
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            return np.array([known[w] for w in words], "u8")
+        return np.array(self.known.of(words, lambda new: [xxhash.xxh3_64_intdigest(w) for w in new]), "u8")
 
 
 def shingles(text: str | None, size: int, word_hashes: WordHashes):
@@ -168,14 +162,12 @@ def _described(docs: DataFrame, size: int) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union.
 
-    b's text meets its pairs by a plain join on distinct ids; a may be the centre of many pairs, so its text goes out in as
-    many salted copies as its pairs fill blocks of 256, and pairs are dealt over those."""
+    pairs and docs are written tables. b's text meets its pairs by a plain join on distinct ids; a may be the centre of many pairs, so
+    its text goes out in as many salted copies as its pairs fill blocks of 256, and pairs are dealt over those."""
     fan = 256
-    salted = pairs.withColumn("salt", F.expr(f"pmod(xxhash64(b), {1 << 20})"))
-    degree = pairs.groupBy(F.col("a").alias("id")).agg((F.count("*") / fan).cast("int").alias("top"))
-    left = docs.join(degree, "id").select("id", F.col("text").alias("text_a"), "top", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("copy"))
-    degree_a = degree.select(F.col("id").alias("a"), "top")
-    with_top = salted.join(degree_a, "a").select("a", "b", F.expr("cast(salt % (top + 1) as int)").alias("copy"))
+    degree = materialize(pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("top", (F.col("n") / fan).cast("int")), "degrees")
+    left = docs.join(degree.select(F.col("a").alias("id"), "top"), "id").select("id", F.col("text").alias("text_a"), "top", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("copy"))
+    with_top = join_one(pairs, degree, "a").select("a", "b", F.expr(f"cast(pmod(xxhash64(b), {1 << 20}) % (top + 1) as int)").alias("copy"))
     both = (
         with_top.join(docs.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         .join(left.select(F.col("id").alias("a"), "copy", "text_a"), ["a", "copy"])
@@ -258,34 +250,47 @@ def _matrix(sets: list, columns):
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per id: doc_id, n_shingles, component_id (the smallest id reachable by links), kept (doc_id = component_id)."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).where("id is not null")
+    with passing(docs.sparkSession) as keep:
+        classes, group = _grouped(rows, size, percent)
+        keep(classes, group)
+    top = group.select(F.col("id").alias("rep"), "component")
+    return classes.join(top, "rep", "left").select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), (F.col("id") == F.coalesce("component", "rep")).alias("kept")
+    )
+
+
+def _grouped(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: ids with set sizes and their classes (id, n, rep), and the components of linked classes (id, component)."""
     known = materialize(_described(rows, size), "shingles")
-    # classes of equal sets; reps are vertices of the links. Only sets that occur again are joined, and that join stands alone in
-    # its stage, so that a set which many texts share can be split.
-    again = known.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last")
-    again = materialize(again.select("digest", "rep"), "copies")
-    each = materialize(known.select("id", "n", "digest").join(again, "digest", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "each")
+    # classes of equal sets; reps are vertices of the links. Only sets that occur again are joined.
+    again = known.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count("*").alias("times")).where("rep < last")
+    again = materialize(again.select("digest", "rep", "times"), "copies")
+    filled = join_one(known.select("id", "n", "digest").where("n > 0"), again, "digest", "times", "left")
+    each = filled.select("id", "n", F.coalesce("rep", "id").alias("rep")).unionByName(known.where("n = 0").select("id", "n", F.col("id").alias("rep")))
+    each = materialize(each, "each")
     classes = materialize(each.groupBy("id").agg(F.max("n").alias("n"), F.min("rep").alias("rep"), F.max("rep").alias("high")), "classes")
     twice = each.join(classes.where("rep < high").select("id", F.col("rep").alias("low")), "id").where("rep > low")  # ids with several rows
     own = known.where("n > 0").join(each.where("id = rep and n > 0").select("id").distinct(), "id", "left_semi")
     keys = materialize(own.select("id", F.explode("keys").alias("key")).distinct(), "bands")
-    buckets = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
-    shared = materialize(keys.join(buckets, "key").select("key", "hub", "id"), "buckets")  # members of buckets of two or more
+    buckets = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    shared = materialize(join_one(keys, materialize(buckets, "hubs"), "key").select("key", "hub", "id"), "buckets")  # members of buckets of two or more
+    release(known, again, keys)
     texts = materialize(rows.join(shared.select("id").distinct(), "id", "left_semi"), "texts")
-    found = materialize(_verified(shared.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), texts, size, percent), "verified")
+    pairs = materialize(shared.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    found = materialize(_verified(pairs, texts, size, percent), "verified")
     links = found.where("linked").select("a", "b").unionByName(twice.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     group = materialize(components(links), "groups")
     # Buckets that still hold several components: the largest is the bucket's main one, members of others are strays. A pair
     # that joins components has a stray in it, so strays are compared with all that share a bucket of the same main component.
-    placed = shared.join(group, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    placed = materialize(placed.join(mixed, "key"), "mixed")
-    size_of = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    main = size_of.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
-    near = placed.join(main, "key").select("main", "id", "comp").distinct().join(classes.select("id", "n"), "id")
+    placed = materialize(shared.join(group, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp")), "placed")
+    by_comp = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    mains = by_comp.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("n"), F.count("*").alias("comps"))
+    mains = materialize(mains.where("comps > 1").select("key", "main", "n"), "mains")
+    near = join_one(placed, mains, "key").select("main", "id", "comp").distinct().join(classes.select("id", "n"), "id")
     near = materialize(near, "near")
     fill = near.groupBy("main").agg(F.count("*").alias("all"), F.count_if(F.col("comp") != F.col("main")).alias("strays"))
-    fill = fill.withColumn("few", F.col("strays") * F.col("all") <= FEW * (F.col("strays") + F.col("all")))
-    near = materialize(near.join(fill, "main"), "near")
+    fill = materialize(fill.withColumn("few", F.col("strays") * F.col("all") <= FEW * (F.col("strays") + F.col("all"))), "fill")
+    near = materialize(join_one(near, fill, "main", "all"), "near")
     few = near.where("few")  # at most FEW pairs a row
     crossed = few.where("comp != main").select("main", F.col("id").alias("x"), F.col("comp").alias("comp_x"), F.col("n").alias("n_x")).join(
         few.select("main", F.col("id").alias("y"), F.col("comp").alias("comp_y"), F.col("n").alias("n_y")), "main"
@@ -296,7 +301,4 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     more = materialize(more.unionByName(_verified_blocks(near.where("not few"), texts, size, percent)), "more")
     if more.limit(1).count():
         group = materialize(components(links.unionByName(more)), "groups")
-    top = group.select(F.col("id").alias("rep"), "component")
-    return classes.join(top, "rep", "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), (F.col("id") == F.coalesce("component", "rep")).alias("kept")
-    )
+    return classes, group

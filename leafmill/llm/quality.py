@@ -5,10 +5,13 @@ digits and the symbols around them, lengths left out). Features are hashed n-gra
 shapes, and a mark for each word that repeats the one before. A feature weighs 1 / sqrt(number of words) at each
 occurrence, so a score is one sparse dot product over the whole text.
 
-Training takes a bounded sample (labelled_sample: at most `per_class` texts of each class, whole); the classes' counts over
-all labelled rows put the odds right afterwards. Null and empty texts score by the intercept alone; repeated rows score
-alike; without labels, or with labels of a single class, the score is the (smoothed) share of label 1; further columns
-are ignored by score() and kept by keep().
+Training takes a bounded sample (labelled_sample: at most `per_class` texts of each class, whole, of CLASS_BYTES together); the
+classes' counts over all labelled rows put the odds right afterwards.
+
+Defined results: null and empty texts score by the intercept alone; very long texts and words are read to their end; repeated
+rows and equal texts score alike (rows that repeat an id are one in training, the least text counts); without labels, or with labels
+of a single class, the score is the (smoothed) share of label 1; an empty table gives an empty table; further columns are
+ignored by score() and kept by keep().
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from .common import filter_scores, labelled_sample, map_scores, mix64, sigmoid, worker_cache
+from .common import Words, filter_scores, labelled_sample, map_scores, mix64, sigmoid, worker_cache
 
 BITS = 18
 #: Texts of each class that training takes at most.
@@ -39,14 +42,14 @@ class Hasher:
 
     def __init__(self, bits: int = BITS):
         self.bits = bits
-        self.known: dict[bytes, tuple[int, int]] = {}
+        self.known = Words(MAX_WORDS)
 
-    def look(self, word: bytes) -> tuple[int, int]:
+    @staticmethod
+    def look(words: list[bytes]) -> list[tuple[int, int]]:
         import xxhash
 
-        text = word.decode("utf-8", "replace")
-        made = self.known[word] = (xxhash.xxh3_64_intdigest(text.lower().encode()), xxhash.xxh3_64_intdigest(shape(text).encode(), 7))
-        return made
+        texts = [w.decode("utf-8", "replace") for w in words]
+        return [(xxhash.xxh3_64_intdigest(t.lower().encode()), xxhash.xxh3_64_intdigest(shape(t).encode(), 7)) for t in texts]
 
     def features(self, text: str | None):
         """(indices with repeats, number of words)."""
@@ -56,10 +59,7 @@ class Hasher:
         n = len(words)
         if not n:
             return np.zeros(0, "i8"), 0
-        known = self.known
-        if len(known) > MAX_WORDS:
-            known.clear()
-        both = np.array([known.get(w) or self.look(w) for w in words], "u8")
+        both = np.array(self.known.of(words, self.look), "u8")
         w, s = both[:, 0], both[:, 1]
         mul = np.uint64(0x9E3779B97F4A7C15)
         parts = [w, w[:-1] * mul + w[1:], s, s[:-1] * mul + s[1:] + np.uint64(11), (s[:-2] * mul + s[1:-1]) * mul + s[2:] + np.uint64(13)]

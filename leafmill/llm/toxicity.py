@@ -4,11 +4,13 @@ A word (lower-cased run of non-space characters) is the mean of the embeddings o
 buckets; so misspellings and new inflections share most of their vectors with words met in training. A text is the
 mean of its distinct words and of PADDING empty vectors (so that a few odd words of a short text weigh less), and a softmax over
 two classes reads that mean. Embeddings and softmax are trained jointly in numpy, by
-minibatch Adam on a bounded sample (labelled_sample: at most `per_class` texts of each class, whole). As the
-network is linear after the averages, scoring needs one number per word: the mean of its n-grams' logits.
+minibatch Adam on a bounded sample (labelled_sample: at most `per_class` texts of each class, whole, of CLASS_BYTES together). As
+the network is linear after the averages, scoring needs one number per word: the mean of its n-grams' logits.
 
-Null and empty texts score by the intercept alone; repeated rows score alike; without labels, or with labels of one
-class only, the score is the (smoothed) share of label 1. Further columns are ignored by score() and kept by keep().
+Defined results: null and empty texts score by the intercept alone; very long texts and words are read to their end; repeated
+rows and equal texts score alike (rows that repeat an id are one in training, the least text counts); without labels, or with labels
+of one class only, the score is the (smoothed) share of label 1; an empty table gives an empty table; further columns are
+ignored by score() and kept by keep().
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import math
 
 from pyspark.sql import DataFrame
 
-from .common import filter_scores, labelled_sample, map_scores, mix64, sigmoid
+from .common import Words, filter_scores, labelled_sample, map_scores, mix64, sigmoid
 
 BUCKET_BITS = 17
 DIM = 4
@@ -80,7 +82,10 @@ def train(bags: list, labels: list[int], epochs: int = EPOCHS, batch: int = 64,
     y = np.array(labels, float)
     ones = max(y.sum(), 1)
     even = np.where(y == 1, 0.5 * len(y) / ones, 0.5 * len(y) / max(len(y) - ones, 1))  # both classes weigh the same
-    emb = rng.normal(0, 0.1, (DIM, 1 << bits)).astype("f4")
+    every = rng.normal(0, 0.1, (DIM, 1 << bits)).astype("f4")
+    used = np.unique(np.concatenate([at for at, _ in bags]))  # buckets of no bag never move, so steps leave them out
+    bags = [(np.searchsorted(used, at), w) for at, w in bags]
+    emb = every[:, used]
     out = rng.normal(0, 1, (2, DIM)).astype("f4")
     bias = np.zeros(2, "f4")
     params = [emb, out, bias]
@@ -101,14 +106,15 @@ def train(bags: list, labels: list[int], epochs: int = EPOCHS, batch: int = 64,
             p /= p.sum(0)
             wrong = (p - np.stack([1 - y[rows], y[rows]])) * even[rows] / len(rows)
             back = (out.T @ wrong).astype("f4")
-            g_emb = np.stack([np.bincount(idx, back[k][doc] * w, 1 << bits) for k in range(DIM)]).astype("f4")
+            g_emb = np.stack([np.bincount(idx, back[k][doc] * w, len(used)) for k in range(DIM)]).astype("f4")
             pace = rate * (1 - (step - 1) / total)
             for p_, g, m, v in zip(params, (g_emb, wrong @ hidden.T, wrong.sum(1)), first, second, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 p_ -= pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    every[:, used] = emb
     reads = out[1] - out[0]
-    return (reads @ emb).astype("f4"), float(bias[1] - bias[0])
+    return (reads @ every).astype("f4"), float(bias[1] - bias[0])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS):
@@ -141,23 +147,17 @@ class WordLogits:
 
     def __init__(self, logits, intercept: float):
         self.logits, self.intercept = logits, intercept
-        self.known: dict[str, float] = {}
+        self.known = Words(MAX_WORDS)
 
-    def __call__(self, text: str | None) -> float:
+    def look(self, words: list[str]) -> list[float]:
         import numpy as np
 
+        owner, bucket = grams(words)
+        return (np.bincount(owner, self.logits[bucket], len(words)) / np.bincount(owner, minlength=len(words))).tolist()
+
+    def __call__(self, text: str | None) -> float:
         words = split(text)
-        if not words:
-            return sigmoid(self.intercept)
-        if len(self.known) > MAX_WORDS:
-            self.known.clear()
-        known = self.known
-        new = list({w for w in words if w not in known})
-        if new:
-            owner, bucket = grams(new)
-            sums = np.bincount(owner, self.logits[bucket], len(new)) / np.bincount(owner, minlength=len(new))
-            known.update(zip(new, sums.tolist(), strict=True))
-        return sigmoid(self.intercept + math.fsum([known[w] for w in words]) / (len(words) + PADDING))
+        return sigmoid(self.intercept + math.fsum(self.known.of(words, self.look)) / (len(words) + PADDING))
 
 
 def scorer(spark, model):
