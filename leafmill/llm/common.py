@@ -73,7 +73,7 @@ def release(*tables: DataFrame) -> None:
 def passing(spark: SparkSession):
     """Tables written inside go at the end, but for those handed to the function that this gives."""
     before, kept = set(_made), set()
-    yield lambda *tables: kept.update(_path_of[t] for t in tables)
+    yield lambda *tables: kept.update(_path_of[t] for t in tables if t in _path_of)
     drop(spark, *[p for p in _made if p not in before and p not in kept])
 
 

@@ -8,10 +8,13 @@ that refuses it has an odd number. Membership is thereby exact on all keys of th
 
 A level has its bits sized by the keys it encodes; level 0 is sized by the universe too, so that about as many
 false positives as listed keys remain. So the cascade's size follows the list and the logarithm of the corpus. Filters travel as
-literals of the expression: MAX_BITS bounds them, and a list too large for that is an error, never a wrong answer.
+literals of the expression. A list whose level 0 would take more than MAX_BITS is dealt over shards by a hash of the key, each
+with a cascade of its own, and shards are asked PASS_BITS at a time: a pass takes from each url's candidates those of its shards
+that aren't listed. So lists of any size give exact verdicts; they cost passes, not accuracy.
 
-Defined results: a null url, or one without "://", has empty host and path; only rules with an empty host cover it. Repeated urls
-are judged alike; an empty table gives an empty table; further columns are ignored.
+Defined results: a null url, or one without "://", has empty host and path; only rules with an empty host cover it; very long urls are
+taken whole. Repeated urls are judged alike; an empty table gives an empty table; without rules every url gets the default; of two rules
+for one key that which blocks holds; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +24,12 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, passing, release
 
-#: Most bits that a level may have (8 MB).
+#: Bits that a level of a shard has about at most (8 MB), and those of all shards that one expression asks.
 MAX_BITS = 1 << 26
-MAX_LEVELS = 40
+PASS_BITS = 1 << 28
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def parts(pages: DataFrame, url_col: str) -> DataFrame:
@@ -33,8 +37,7 @@ def parts(pages: DataFrame, url_col: str) -> DataFrame:
     rest = F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), "(?s)^.*?://(.*)$", 1)
     host = F.regexp_extract(rest, "(?s)^[^/?#]*", 0)
     path = F.regexp_extract(rest, "(?s)^[^/?#]*([^?#]*)", 1)
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return pages.withColumns({"host": F.translate(host, upper, lower), "path": path})
+    return pages.withColumns({"host": F.translate(host, UPPER, LOWER), "path": path})
 
 
 def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
@@ -47,11 +50,15 @@ def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.transform(F.sort_array(pairs), lambda x: x["key"])
 
 
-def _bits(key: Column, level: int, hashes: int, size: int) -> list[Column]:
-    """The key's bit positions at a level: double hashing with two halves of a 64-bit hash."""
-    h = F.xxhash64(key, F.lit(level))
+def _bits(key: Column, level: int, hashes: int, size: int) -> Column:
+    """The key's bit positions at a level: double hashing with two halves of a 64-bit hash that the level's number seeds."""
+    h = F.xxhash64(F.lit(level), key)
     first, stride = h.bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned(h, 33).bitwiseOR(F.lit(1).cast("long"))
-    return [(first + F.lit(k).cast("long") * stride) % F.lit(size) for k in range(hashes)]
+    return F.array(*[(first + F.lit(k).cast("long") * stride) % F.lit(size) for k in range(hashes)])
+
+
+def shard_of(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit("shard")), F.lit(shards)).cast("int")
 
 
 class Cascade:
@@ -63,11 +70,7 @@ class Cascade:
     def passes(self, key: Column, level: int) -> Column:
         hashes, size, words = self.levels[level]
         table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folded to one literal
-        out = F.lit(True)
-        for at in _bits(key, level, hashes, size):
-            word = F.get(table, F.shiftright(at, 6).cast("int"))
-            out = out & (F.getbit(word, F.pmod(at, F.lit(64)).cast("int")) == 1)
-        return out
+        return F.forall(_bits(key, level, hashes, size), lambda at: F.getbit(F.get(table, F.shiftright(at, 6).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1)
 
     def listed(self, key: Column) -> Column:
         """Whether the key is listed; exact for keys of the universe and of the list."""
@@ -76,15 +79,20 @@ class Cascade:
             out = F.when(self.passes(key, level), out).otherwise(F.lit(level % 2 == 1))
         return out
 
+    def bits(self) -> int:
+        return sum(size for _, size, _ in self.levels)
+
+
+def _size(n: int, bits_per_key: float) -> int:
+    return max(64, 64 * math.ceil(n * bits_per_key / 64))
+
 
 def _level(keys: DataFrame, number: int, n: int, bits_per_key: float) -> tuple[int, int, list[int]]:
     """One filter over keys (column key): positions are set by an aggregation per 64-bit word."""
-    size = max(64, 64 * math.ceil(n * bits_per_key / 64))
-    if size > MAX_BITS:
-        raise ValueError(f"{n} keys need a filter of {size} bits; {MAX_BITS} are allowed")
+    size = _size(n, bits_per_key)
     hashes = max(1, min(16, round(math.log(2) * size / max(n, 1))))
     words = [0] * (size // 64)
-    at = keys.select(F.explode(F.array(*_bits(F.col("key"), number, hashes, size))).alias("at"))
+    at = keys.select(F.explode(_bits(F.col("key"), number, hashes, size)).alias("at"))
     one = F.expr("shiftleft(1L, cast(pmod(at, 64) as int))")
     for r in at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("bits")).collect():  # size / 64 rows at most
         words[r["word"]] = r["bits"]
@@ -92,17 +100,22 @@ def _level(keys: DataFrame, number: int, n: int, bits_per_key: float) -> tuple[i
 
 
 def build(spark: SparkSession, listed: list[str], universe: DataFrame) -> Cascade:
-    """The cascade of the listed keys over the universe (column key, repeats allowed)."""
-    wanted = sorted(set(listed))
-    if not wanted:
+    """The cascade of a list of keys over the universe (column key, repeats allowed)."""
+    return cascade_of(spark.createDataFrame([(k,) for k in sorted(set(listed))], "key string"), materialize(universe.select("key").distinct(), "universe"))
+
+
+def cascade_of(keys: DataFrame, universe: DataFrame) -> Cascade:
+    """The cascade of the listed keys (column key, distinct) over the universe (column key, distinct). Both are written tables.
+
+    Each level halves what is left about three times over and takes a hash of its own, so levels end; their number isn't limited."""
+    n = keys.count()
+    if not n:
         return Cascade([(1, 64, [0])])
-    keys = spark.createDataFrame([(k,) for k in wanted], "key string")
-    total = universe.select(F.approx_count_distinct("key")).first()[0]
-    levels = [_level(keys, 0, len(wanted), max(2.0, 1.44 * math.log2(max(total, 2) / len(wanted) + 2)))]
+    levels = [_level(keys, 0, n, bits_of(n, universe.count()))]
     # false positives of level 0; only these few are told from the listed keys by comparison
-    wrong = universe.select("key").where(Cascade(levels).passes(F.col("key"), 0)).distinct().join(keys, "key", "left_anti")
+    wrong = universe.where(Cascade(levels).passes(F.col("key"), 0)).join(keys, "key", "left_anti")
     inside, outside = keys, None
-    while len(levels) < MAX_LEVELS:
+    while True:
         wrong = materialize(wrong, "false-positives")
         left = wrong.count()
         if not left:
@@ -112,23 +125,87 @@ def build(spark: SparkSession, listed: list[str], universe: DataFrame) -> Cascad
         inside, outside = (inside, wrong) if at % 2 else (wrong, outside)
         # the next level encodes what of the other side passes this one
         wrong = (inside if at % 2 else outside).where(Cascade(levels).passes(F.col("key"), at))
-    raise RuntimeError("the cascade did not end")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", otherwise: str = "allow") -> DataFrame:
+def bits_of(listed: int, universe: int) -> float:
+    """Bits that level 0 gives each listed key, for about as many false positives as there are listed keys."""
+    return max(2.0, 1.44 * math.log2(max(universe, 2) / max(listed, 1) + 2))
+
+
+class Filter:
+    """Cascades of all shards of a list, to be asked pass by pass."""
+
+    def __init__(self, shards: int, cascades: dict[int, Cascade]):
+        self.shards, self.cascades = shards, cascades
+
+    def passes(self) -> list[list[int]]:
+        """The shards' numbers, as many at a time as PASS_BITS hold (one at least)."""
+        out: list[list[int]] = []
+        room = 0
+        for k, c in self.cascades.items():
+            if not out or c.bits() > room:
+                out.append([])
+                room = PASS_BITS
+            out[-1].append(k)
+            room -= c.bits()
+        return out
+
+    def listed(self, key: Column, among: list[int]) -> Column:
+        """Whether a key of one of these shards is listed; true for keys of others, which another pass asks."""
+        if self.shards == 1:
+            return self.cascades[0].listed(key)
+        shard, out = shard_of(key, self.shards), F.lit(True)
+        for k in among:
+            out = F.when(shard == k, self.cascades[k].listed(key)).otherwise(out)
+        return out
+
+
+def filter_of(keys: DataFrame, universe: DataFrame) -> Filter:
+    """The exact filter of the listed keys over the universe (both column key, distinct, written tables)."""
+    n, total = keys.count(), universe.count()
+    shards = max(1, math.ceil(1.1 * _size(n, bits_of(n, total)) / MAX_BITS))  # hashed shards are not quite equal
+    if shards == 1:
+        return Filter(1, {0: cascade_of(keys, universe)})
+    part = lambda t, k: t.where(shard_of(F.col("key"), shards) == k)
+    return Filter(shards, {k: cascade_of(part(keys, k), part(universe, k)) for k in range(shards)})
+
+
+def left_of(asked: DataFrame, wanted: Filter) -> DataFrame:
+    """asked with the listed ones alone of its candidates (column asked); a written table where that takes several passes."""
+    passes = wanted.passes()
+    for among in passes:
+        made = asked.withColumn("asked", F.filter("asked", lambda x: wanted.listed(x, among)))  # noqa: B023 (called at once)
+        if len(passes) == 1:
+            return made
+        made = materialize(made, "asked")
+        release(asked)
+        asked = made
+    return asked
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, id_col: str = "page_id", url_col: str = "url", otherwise: str = "allow") -> DataFrame:
     """page_id, host, path, rule (host and path of the longest rule that fits, or null), verdict.
 
-    rules: (verdict, host, path). A rule fits its host and all subdomains, if the url's path starts with the rule's. Of two
-    rules for one key, that which blocks holds. Urls that no rule fits get `otherwise`."""
+    rules: (verdict, host, path), as a list or as a table of any size with these columns. A rule fits its host (A-Z lower-cased) and
+    all subdomains, if the url's path starts with the rule's. Of two rules for one key, that which blocks holds. Urls that no
+    rule fits get `otherwise`."""
     spark = pages.sparkSession
-    keys = {f"{h.lower()}\n{p}" for _, h, p in rules}
-    blocked = {f"{h.lower()}\n{p}" for v, h, p in rules if v == "block"}
-    lengths = [len(p) for _, _, p in rules] or [0]
-    seen = parts(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("_url")), "_url").select("page_id", "host", "path")
-    asked = seen.select("page_id", "host", "path", candidates(F.col("host"), F.col("path"), lengths).alias("asked"))
-    universe = asked.select(F.explode("asked").alias("key"))
-    known, bad = build(spark, list(keys), universe), build(spark, list(blocked), universe)
-    first = F.get(F.filter("asked", known.listed), F.lit(0))
-    out = asked.select("page_id", "host", "path", first.alias("key"))
-    verdict = F.when(F.col("key").isNull(), otherwise).when(bad.listed(F.col("key")), "block").otherwise("allow")
-    return out.select("page_id", "host", "path", F.translate("key", "\n", "").alias("rule"), verdict.alias("verdict"))
+    with passing(spark) as keep:
+        if not isinstance(rules, DataFrame):
+            rules = spark.createDataFrame(rules, "verdict string, host string, path string")
+        key = F.concat(F.translate(F.coalesce("host", F.lit("")), UPPER, LOWER), F.lit("\n"), F.coalesce("path", F.lit("")))
+        ruled = materialize(rules.groupBy(key.alias("key")).agg(F.min(F.coalesce(F.length("path"), F.lit(0))).alias("n"), F.bool_or(F.col("verdict") == "block").alias("block")), "rules")
+        lengths = sorted(r["n"] for r in ruled.select("n").distinct().collect())  # path lengths: as many as the longest path has characters
+        seen = parts(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("_url")), "_url").select("page_id", "host", "path")
+        asked = seen.select("page_id", "host", "path", candidates(F.col("host"), F.col("path"), lengths or [0]).alias("asked"))
+        universe = materialize(asked.select(F.explode("asked").alias("key")).distinct(), "universe")
+        keys = materialize(ruled.select("key"), "keys")
+        known = filter_of(keys, universe)
+        bad = filter_of(materialize(ruled.where("block").select("key"), "blocked"), keys)  # only listed keys are asked about it
+        release(universe)
+        asked = left_of(asked, known)
+        keep(asked)
+        asked = left_of(asked.select("page_id", "host", "path", F.get("asked", F.lit(0)).alias("key"), F.slice("asked", 1, 1).alias("asked")), bad)
+        keep(asked)
+    verdict = F.when(F.col("key").isNull(), otherwise).when(F.size("asked") > 0, "block").otherwise("allow")
+    return asked.select("page_id", "host", "path", F.translate("key", "\n", "").alias("rule"), verdict.alias("verdict"))
