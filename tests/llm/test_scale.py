@@ -37,7 +37,7 @@ def test_a_filter_over_its_bits_is_dealt_over_shards_and_passes(spark, monkeypat
     from leafmill.llm.common import materialize
 
     monkeypatch.setattr(urlfilter, "MAX_BITS", 1 << 12)
-    monkeypatch.setattr(urlfilter, "PASS_BITS", 1 << 14)
+    monkeypatch.setattr(urlfilter, "PASS_BITS", 1 << 12)
     keys = materialize(spark.range(0, 9000, 9).select(F.concat(F.lit("k"), "id").alias("key")), "keys")
     universe = materialize(spark.range(9000).select(F.concat(F.lit("k"), "id").alias("key")), "universe")
     made = urlfilter.filter_of(keys, universe)
