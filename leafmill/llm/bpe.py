@@ -6,20 +6,25 @@ progress), and it may close a token whenever the pair rule allows. After each by
 closed a token. Determinised on demand, a state is the set of live threads with the tokens they don't share yet;
 a token goes out as soon as all live threads agree on it, at most one token's length later (bounded lookahead).
 
-Defined results: null and empty texts encode to no tokens (decoding to no bytes); repeated rows each get a row; an
-empty table gives an empty table; further columns of the input are ignored.
+What a worker remembers is bounded: states (also within one piece), pieces of at most LONGEST characters, pairs of tokens. A long
+text is worked through some matches at a time, and a long piece byte by byte.
+
+Defined results: null and empty texts encode to no tokens (decoding to no bytes); very long texts and pieces are encoded whole;
+repeated rows each get a row; an empty table gives an empty table; further columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 import struct
+from array import array
 
 from pyspark.sql import DataFrame
 
-from .common import worker_cache
+from .common import LONGEST, worker_cache
 
 #: White space as the Unicode property has it (Python's own \s has four control characters more).
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -27,6 +32,8 @@ _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 LETTER, DIGIT = "\\p{L}", "\\p{N}"
 #: Bounds of what a worker remembers: states, pieces, pairs of tokens.
 MAX_STATES, MAX_PIECES, MAX_PAIRS = 300_000, 500_000, 400_000
+#: Matches of a text that are worked on at once.
+MATCHES = 1 << 16
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -192,16 +199,23 @@ class Transducer:
         row[byte] = made = (self.state(tuple(threads)), first[:shared])
         return made
 
-    def encode(self, piece: bytes) -> list[int]:
+    def encode(self, piece: bytes) -> list[int] | array:
+        """The piece's tokens. States are dropped when too many, within a piece too: the machine goes on from the threads it is in."""
         if len(self.states) > MAX_STATES:
             self.reset()
-        row, out = self.start, []
+        row, out = self.start, [] if len(piece) < MATCHES else array("I")
         for byte in piece:
-            made = row.get(byte) or self.step(row, byte)
+            made = row.get(byte)
+            if made is None:
+                if len(self.states) > MAX_STATES:
+                    threads = row[-2]
+                    self.reset()
+                    row = self.state(threads)
+                made = self.step(row, byte)
             row = made[0]
             if made[1]:
-                out += made[1]
-        out += row[-1]
+                out.extend(made[1])
+        out.extend(row[-1])
         return out
 
 
@@ -210,23 +224,31 @@ class Encoder:
 
     def __init__(self, ranks_path: str, pattern: str):
         self.transducer = Transducer(load_ranks(ranks_path))
-        self.find, self.find_ascii = splitter(pattern).findall, ascii_splitter(pattern).findall
+        self.find, self.find_ascii = splitter(pattern), ascii_splitter(pattern)
         self.known = Remembered(MAX_PIECES)
         self.bytes_of = [self.transducer.tokens.get(i, b"") for i in range(max(self.transducer.tokens) + 1)]
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        pieces, known = (self.find_ascii if text.isascii() else self.find)(text), self.known
+        find = self.find_ascii if text.isascii() else self.find
+        if len(text) <= MATCHES:
+            return self.join(find.findall(text))
+        matches = (m[0] for m in find.finditer(text))
+        return b"".join(iter(lambda: self.join(list(itertools.islice(matches, MATCHES))), b""))
+
+    def join(self, pieces: list[str]) -> bytes:
+        """The ids of some matches; no match is empty, so only no matches have none."""
+        known = self.known
         known.turn()
         try:
             return b"".join([known[p] for p in pieces])
         except KeyError:
-            encode, pack = self.transducer.encode, struct.pack
+            own = {}  # long pieces are not remembered beyond their text
             for p in pieces:
-                if p not in known and known.recall(p) is None:
-                    ids = encode(p.encode())
-                    known[p] = pack(f"<{len(ids)}I", *ids)
-            return b"".join([known[p] for p in pieces])
+                if p not in known and p not in own and known.recall(p) is None:
+                    ids = self.transducer.encode(p.encode())
+                    (known if len(p) <= LONGEST else own)[p] = ids.tobytes() if isinstance(ids, array) else struct.pack(f"<{len(ids)}I", *ids)
+            return b"".join([known.get(p) or own[p] for p in pieces])
 
     def decode(self, ids: bytes, chunk: int = 65536):
         """Complete characters' bytes, chunk by chunk, through the incremental state machine."""
