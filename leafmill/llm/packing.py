@@ -9,8 +9,9 @@ counted runs of pieces and gaps instead of single rows; there are at most `limit
 sweep by the sequence length, whatever the corpus. The plan (rank interval -> sequences and offset) goes
 back to all executors, which place their pieces by binary search. The result equals sequential best-fit decreasing.
 
-Defined results: a null text is empty and becomes a piece of one token (the separator); repeated rows and repeated
-ids are packed as often as they occur; null ids stay null; an empty table gives an empty table.
+Defined results: a null text is empty and becomes a piece of one token (the separator); very long texts are cut into pieces, whole;
+ties: of pieces of one length, that which comes first by partition and row takes the first place; repeated rows and repeated ids are
+packed as often as they occur; null ids stay null; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,9 +41,12 @@ def byte_of_char() -> dict[str, int]:
 class FileIds:
     """Ids of whole texts by a `tokenizers` file, little-endian unsigned 32-bit.
 
-    A byte-level BPE file whose merges' ids ascend says the same as a table of ranks, which tiktoken's encoder takes faster
-    to the same ids, split by the same pattern. Texts that hold one of the file's added tokens, other patterns, and other
-    kinds of files go to `tokenizers`."""
+    tiktoken's encoder, which is faster, joins any two neighbours whose bytes are a ranked token, the lowest rank first, and takes a
+    whole piece that is a token as it is; `tokenizers` joins only listed pairs, in the list's order. Both give the same ids,
+    split by the same pattern, if merges' ids ascend and if the listed merges alone build every token from its own bytes (proved()).
+    For the first pair that only tiktoken would join, a and b, spans a token t; nothing has crossed t's edges, so what happened
+    inside is what the list does to t alone, and the list takes t's last two parts to t. So that pair is listed.
+    Files that don't pass, texts that hold an added token, other patterns and other kinds of files go to `tokenizers`."""
 
     def __init__(self, path: str, pattern: str):
         import json
@@ -59,9 +63,10 @@ class FileIds:
         if pattern == BYTE_LEVEL and model.get("type") == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec.get("normalizer") and not model.get("dropout"):
             merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
             made = [model["vocab"][a + b] for a, b in merges]
-            if made == sorted(set(made)):
-                byte = byte_of_char()
-                ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t not in self.added}
+            byte = byte_of_char()
+            plain = {t: i for t, i in model["vocab"].items() if t not in self.added}
+            if made == sorted(set(made)) and not model.get("byte_fallback") and proved(self.tokenizer, plain, byte):
+                ranks = {bytes(byte[c] for c in t): i for t, i in plain.items()}
                 self.ranked = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
@@ -70,6 +75,12 @@ class FileIds:
         return self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
 
+def proved(tokenizer, vocab: dict[str, int], byte: dict[str, int]) -> bool:
+    """Whether every byte is a token, and the listed merges make of every token's own bytes that token and nothing else."""
+    merges = tokenizer.model
+    return all(c in vocab for c in byte) and all(set(t) <= byte.keys() and [x.id for x in merges.tokenize(t)] == [i] for t, i in vocab.items())
+
+
 def cut(n: int, limit: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: whole if it fits, else full pieces with the shorter one first."""
     first = n % limit or limit
