@@ -1,21 +1,28 @@
 """WARC archives as a PySpark Python data source (format "warc").
 
-Writing: an archive per task, records one after another; commit moves finished archives to their names, so lost or repeated tasks leave
-none behind. Reading: files are grouped into partitions by size; predicates on record_type, target_uri, record_id and
-refers_to are pushed to the reader, which parses a record's headers first; it seeks over payloads of unwanted records, and
-also over all payloads if the option payload is "false". Archives are plain (".warc") or a gzip member per record (".warc.gz").
+Writing: a task writes records one after another and begins a new archive when one has `roll_mb`; commit moves finished
+archives to their names, so lost or repeated tasks leave none behind. Archives are plain (".warc") or a gzip member per
+record (".warc.gz"), whose extra field tells the member's length (the format's skip lengths, "sl"). Reading: files are grouped into
+partitions by size; predicates on record_type, target_uri, record_id and refers_to are pushed to the reader, which parses a record's
+headers first and seeks over payloads of unwanted records, and over all payloads if the option payload is "false". In plain
+archives that is a seek within the file; of gzip members only the first bytes are inflated and the rest is never read, or, where other
+writers left out the length, inflated piece by piece and thrown away. An archive is one task's, so `roll_mb` bounds tasks.
 Paths go through pyarrow.fs: file, hdfs, s3 and whatever else it knows.
 
-Defined results: a null payload is an empty one; a null record_id or target_uri leaves its header out and reads as null; repeated rows are
-records each; an empty table writes and reads as no records.
+Defined results: a null payload is an empty one; a null target_uri leaves its header out and reads as null; a null record_id gets a
+fresh urn:uuid, as every record needs one, under a mark that makes it read as null; repeated rows are records each; of ties in
+payload and id all are responses; very long payloads and urls are taken whole; an empty table writes and reads as no records; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
-import gzip
 import io
+import struct
 import uuid
+import zlib
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +41,15 @@ HEADERS = {
     "payload_length": "X-Payload-Length",
 }
 VERSION = b"WARC/1.1"
+#: The profile of revisits by digest, the mark of records without an id.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+NO_ID = "X-Record-ID-Absent"
+#: Fixed value: a gzip header with an extra field of 12 bytes, the subfield "sl" of two lengths (member, record).
+MEMBER = "<10sH2sHII"
+MEMBER_SIZE = struct.calcsize(MEMBER)
+MEMBER_HEAD = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff"
+#: Bytes read at once, and inflated at once while headers are sought.
+CHUNK, FEW = 1 << 16, 1 << 12
 
 
 def filesystem(path: str):
@@ -57,16 +73,110 @@ def header_text(value: str) -> str:
     return first + "".join(chr(int(r[:2], 16)) + r[2:] for r in rest)
 
 
-def record(values: dict, payload: bytes) -> bytes:
+def record(values: dict, payload: bytes, date: str = "1970-01-01T00:00:00Z", content_type: str = "text/html") -> bytes:
     """A record's bytes."""
-    lines = [VERSION]
+    lines = [VERSION, f"WARC-Date: {date}".encode(), f"Content-Type: {content_type}".encode()]
     for column, name in HEADERS.items():
         if values.get(column) is not None:
             lines.append(f"{name}: {header_value(str(values[column]))}".encode())
+    if values.get("record_id") is None:
+        lines += [f"{HEADERS['record_id']}: <urn:uuid:{uuid.uuid4()}>".encode(), f"{NO_ID}: 1".encode()]
+    if values.get("record_type") == "revisit":
+        lines.append(f"WARC-Profile: {PROFILE}".encode())
     lines.append(f"Content-Length: {len(payload)}".encode())
     return b"\r\n".join(lines) + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
 
+def member(data: bytes, level: int = 1) -> bytes:
+    """A gzip member that tells its length; one of 4 GB or more tells 0, not known."""
+    squeeze = zlib.compressobj(level, zlib.DEFLATED, -zlib.MAX_WBITS)
+    body = squeeze.compress(data) + squeeze.flush()
+    whole = MEMBER_SIZE + len(body) + 8
+    told = (whole, len(data)) if max(whole, len(data)) < 1 << 32 else (0, 0)
+    return struct.pack(MEMBER, MEMBER_HEAD, 12, b"sl", 8, *told) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+class Members:
+    """The inflated bytes of a file of gzip members, read as they are asked for; seek(n, 1) goes over bytes, and over the rest
+    of a member that tells its length without reading it."""
+
+    def __init__(self, raw):
+        self.raw, self.at, self.kept, self.inflate = raw, 0, b"", None
+        self.out, self.left = b"", None  # inflated bytes that wait; bytes of the record to come, if told
+        self.end = None  # where the member ends, if told
+
+    def _begin(self) -> bool:
+        """Opens the next member; False at the file's end."""
+        if len(self.kept) < MEMBER_SIZE:
+            self.kept += self.raw.read(CHUNK)
+        if not self.kept:
+            return False
+        self.inflate, self.end, self.left = zlib.decompressobj(zlib.MAX_WBITS | 16), None, None
+        if len(self.kept) >= MEMBER_SIZE:
+            head, extra, name, _, whole, size = struct.unpack_from(MEMBER, self.kept)
+            if head[:3] == b"\x1f\x8b\x08" and head[3] & 4 and extra >= 12 and name == b"sl" and whole:
+                self.end, self.left = self.at + whole, size
+        return True
+
+    def _more(self, least: int = 1) -> bool:
+        """Inflates until `least` bytes wait; False at the file's end."""
+        parts, n = [self.out], len(self.out)
+        while n < least:
+            if self.inflate is None and not self._begin():
+                break
+            if not self.kept:
+                self.kept = self.raw.read(CHUNK)
+                if not self.kept:
+                    raise ValueError("an archive ends within a record")
+            given = len(self.kept)
+            part = self.inflate.decompress(self.kept, CHUNK if least > FEW else FEW)
+            self.kept = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+            self.at += given - len(self.kept)
+            if self.left is not None:
+                self.left -= len(part)
+            if self.inflate.eof:
+                self.inflate = self.end = self.left = None
+            parts.append(part)
+            n += len(part)
+        self.out = b"".join(parts)
+        return n >= least
+
+    def readline(self) -> bytes:
+        at = -1
+        while (at := self.out.find(b"\n", max(at, 0))) < 0:
+            at = len(self.out)
+            if not self._more(at + 1):
+                break
+        end = at + 1 if at >= 0 and at < len(self.out) else len(self.out)
+        line, self.out = self.out[:end], self.out[end:]
+        return line
+
+    def read(self, n: int) -> bytes:
+        self._more(n)
+        got, self.out = self.out[:n], self.out[n:]
+        return got
+
+    def seek(self, n: int, whence: int = 1) -> None:
+        if n <= len(self.out):
+            self.out = self.out[n:]
+            return
+        n -= len(self.out)
+        self.out = b""
+        if self.left is not None and n <= self.left <= n + 4:  # all but the record's last line ends: the rest of the member can go
+            self.out = b"\r\n" * ((self.left - n) // 2)
+            known = self.end - self.at
+            if known > len(self.kept):
+                self.raw.seek(self.end)
+            self.at, self.kept = self.end, self.kept[known:]
+            self.inflate = self.end = self.left = None
+            return
+        while n:
+            if not self._more():
+                raise ValueError("an archive ends within a record")
+            step = min(n, len(self.out))
+            self.out, n = self.out[step:], n - step
+
+
 def read_records(stream, wanted=lambda headers: True, payloads: bool = True):
     """(headers, payload) of each wanted record. Headers first; payloads not wanted are passed over."""
     while True:
@@ -81,6 +191,8 @@ def read_records(stream, wanted=lambda headers: True, payloads: bool = True):
         while (line := stream.readline()).strip():
             name, _, value = line.decode("utf-8").partition(":")
             headers[name.strip()] = header_text(value.strip(" \r\n"))
+        if headers.pop(NO_ID, None):
+            headers.pop(HEADERS["record_id"], None)
         n = int(headers["Content-Length"])
         take = wanted(headers)
         if take and payloads:
@@ -103,13 +215,14 @@ class Files(InputPartition):
 
 @dataclass
 class Written(WriterCommitMessage):
-    """A task's finished archive under its passing name; none for a task without rows."""
+    """A task's finished archives under their passing names; none for a task without rows."""
 
-    part: str | None
+    parts: list[str]
 
 
 class WarcSource(DataSource):
-    """Options: path; payload ("true"), compression ("none" or "gzip"), split_mb (128)."""
+    """Options: path; reading: payload ("true"), split_mb (128, files of a task), parallelism (1, tasks aimed at);
+    writing: compression ("none" or "gzip"), roll_mb (256, size of an archive), content_type ("text/html")."""
 
     @classmethod
     def name(cls) -> str:
@@ -130,6 +243,7 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.payloads = options.get("payload", "true").lower() != "false"
         self.split = int(float(options.get("split_mb", 128)) * (1 << 20))
+        self.parallelism = max(int(options.get("parallelism", 1)), 1)
         self.allowed: dict[str, set[str]] = {}
 
     def pushFilters(self, filters):
@@ -148,11 +262,11 @@ class WarcReader(DataSourceReader):
         found = system.get_file_info(fs.FileSelector(root, recursive=True))
         files = sorted((f.path, f.size) for f in found if f.is_file and f.path.endswith((".warc", ".warc.gz")) and not f.base_name.startswith("_"))
         groups: list[Files] = []
-        room = 0
+        split, room = min(self.split, max(sum(size for _, size in files) // self.parallelism, 1 << 22)), 0
         for path, size in files:
             if size > room or not groups:
                 groups.append(Files([]))
-                room = self.split
+                room = split
             groups[-1].paths.append(path)
             room -= size
         return groups or [Files([])]
@@ -174,7 +288,7 @@ class WarcReader(DataSourceReader):
 
         for path in partition.paths:
             with system.open_input_file(path) as raw:
-                stream = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BufferedReader(raw, 1 << 18)
+                stream = Members(raw) if path.endswith(".gz") else io.BufferedReader(raw, 1 << 18)
                 for headers, payload in read_records(stream, self.wanted, self.payloads):
                     length = headers.get(HEADERS["payload_length"])
                     rows.append((*(headers.get(HEADERS[c]) for c in names[:5]), None if length is None else int(length), payload))
@@ -191,28 +305,35 @@ class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options, overwrite: bool, names: list[str]):
         self.path, self.overwrite, self.names = options["path"], overwrite, names
         self.gzip = options.get("compression", "none") == "gzip"
+        self.roll = int(float(options.get("roll_mb", 256)) * (1 << 20))
+        self.content_type = options.get("content_type", "text/html")
+        self.date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")  # the job's, so that repeated tasks write the same
         self.job = uuid.uuid4().hex[:12]
 
     def write(self, iterator):
         from pyspark import TaskContext
 
         system, root = filesystem(self.path)
-        out, part = None, None
+        out, parts, size = None, [], 0
+        context, folder = TaskContext.get(), f"{root}/_passing-{self.job}"
         for b in iterator:
-            if out is None:
-                context = TaskContext.get()
-                folder = f"{root}/_passing-{self.job}"
-                system.create_dir(folder, recursive=True)
-                part = f"{folder}/{context.partitionId():06d}-{context.taskAttemptId()}.warc{'.gz' if self.gzip else ''}"
-                out = system.open_output_stream(part, compression=None, buffer_size=1 << 18)
             cols = {n: b.column(i) for i, n in enumerate(self.names)}
             for i in range(b.num_rows):
                 values = {c: cols[c][i].as_py() for c in HEADERS if c in cols}
-                made = record(values, (cols["payload"][i].as_py() if "payload" in cols else None) or b"")
-                out.write(gzip.compress(made, 1) if self.gzip else made)
+                made = record(values, (cols["payload"][i].as_py() if "payload" in cols else None) or b"", self.date, self.content_type)
+                made = member(made) if self.gzip else made
+                if out is not None and size + len(made) > self.roll:
+                    out.close()
+                    out = None
+                if out is None:
+                    system.create_dir(folder, recursive=True)
+                    parts.append(f"{folder}/{context.partitionId():06d}-{context.taskAttemptId()}-{len(parts):04d}.warc{'.gz' if self.gzip else ''}")
+                    out, size = system.open_output_stream(parts[-1], compression=None, buffer_size=1 << 18), 0
+                out.write(made)
+                size += len(made)
         if out is not None:
             out.close()
-        return Written(part)
+        return Written(parts)
 
     def commit(self, messages):
         from pyarrow import fs
@@ -224,9 +345,8 @@ class WarcWriter(DataSourceArrowWriter):
                 if f.is_file:
                     system.delete_file(f.path)
         for m in messages:
-            if m is not None and m.part:
-                name = m.part.rsplit("/", 1)[1]
-                system.move(m.part, f"{root}/{self.job}-{name}")
+            for part in m.parts if m is not None else []:
+                system.move(part, f"{root}/{self.job}-{part.rsplit('/', 1)[1]}")
         self.abort(messages)
 
     def abort(self, messages):
@@ -276,7 +396,7 @@ def archive(pages: DataFrame, path: str, compression: str = "none", **columns) -
 def load(spark, path: str, payload: bool = True) -> DataFrame:
     """The records of the archives under path."""
     register(spark)
-    return spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).load()
+    return spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).option("parallelism", spark.sparkContext.defaultParallelism).load()
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

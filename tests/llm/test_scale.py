@@ -45,3 +45,52 @@ def test_a_filter_over_its_bits_is_dealt_over_shards_and_passes(spark, monkeypat
     assert all(c.levels[0][1] <= 1.3 * (1 << 12) for c in made.cascades.values())  # hashed shards of so few keys are uneven
     got = urlfilter.left_of(universe.select(F.array("key").alias("asked"), "key"), made).where("size(asked) > 0")
     assert {r["key"] for r in got.collect()} == {f"k{i}" for i in range(0, 9000, 9)}
+
+
+def test_states_are_bounded_within_a_piece(monkeypatch):
+    import random
+
+    import numpy as np
+    import public_tokenizers
+    import tiktoken
+
+    from leafmill.llm import bpe, queries
+
+    path = queries.tokenizer_path("byte_bpe_50k.tiktoken")
+    monkeypatch.setattr(bpe, "MAX_STATES", 500)
+    monkeypatch.setattr(bpe, "MATCHES", 50)
+    enc = bpe.Encoder(path, public_tokenizers.PATTERN)
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=enc.transducer.ranks, special_tokens={})
+    r = random.Random(2)
+    word = "".join(r.choices("abcdefgh", k=20_000))
+    for text in (word, f"{word} {word}é {'a b ' * 300}", word[:63] + " " + word[:64] + " " + word[:65]):
+        ids = enc.encode_bytes(text)
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode_ordinary(text)
+        assert len(enc.transducer.states) <= 502
+    assert max(map(len, enc.known)) <= bpe.LONGEST
+
+
+def test_ranked_encoder_only_where_it_is_proved_equal(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from leafmill.llm import packing, queries
+
+    with open(queries.tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"] = []
+    vocab = {c: i for i, c in enumerate(packing.byte_of_char())}
+    start = len(vocab)
+    # "abc" is a token that its own bytes never become: "ab" is joined first, and ("ab", "c") is not listed
+    spec["model"] |= {"vocab": vocab | {"ab": start, "bc": start + 1, "abc": start + 2}, "merges": [["a", "b"], ["b", "c"], ["a", "bc"]]}
+    path = tmp_path / "odd.json"
+    path.write_text(json.dumps(spec))
+    made = packing.FileIds(str(path), public_tokenizers.PATTERN)
+    assert made.ranked is None
+    want = Tokenizer.from_file(str(path)).encode("abc", add_special_tokens=False).ids
+    assert made.ids("abc") == b"".join(i.to_bytes(4, "little") for i in want) and len(want) == 2
+    spec["model"] |= {"vocab": vocab | {"ab": start, "abc": start + 1}, "merges": [["a", "b"], ["ab", "c"]]}
+    path.write_text(json.dumps(spec))
+    assert packing.FileIds(str(path), public_tokenizers.PATTERN).ranked is not None
