@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import xml_escape
+from .text import strip, xml_escape
+
+#: The separator between both versions and what a page without content shows, in both forms.
+SEPARATOR = {True: '<p class="tr-sep">— 译文 —</p>', False: "— 译文 —"}
+NOTHING = {True: "<p><i>(本页无可用内容)</i></p>", False: "(本页无可用内容)"}
 
 
 def filled(*columns: Column) -> Column:
@@ -52,8 +56,24 @@ def figure_html(body: Column, caption: Column, href: Column) -> Column:
     return F.when(F.coalesce(href, F.lit("")) != "", picture).otherwise(note)
 
 
+def page(original: Column, primary: Column, translation: Column, translate: bool, with_original: bool, as_html: bool) -> Column:
+    """a page of its rendered texts (empty or null where there is none): the first block's as it is, the translation's alone, or both
+    around a separator; a page without any says so."""
+    first = F.nullif(original if translate else primary, F.lit("")) if not translate or with_original else F.lit(None).cast("string")
+    second = F.nullif(translation, F.lit("")) if translate else F.lit(None).cast("string")
+    mark = F.when(first.isNotNull() & second.isNotNull(), SEPARATOR[as_html])
+    shown = F.filter(F.array(first, mark, second), lambda x: x.isNotNull() & (strip(x) != ""))
+    return F.coalesce(F.nullif(F.array_join(shown, "\n" if as_html else "\n\n"), F.lit("")), F.lit(NOTHING[as_html]))
+
+
 def page_plain(original: Column, translation: Column, bilingual: bool) -> Column:
-    """a page's text; both versions around a separator where bilingual."""
-    both = F.concat(original, F.lit("\n\n— 译文 —\n\n"), translation)
-    one = filled(translation, original)
-    return F.when((original != "") & (translation != ""), both).otherwise(one) if bilingual else one
+    """F28 of a translated page as plain text, with the original where bilingual."""
+    return page(original, original, translation, True, bilingual, False)
+
+
+def xhtml_page(title: Column, body: Column, lang: Column, css: str = "style.css") -> Column:
+    """a body as an XHTML document."""
+    return F.concat(
+        F.lit('<?xml version="1.0" encoding="utf-8"?>\n<!DOCTYPE html>\n<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops" lang="'),
+        xml_escape(lang), F.lit('">\n<head><title>'), xml_escape(title), F.lit(f'</title><link rel="stylesheet" type="text/css" href="{css}"/></head>\n<body>\n'), body, F.lit("\n</body></html>"),
+    )

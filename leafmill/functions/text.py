@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Refusals, character ranges, what echo comparison ignores, file extensions.
 REFUSALS = ["无法翻译", "无法完成", "不能翻译", "无法为你翻译", "请提供", "作为ai", "作为 ai", "我是一个ai", "我是一个人工智能", "i cannot", "i can't", "i'm unable", "as an ai", "unable to translate", "cannot translate"]
@@ -23,19 +27,31 @@ def strip_ruby(text: Column) -> Column:
     return F.regexp_replace(text, "(?is)<(rt|rp)\\b[^>]*>.*?</\\1\\s*>", "")
 
 
-def unescape_basic(text: Column) -> Column:
-    """The entities of plain XHTML text; the ampersand last."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&middot;", "\u00b7"), ("&copy;", "\u00a9"), ("&amp;", "&")):
+#: The entities that are undone by replacements alone, the ampersand last.
+COMMON_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&middot;", "\u00b7"), ("&copy;", "\u00a9"), ("&amp;", "&")]
+#: An ampersand that begins none of these, but maybe another entity (named, numeric, or without its semicolon).
+OTHER_ENTITY = "&(?!(?:" + "|".join(e[1:-1] for e, _ in COMMON_ENTITIES) + ");)[#A-Za-z]"
+
+
+@F.pandas_udf(T.StringType())
+def _unescaped(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else html.unescape(t))
+
+
+def unescape(text: Column) -> Column:
+    """Entities as their characters. Texts with the common ones alone stay in the JVM; others, of which Python knows all, go there."""
+    other = _unescaped(F.when(text.rlike(OTHER_ENTITY), text))
+    for entity, char in COMMON_ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    return F.coalesce(other, text)
 
 
-def plain_text(html: Column) -> Column:
+def plain_text(xhtml: Column) -> Column:
     """XHTML as text with a line per block."""
-    x = F.regexp_replace(html, "(?is)<(script|style)\\b[^>]*>.*?</\\1\\s*>", " ")
+    x = F.regexp_replace(xhtml, "(?is)<(script|style)\\b.*?</\\1>", " ")
     x = F.regexp_replace(x, "(?i)<br\\s*/?>", "\n")
-    x = F.regexp_replace(x, "(?i)</(p|div|h[1-6]|li|tr|blockquote|section|article)\\s*>", "\n")
-    x = unescape_basic(F.regexp_replace(x, "(?s)<[^>]+>", ""))
+    x = F.regexp_replace(x, "(?i)</(p|div|h[1-6]|li|tr|blockquote|section|article)>", "\n")
+    x = unescape(F.regexp_replace(x, "(?s)<[^>]+>", ""))
     x = F.regexp_replace(x, "[ \\t\\u00a0]+", " ")
     return strip(F.regexp_replace(x, "\\n{3,}", "\n\n"))
 
@@ -116,13 +132,23 @@ def language_tag(target: Column) -> Column:
     return out.otherwise("zh-CN")
 
 
+# HTTP codes and words of refused accounts, codes worth another attempt.
+AUTH_CODES, AUTH_WORDS = [401, 402, 403], ["insufficient", "balance", "unauthorized", "invalid api key"]
+RETRY_CODES = [429, 500, 502, 503, 504]
+
+
 def http_class(code: Column, message: Column) -> Column:
     """Auth (no retry, abort), retry, or fail."""
     low = F.lower(F.coalesce(message, F.lit("")))
-    auth = code.isin(401, 402, 403)
-    for word in ("insufficient", "balance", "unauthorized", "invalid api key"):
+    auth = code.isin(AUTH_CODES)
+    for word in AUTH_WORDS:
         auth = auth | F.contains(low, F.lit(word))
-    return F.when(auth, "auth").when(code.isin(429, 500, 502, 503, 504), "retry").otherwise("fail")
+    return F.when(auth, "auth").when(code.isin(RETRY_CODES), "retry").otherwise("fail")
+
+
+def is_auth_error(code: int, low: str) -> bool:
+    """P12 for one error, of a message in lower case."""
+    return code in AUTH_CODES or any(w in low for w in AUTH_WORDS)
 
 
 def backoff(attempt: Column) -> Column:
@@ -135,13 +161,18 @@ def cost(input_tokens: Column, output_tokens: Column) -> Column:
     return (input_tokens * 15 + output_tokens * 60) / 100
 
 
-def xml_escape(text: Column) -> Column:
-    """& < > and both quotes."""
-    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+def content_escape(text: Column) -> Column:
+    """& < > alone, as between tags."""
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         text = F.replace(text, F.lit(char), F.lit(entity))
     return text
 
 
+def xml_escape(text: Column) -> Column:
+    """& < > and both quotes, as in attributes too."""
+    return F.replace(F.replace(content_escape(text), F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#x27;"))
+
+
 def inline_markdown(text: Column) -> Column:
     """links, code, strong and emphasis of one escaped line."""
     for pattern, to in (

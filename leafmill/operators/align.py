@@ -18,13 +18,14 @@ def to_pieces(pieces: DataFrame, answers: DataFrame) -> DataFrame:
     return joined.select(*pieces.columns, F.coalesce("_by_id", "_by_place").alias("out"), (F.col("_by_id").isNull() & F.col("_by_place").isNotNull()).alias("positional"))
 
 
-def reassemble(pieces: DataFrame) -> DataFrame:
-    """A3: segments (seg_id, text, all_ok, skipped) of pieces (seg_id, k, text, out); a missing answer leaves the source."""
+def reassemble(pieces: DataFrame, *carried: str) -> DataFrame:
+    """A3: segments (seg_id, text, all_ok, skipped) of pieces (seg_id, k, text, out); a missing answer leaves the source.
+    carried: further columns, of which the first piece that has a value counts."""
     part = F.struct("k", F.coalesce("out", "text").alias("t"))
-    g = pieces.groupBy("seg_id").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.bool_and(F.col("out").isNotNull()).alias("all_ok"), F.count_if(F.col("out").isNull()).alias("skipped"))
+    g = pieces.groupBy("seg_id").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.bool_and(F.col("out").isNotNull()).alias("all_ok"), F.count_if(F.col("out").isNull()).alias("skipped"), *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("k"))).alias(c) for c in carried])
     one = F.col("parts")[0]["t"]
     many = F.array_join(F.transform("parts", lambda x: F.regexp_replace(x["t"], "^\\n+|\\n+$", "")), "\n")
-    return g.select("seg_id", F.when(F.size("parts") == 1, one).otherwise(many).alias("text"), "all_ok", "skipped")
+    return g.select("seg_id", F.when(F.size("parts") == 1, one).otherwise(many).alias("text"), "all_ok", "skipped", *carried)
 
 
 def reason(out: Column, finish: Column, echo: Column, target: str) -> Column:

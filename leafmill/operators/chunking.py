@@ -37,8 +37,9 @@ def _split_long(texts: pd.Series, limits: pd.Series) -> pd.Series:
 
 
 def split_long(text: Column, limit: int = PIECE_CHARS) -> Column:
-    """F3 as a column; short texts (a piece of their own) never reach Python's loop."""
-    return _split_long(text, F.lit(limit))
+    """F3 as a column. Short texts are a piece of their own and go to Python as nulls."""
+    long = F.when(F.length(text) > limit, text)
+    return F.coalesce(_split_long(long, F.lit(limit)), F.when(text.isNotNull(), F.array(text)))
 
 
 def batch_numbers(sizes: list[int], chars: int = BATCH_CHARS, items: int = BATCH_ITEMS) -> list[int]:
@@ -65,6 +66,51 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return split.select(id_col, F.posexplode(F.arrays_zip("parts", "batches")).alias("k", "p")).select(id_col, "k", F.col("p.batches").alias("batch"), F.col("p.parts").alias("text"))
 
 
+def batched(rows: DataFrame, by: list[str], chars: int = BATCH_CHARS, items: int = BATCH_ITEMS, whole_docs: bool = False) -> DataFrame:
+    """W2 over texts in their order, across segments: (part, nth, items), a whole batch a row, in order within each part.
+
+    rows: (doc, seg_id, k, text, and what else by names); a batch holds texts of one doc. by: the order of docs and segments. Rows are dealt by ranges of that order,
+    and only a range's end cuts a batch that would go on; memory holds one batch. Small tables are one range. whole_docs: ranges end
+    with docs, so batches are exactly the loop's; a doc is then one pass of one task."""
+
+    def run(frames):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, nth = TaskContext.get().partitionId(), 0
+        held: list[dict] = []
+        doc, used, kind = None, 0, None
+
+        def out(batches):
+            return pa.RecordBatch.from_arrays([pa.array([part] * len(batches), pa.int32()), pa.array(range(nth - len(batches), nth), pa.int64()), pa.array(batches, kind)], ["part", "nth", "items"])
+
+        for frame in frames:
+            seg_kind = frame.schema.field("seg_id").type
+            kind = pa.list_(pa.struct([("seg_id", seg_kind), ("k", pa.int32()), ("text", pa.string())]))
+            done = []
+            for row in frame.to_pylist():
+                size = len(row["text"])
+                if held and (row["doc"] != doc or used + size > chars or len(held) >= items):
+                    done.append(held)
+                    held, used, nth = [], 0, nth + 1
+                doc, used = row["doc"], used + size
+                held.append({c: row[c] for c in ("seg_id", "k", "text")})
+            if done:
+                yield out(done)
+        if held:
+            nth += 1
+            yield out([held])
+
+    kind = rows.schema["seg_id"].dataType.simpleString()
+    ordered = rows.repartitionByRange(*(["doc"] if whole_docs else [*by, "k"])).sortWithinPartitions(*by, "k").select("doc", "seg_id", "k", "text")
+    return ordered.mapInArrow(run, f"part int, nth long, items array<struct<seg_id:{kind},k:int,text:string>>")
+
+
+def block_pages(docs: DataFrame, id_col: str, blocks: Column) -> DataFrame:
+    """A text's blocks as pages (id_col, page_no from 1, text)."""
+    return docs.select(id_col, F.posexplode(blocks).alias("page_no", "text")).withColumn("page_no", F.col("page_no") + 1)
+
+
 def chapters(pages: DataFrame, partition: str, order: str, size: int) -> DataFrame:
     """Pages numbered into chapters of `size` (1 where that is 0 or less)."""
     w = Window.partitionBy(partition).orderBy(order)

@@ -1,17 +1,22 @@
-"""The text channel: segments through cache, pieces, batches and a model back to whole texts."""
+"""The text channel: segments through cache, pieces, batches and a model back to whole texts.
+
+Batches go across segments of a document, in order; rounds.ask_all sends them under limits that hold for the whole job. Budget, send and
+ask are the same policy for a handful of texts in one process, without a Spark job.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.echo import is_echo
 from ..functions.text import stub_translation, text_key, usable
 from ..operators import align, cache, chunking
+from ..sources import tables
+from .rounds import Chat, Limits, Run, ask_all
 
 #: A backend takes the texts of one batch and returns as many answers, None where there is none; or those and the number of
 #: output tokens that they took. ConnectionError says that the service can't be reached, PermissionError that it refuses the account.
@@ -24,7 +29,7 @@ class Stopped(Exception):
 
 @dataclass
 class Budget:
-    """Limits of one task's run; requests beyond them aren't sent, and their pieces keep their source."""
+    """Limits of one process's run; requests beyond them aren't sent, and their pieces keep their source."""
 
     max_requests: int = 1 << 60
     stall_limit: int = 25
@@ -79,42 +84,51 @@ def ask(backend: Backend, texts: list[str], budget: Budget, depth: int = 4) -> l
     return got
 
 
-def run_model(pieces: DataFrame, backend: Backend, max_requests: int = 1 << 60, max_tokens: int = 1 << 60) -> DataFrame:
-    """pieces (seg_id, k, batch, text) with out. A batch lies in one task; calls go in order of batches. Write the result before
-    using it twice: a frame that is worked out again asks the model again."""
-
-    def run(frames):
-        budget = Budget(max_requests, max_tokens=max_tokens)
-        for frame in frames:
-            outs = pd.Series([None] * len(frame), index=frame.index, dtype=object)
-            for _, group in frame.groupby(["seg_id", "batch"], sort=False):
-                outs.loc[group.index] = pd.Series(ask(backend, list(group["text"]), budget), index=group.index, dtype=object)
-            yield frame.assign(out=outs)
-
-    kind = pieces.schema["seg_id"].dataType.simpleString()
-    ordered = pieces.select("seg_id", "k", "batch", "text").repartition("seg_id", "batch").sortWithinPartitions("seg_id", "batch", "k")
-    return ordered.mapInPandas(run, f"seg_id {kind}, k int, batch int, text string, out string")
+def translate(segments: DataFrame, known: DataFrame, target: str, backend: Backend | Chat | None = None, limits: Limits | None = None) -> DataFrame:
+    """segments (seg_id, text, and doc where they belong to several) with out, state (blank, hit, rejected_cache, miss), ok and why.
 
+    known: the cache (k, t). Segments of equal text are asked for once. The offline model is an expression and stays in the JVM; with a
+    backend the requests are sent when this is called."""
+    return translate_run(segments, known, target, backend, limits)[0]
 
-def translate(segments: DataFrame, known: DataFrame, target: str, backend: Backend | None = None) -> DataFrame:
-    """segments (seg_id, text) with out, state (blank, hit, rejected_cache, miss) and ok.
 
-    known: the cache (k, t). Segments of equal text are asked for once. The offline model is an expression and stays in the JVM."""
+def translate_run(segments: DataFrame, known: DataFrame, target: str, backend: Backend | Chat | None = None, limits: Limits | None = None) -> tuple[DataFrame, Run]:
+    """translate() and what it used. ok: all pieces were answered; why: the reason of the first piece that was not ("未译" if never asked)."""
+    if "doc" not in segments.columns:
+        segments = segments.withColumn("doc", F.lit(0))
     key = text_key(F.lit(target), F.col("text"))
-    filled = segments.where(F.trim("text") != "")
-    distinct = filled.select("text").distinct()
-    looked = cache.lookup(distinct, known, key, is_echo(F.col("text"), F.col("cached")) | ~usable(F.col("cached"), target))
-    misses = looked.where("state != 'hit'").select(key.alias("seg_id"), "text")
-    split = chunking.pieces(misses, "seg_id").withColumnRenamed("seg_id", "seg_id")
-    answered = split.withColumn("out", stub_translation(F.col("text"))) if backend is None else run_model(split, backend)
-    good = answered.withColumn("out", F.when(align.reason(F.col("out"), F.lit("stop"), is_echo(F.col("text"), F.col("out")), target).isNull(), F.col("out")))
-    whole = align.reassemble(good).select(F.col("seg_id").alias("_key"), F.col("text").alias("_out"), "all_ok")
-    by_text = looked.withColumn("_key", key).join(whole, "_key", "left").select("text", F.coalesce("_out", "cached", "text").alias("out"), "state", F.coalesce("all_ok", F.lit(True)).alias("ok"))
-    blank = segments.where((F.trim("text") == "") | F.col("text").isNull()).select("seg_id", "text", F.col("text").alias("out"), F.lit("blank").alias("state"), F.lit(True).alias("ok"))
-    return filled.join(by_text, "text").select("seg_id", "text", "out", "state", "ok").unionByName(blank)
+    filled = segments.where(F.trim("text") != "").withColumn("_key", key)
+    # texts meet by their digests; a text moves once as its digest's first segment, and once in the last join
+    firsts = filled.groupBy("_key").agg(F.min_by(F.struct("doc", "seg_id", "text"), F.struct("doc", "seg_id")).alias("x")).select(F.col("_key").alias("key"), "x.*")
+    looked = cache.lookup(firsts, known, F.col("key"), is_echo(F.col("text"), F.col("cached")) | ~usable(F.col("cached"), target))
+    run = Run(limits or Limits())
+    if backend is not None:
+        looked = tables.written(looked, "looked")
+    split = chunking.split_long(F.when(F.col("state") != "hit", F.col("text")))
+    pieces = looked.select("doc", "seg_id", "key", "state", "cached", F.posexplode(F.coalesce(split, F.array("cached"))).alias("k", "text"))
+    if backend is None:
+        made = stub_translation(F.col("text"))
+        why = F.when(F.col("state") != "hit", align.reason(made, F.lit("stop"), is_echo(F.col("text"), made), target))
+        answered = pieces.withColumn("why", why).withColumn("out", F.when(F.col("state") == "hit", F.col("cached")).when(F.col("why").isNull(), made))
+    else:
+        asked, run = ask_all(chunking.batched(pieces.where("state != 'hit'").select("doc", F.col("seg_id").alias("order"), F.col("key").alias("seg_id"), "k", "text"), ["doc", "order"]), target, backend, limits)
+        asked = asked.select(F.col("seg_id").alias("key"), "k", F.col("out").alias("_out"), "why")
+        answered = pieces.join(asked, ["key", "k"], "left").withColumn("out", F.when(F.col("state") == "hit", F.col("cached")).otherwise(F.col("_out")))
+    whole = align.reassemble(answered.select(F.col("key").alias("seg_id"), "k", "text", "out", "state", "why"), "state", "why")
+    whole = whole.select(F.col("seg_id").alias("_key"), F.col("text").alias("out"), "state", F.col("all_ok").alias("ok"), "why")
+    if backend is not None:
+        whole = tables.written(whole, "texts")
+    kept = ["doc", "seg_id", "text"]
+    blank = segments.where((F.trim("text") == "") | F.col("text").isNull()).select(*kept, F.col("text").alias("out"), F.lit("blank").alias("state"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("why"))
+    return filled.join(whole, "_key").select(*kept, "out", "state", "ok", "why").unionByName(blank), run
 
 
 def new_cache_lines(translated: DataFrame, target: str) -> DataFrame:
     """Lines (k, t, v) for what was asked and answered in full."""
     asked = translated.where(F.col("ok") & F.col("state").isin("miss", "rejected_cache") & usable(F.col("out"), target))
     return asked.select(text_key(F.lit(target), F.col("text")).alias("k"), F.col("out").alias("t"), F.lit(1).alias("v")).distinct()
+
+
+def failures(translated: DataFrame, most: int = 300) -> DataFrame:
+    """K7's rows: (doc, seg_id, why, source) of segments that kept their source in part, the source cut as the report has it."""
+    return translated.where(~F.col("ok")).select("doc", "seg_id", "why", F.left("text", F.lit(most)).alias("source"))
