@@ -31,6 +31,14 @@ def reading_order(rects: DataFrame, most: int = 8) -> DataFrame:
     return rects.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < most)
 
 
+def candidates(rects: DataFrame, width: float, height: float, most: int = 8) -> DataFrame:
+    """A page's figure candidates (P6), without covered ones (J6), the first `most` in reading order (O1, O3), with zones.
+
+    rects: bitmaps and drawings as one (U2): (page_no, cand_idx, x0, y0, x1, y1, is_drawing)."""
+    kept = suppress(rects.where(geometry.is_candidate(width, height))).withColumn("area", geometry.area(""))
+    return reading_order(kept, most).withColumn("zone", geometry.zone(width, height))
+
+
 def match(figures: DataFrame, candidates: DataFrame) -> DataFrame:
     """(page_no, n, cand_idx, how). Figures take candidates of their zone in order; the rest are paired by order.
 

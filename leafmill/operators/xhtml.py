@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.text import strip, xml_escape
+from ..functions.text import content_escape, strip
 
 # Tags whose content is skipped, and tags that end a unit.
 SKIP = ["script", "style", "pre", "code", "svg", "math"]
@@ -44,11 +44,13 @@ def units(toks: DataFrame, id_col: str) -> DataFrame:
 
 def splice(toks: DataFrame, translated: DataFrame, id_col: str) -> DataFrame:
     """Documents with translations in their units' first slots; other slots of a unit empty, white space at slots' ends
-    kept, texts escaped, translations without a letter ignored. translated: (id_col, grp, first_pos, out)."""
+    kept, & < > escaped; where a translation has no letter its unit's first slot keeps its own text. Units without a row in translated
+    stay as they are. translated: (id_col, grp, first_pos, out)."""
     t = toks.join(translated.select(id_col, "grp", "first_pos", "out"), [id_col, "grp"], "left")
     lead, tail = F.regexp_extract("tok", "(?U)^\\s*", 0), F.regexp_extract("tok", "(?U)\\s*$", 0)
-    body = F.when(F.col("pos") == F.col("first_pos"), xml_escape(F.col("out"))).otherwise("")
-    part = F.when(F.col("is_slot") & F.col("out").rlike("\\p{L}"), F.concat(lead, body, tail)).otherwise(F.col("tok"))
+    said = F.when(F.col("out").rlike("\\p{L}"), strip(F.col("out"))).otherwise(strip(F.col("tok")))
+    body = F.when(F.col("pos") == F.col("first_pos"), content_escape(said)).otherwise("")
+    part = F.when(F.col("is_slot") & F.col("first_pos").isNotNull(), F.concat(lead, body, tail)).otherwise(F.col("tok"))
     return t.groupBy(id_col).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", part.alias("part")))), lambda x: x["part"]), "").alias("html"))
 
 

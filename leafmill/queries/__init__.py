@@ -11,11 +11,15 @@ _SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Registers a function (read) -> DataFrame under its name; read(table) gives a table of the chosen folder."""
+    """Registers a function (read) -> DataFrame under its name; read(table) gives a table of the chosen folder, read.folder."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            def read(table: str) -> DataFrame:
+                return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+            read.folder = sf_dir
+            return f(read)
 
         _QUERIES[f.__name__] = run
         if sql is not None:

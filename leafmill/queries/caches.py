@@ -11,43 +11,41 @@ from . import query
 _WS = r"[\s\x{A0}\x{3000}]"
 _MARKS = "(" + "|".join(fx.REFUSALS).replace("'", "''") + ")"
 #: Answers with kana, with kana and Chinese, with refusals, and blank ones.
-_VALUE = "CASE doc_id % 6 WHEN 0 THEN translate(left(text, 60), 'aeiou', 'あえいおう') WHEN 1 THEN '译文' || left(text, 80) WHEN 2 THEN 'I CANNOT ' || left(text, 9) WHEN 3 THEN chr(10) || '  ' WHEN 4 THEN repeat('译', 12) || 'か' ELSE '汉' || translate(left(text, 90), 'aeiou', 'あえいおう') END"
+_VALUE = "CASE doc_id % 6 WHEN 0 THEN translate(text, 'aeiou', 'あえいおう') WHEN 1 THEN '译文' || text WHEN 2 THEN 'I CANNOT ' || text WHEN 3 THEN chr(10) || '  ' WHEN 4 THEN repeat('译', 12) || 'か' ELSE '汉' || translate(text, 'aeiou', 'あえいおう') END"
 _BASE = f"v0 AS (SELECT doc_id, text, {_VALUE} AS value FROM documents), v1 AS (SELECT *, regexp_replace(value, '^{_WS}+|{_WS}+$', '', 'g') AS v FROM v0), v2 AS (SELECT *, length(regexp_replace(v, '[^\\x{{3040}}-\\x{{30FF}}]', '', 'g')) AS kana, length(regexp_replace(v, '[^\\x{{4E00}}-\\x{{9FFF}}]', '', 'g')) AS cjk FROM v1), q AS (SELECT *, v <> '' AND NOT regexp_matches(lower(v), '{_MARKS}') AND NOT (kana > 0 AND cjk = 0) AS usable FROM v2)"
 
 
-def _values(read, whole=False):
-    """The queries with SQL make values from the first characters, as their SQL does; whole: from whole texts."""
-    k = F.col("doc_id") % 6
-    text = lambda n: F.col("text") if whole else F.left("text", F.lit(n))
+def _values(read):
+    k, text = F.col("doc_id") % 6, F.col("text")
     kana = lambda c: F.translate(c, "aeiou", "あえいおう")
     value = (
-        F.when(k == 0, kana(text(60))).when(k == 1, F.concat(F.lit("译文"), text(80))).when(k == 2, F.concat(F.lit("I CANNOT "), text(9))).when(k == 3, "\n  ")
-        .when(k == 4, F.concat(F.repeat(F.lit("译"), F.lit(12)), F.lit("か"))).otherwise(F.concat(F.lit("汉"), kana(text(90))))
+        F.when(k == 0, kana(text)).when(k == 1, F.concat(F.lit("译文"), text)).when(k == 2, F.concat(F.lit("I CANNOT "), text)).when(k == 3, "\n  ")
+        .when(k == 4, F.concat(F.repeat(F.lit("译"), F.lit(12)), F.lit("か"))).otherwise(F.concat(F.lit("汉"), kana(text)))
     )
     return read("documents").select("doc_id", "text", value.alias("value"))
 
 
 @query(f"WITH {_BASE} SELECT doc_id, usable FROM q")
-def p8_usable(read, whole=False):
-    return _values(read, whole).select("doc_id", fx.usable(F.col("value"), "简体中文").alias("usable"))
+def p8_usable(read):
+    return _values(read).select("doc_id", fx.usable(F.col("value"), "简体中文").alias("usable"))
 
 
 @query(f"WITH {_BASE} SELECT doc_id, usable AND kana * 10 <= greatest(kana + cjk, 1) AS trustworthy FROM q")
-def p9_trustworthy(read, whole=False):
-    return _values(read, whole).select("doc_id", fx.trustworthy(F.col("value"), "简体中文").alias("trustworthy"))
+def p9_trustworthy(read):
+    return _values(read).select("doc_id", fx.trustworthy(F.col("value"), "简体中文").alias("trustworthy"))
 
 
 _LINES = f"WITH {_BASE}, lines AS (SELECT doc_id AS n, md5('t5|zh|' || (doc_id % 200)) AS k, value AS t, v, kana, cjk, usable, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END AS ver FROM q)"
 
 
-def _lines(read, whole=False):
+def _lines(read):
     ver = F.when(F.col("doc_id") % 11 == 0, None).when(F.col("doc_id") % 7 == 0, 2).otherwise(1)
-    return _values(read, whole).select(F.col("doc_id").alias("n"), fx.text_key(F.lit("zh"), (F.col("doc_id") % 200).cast("string")).alias("k"), F.col("value").alias("t"), ver.alias("v"))
+    return _values(read).select(F.col("doc_id").alias("n"), fx.text_key(F.lit("zh"), (F.col("doc_id") % 200).cast("string")).alias("k"), F.col("value").alias("t"), ver.alias("v"))
 
 
 @query(_LINES + " SELECT k, t FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n) AS r FROM lines WHERE ver = 1) WHERE r = 1 AND usable")
-def a8_first_wins(read, whole=False):
-    return cache.load_cache(_lines(read, whole), "zh")
+def a8_first_wins(read):
+    return cache.load_cache(_lines(read), "zh")
 
 
 @query(_LINES + " SELECT n, k FROM lines WHERE ver = 1")
@@ -56,13 +54,13 @@ def p11_cache_version(read):
 
 
 @query(_LINES + ", g AS (SELECT usable AND kana * 10 <= greatest(kana + cjk, 1) AS good, ver FROM lines) SELECT count(*)::BIGINT AS total, count(*) FILTER (good)::BIGINT AS good, count(*) FILTER (NOT good)::BIGINT AS bad, count(*) FILTER (ver IS NULL)::BIGINT AS legacy FROM g")
-def a6_cache_audit(read, whole=False):
-    return cache.audit(_lines(read, whole), "zh")
+def a6_cache_audit(read):
+    return cache.audit(_lines(read), "zh")
 
 
 @query(_LINES + " SELECT n, k, t FROM lines WHERE usable AND kana * 10 <= greatest(kana + cjk, 1)")
-def k11_cache_clean(read, whole=False):
-    return cache.clean(_lines(read, whole), "zh").select("n", "k", "t")
+def k11_cache_clean(read):
+    return cache.clean(_lines(read), "zh").select("n", "k", "t")
 
 
 @query("SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
@@ -104,28 +102,3 @@ def p10_echo(read):
     source = F.translate("text", "aeiou", "あえいおう")
     value = F.when(F.col("doc_id") % 2 == 0, F.concat(source, F.lit("。"))).otherwise(F.concat(F.lit("译"), source))
     return read("documents").select("doc_id", is_echo(source, value).alias("echo"))
-
-
-@query()
-def p8_usable_whole(read):
-    return p8_usable(read, whole=True)
-
-
-@query()
-def p9_trustworthy_whole(read):
-    return p9_trustworthy(read, whole=True)
-
-
-@query()
-def a8_first_wins_whole(read):
-    return a8_first_wins(read, whole=True)
-
-
-@query()
-def a6_cache_audit_whole(read):
-    return a6_cache_audit(read, whole=True)
-
-
-@query()
-def k11_cache_clean_whole(read):
-    return k11_cache_clean(read, whole=True)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import render
 from ..functions import text as fx
-from ..operators import guards, xhtml
+from ..operators import chunking, guards, xhtml
 from ..plans import translate
 from ..sources import files, sinks
 from . import query
@@ -25,6 +25,21 @@ def l1_translate_texts(read):
     return translate.translate(docs, known, "zh").select("seg_id", "out", "state", "ok")
 
 
+@query("""WITH RECURSIVE s AS (SELECT conv_id % 20 AS doc, length(text) AS size, row_number() OVER (PARTITION BY conv_id % 20 ORDER BY conv_id, turn) AS n FROM conversations),
+b(doc, n, batch, used, items) AS (SELECT doc, n, 0, size, 1 FROM s WHERE n = 1 UNION ALL
+ SELECT s.doc, s.n, CASE WHEN used + size > 1800 OR items >= 24 THEN batch + 1 ELSE batch END, CASE WHEN used + size > 1800 OR items >= 24 THEN size ELSE used + size END, CASE WHEN used + size > 1800 OR items >= 24 THEN 1 ELSE items + 1 END FROM b JOIN s ON s.doc = b.doc AND s.n = b.n + 1)
+SELECT doc, batch::BIGINT AS batch, count(*)::BIGINT AS items, max(used)::BIGINT AS chars FROM b GROUP BY doc, batch""")
+def g8_shared_requests(read):
+    """Requests that carry texts of several segments of a document, each text whole."""
+    from pyspark.sql.window import Window
+
+    c = read("conversations").select((F.col("conv_id") % 20).alias("doc"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seg_id"), F.lit(0).alias("k"), "text")
+    made = chunking.batched(c, ["doc", "seg_id"], whole_docs=True)
+    made = made.select(F.expr("(items[0].seg_id div 1000) % 20").alias("doc"), "nth", "part", F.size("items").cast("long").alias("items"), F.aggregate("items", F.lit(0), lambda n, x: n + F.length(x["text"])).cast("long").alias("chars"))
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("part", "nth"))
+    return made.select("doc", (place - 1).cast("long").alias("batch"), "items", "chars")
+
+
 @query("SELECT DISTINCT md5('t5|zh|' || text) AS k, 1 AS v FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id % 4 = 0 AND e.text = d.text)")
 def c9_new_cache_lines(read):
     docs = read("documents").select(F.col("doc_id").alias("seg_id"), "text")
@@ -71,30 +86,31 @@ def f10_overlap(read):
     return a.join(b, "page_no").groupBy("page_no").agg(F.sum(geometry.overlap("a_", "b_")).alias("shared"))
 
 
-@query("SELECT page_id, regexp_extract(x, 'full-path=\"([^\"]+)\"', 1) AS opf FROM (SELECT page_id, '<rootfile full-path=\"OEBPS/c' || page_id || '.opf\"/>' AS x FROM pages)")
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'OEBPS/c' || page_id || '.opf' WHEN 1 THEN 'b' || page_id || '.OPF' WHEN 2 THEN 'b' || page_id || '.OPF' ELSE '' END AS opf FROM pages")
 def f35_find_opf(read):
-    container = F.concat(F.lit('<rootfile full-path="OEBPS/c'), "page_id", F.lit('.opf"/>'))
-    return read("pages").select("page_id", files.opf_path(container).alias("opf"))
+    """Named by the container; else, where that names none or is absent, the first of the package's names; else none."""
+    k = F.col("page_id") % 4
+    container = F.when(k == 0, F.concat(F.lit('<rootfile full-path="OEBPS/c'), "page_id", F.lit('.opf"/>'))).when(k == 1, "<rootfiles/>")
+    names = F.when(k != 3, F.array(F.lit("a.xhtml"), F.concat(F.lit("b"), "page_id", F.lit(".OPF")), F.lit("z.opf"))).otherwise(F.array(F.lit("a.opf.xhtml")))
+    return read("pages").select("page_id", files.opf_path(container, names).alias("opf"))
 
 
-@query("SELECT page_id, 'OEBPS/text/c' || page_id || '.xhtml' AS name FROM pages")
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'OEBPS/text/c' || page_id || '.xhtml' WHEN 1 THEN 'x/../text/./c' || page_id || '.xhtml' WHEN 2 THEN 'text/c' || page_id || '.xhtml' ELSE 'c' || page_id || '.xhtml' END AS name FROM pages")
 def f34_normal_href(read):
-    href = F.concat(F.lit("x/../text/./c"), "page_id", F.lit(".xhtml#n"))
-    return read("pages").select("page_id", files.joined_href(F.lit("OEBPS"), href).alias("name"))
+    """Below a folder; in the package's own, where nothing is normalised; out of a folder; beyond the package."""
+    k = F.col("page_id") % 4
+    base = F.when(k == 0, "OEBPS").when(k == 1, "").when(k == 2, "OEBPS/a").otherwise("OEBPS")
+    start = F.when(k < 2, "x/../text/./c").when(k == 2, "../../text/c").otherwise("../../c")
+    return read("pages").select("page_id", files.joined_href(base, F.concat(start, "page_id", F.lit(".xhtml#n"))).alias("name"))
 
 
-@query("SELECT source, string_agg('[' || doc_id || '] ' || left(text, 20), chr(10) ORDER BY doc_id) AS report FROM documents WHERE doc_id % 9 = 0 GROUP BY source")
-def k7_failed_units(read, most=20):
-    rows = read("documents").where("doc_id % 9 = 0").select("source", "doc_id", F.concat(F.lit("["), "doc_id", F.lit("] "), F.left("text", F.lit(most))).alias("line"))
+@query("SELECT source, string_agg('[' || doc_id || '] ' || left(text, 300), chr(10) ORDER BY doc_id) AS report FROM documents GROUP BY source")
+def k7_failed_units(read):
+    """With the 300 characters of a source that the report keeps."""
+    rows = read("documents").select("source", "doc_id", F.concat(F.lit("["), "doc_id", F.lit("] "), F.left("text", F.lit(300))).alias("line"))
     return sinks.ordered_text(rows, "source", "doc_id", "line", "\n").withColumnRenamed("text", "report")
 
 
-@query()
-def k7_failed_units_whole(read):
-    """With the 300 characters of a source that the reference keeps."""
-    return k7_failed_units(read, 300)
-
-
 @query("SELECT conv_id AS book, count(*)::BIGINT + 1 AS files FROM conversations GROUP BY conv_id")
 def k3_packages(read):
     """A package per conversation, written and read back."""
@@ -105,17 +121,27 @@ def k3_packages(read):
 
 @query("SELECT doc_id, text || '汉' AS text FROM documents")
 def s7_decoded_text(read):
-    """Texts as bytes of several encodings, decoded by trial."""
-    k = F.col("doc_id") % 3
-    text = F.concat("text", F.lit("汉"))
-    data = F.when(k == 0, F.encode(text, "UTF-8")).when(k == 1, F.concat(F.lit(bytearray(b"\xef\xbb\xbf")), F.encode(text, "UTF-8"))).otherwise(F.encode(text, "UTF-8"))
+    """Texts as bytes of several encodings (UTF-8 with and without its mark, GB18030, UTF-16 of both orders), decoded by trial."""
+    import pandas as pd
+
+    names = ["utf-8", "utf-8-sig", "gb18030", "utf-16", "utf-16-be"]
+
+    def encoded(text, k):
+        return pd.Series([None if t is None else (b"\xfe\xff" if names[i] == "utf-16-be" else b"") + t.encode(names[i]) for t, i in zip(text, k, strict=True)])
+
+    data = F.pandas_udf(encoded, "binary")(F.concat("text", F.lit("汉")), F.col("doc_id") % len(names))
     return read("documents").select("doc_id", files.decoded(data).alias("text"))
 
 
-@query("SELECT event_id, event_id % 2 = 0 AS animated FROM events")
+@query("SELECT event_id, event_id % 8 IN (0, 2, 3, 6) AS animated FROM events")
 def p7_animated(read):
-    png = lambda chunk: F.lit(bytearray(b"\x89PNG\r\n\x1a\n" + chunk))
-    return read("events").select("event_id", files.is_animated(F.when(F.col("event_id") % 2 == 0, png(b"acTL")).otherwise(png(b"IDAT"))).alias("animated"))
+    """PNG, WEBP and GIF, moving and still: a WEBP whose picture holds the letters ANIM is still, one with the flag or the chunk moves."""
+    riff = lambda *chunks: b"RIFF\0\0\0\0WEBP" + b"".join(n + len(b).to_bytes(4, "little") + b + b"\0" * (len(b) % 2) for n, b in chunks)
+    frame = b"\x2c" + b"\0" * 8 + b"\0" + b"\x02\x02\x4c\x01\0"
+    gif = lambda n: b"GIF89a\x01\0\x01\0\0\0\0" + frame * n + b"\x3b"
+    made = [b"\x89PNG\r\n\x1a\nacTL", b"\x89PNG\r\n\x1a\nIDAT", riff((b"VP8X", b"\x02" + b"\0" * 9)), riff((b"VP8X", b"\0" * 10), (b"ANIM", b"\0" * 6)), riff((b"VP8 ", b"xxANIMxx")), riff((b"VP8X", b"\0" * 10), (b"VP8 ", b"oddANIM")), gif(2), gif(1)]
+    data = F.get(F.array(*[F.lit(bytearray(m)) for m in made]), (F.col("event_id") % 8).cast("int"))
+    return read("events").select("event_id", files.is_animated(data).alias("animated"))
 
 
 @query("SELECT doc_id, length(substr(text, 1, 400))::BIGINT AS chars FROM documents")
@@ -129,9 +155,9 @@ def w1_running_context(read):
     return xhtml.contexts(xhtml.tokens(read("pages"), "page_id", F.col("html")), "page_id")
 
 
-@query("SELECT l_orderkey AS page_no, count(*)::BIGINT AS figures, (sum(l_linenumber))::BIGINT AS numbers FROM (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 25) GROUP BY l_orderkey")
+@query("SELECT l_orderkey AS page_no, count(*)::BIGINT AS figures, (sum(l_linenumber))::BIGINT AS numbers FROM lineitem GROUP BY l_orderkey")
 def a12_page_counts(read):
-    return read("lineitem").where("l_quantity > 25").groupBy(F.col("l_orderkey").alias("page_no")).agg(F.count("*").alias("figures"), F.sum("l_linenumber").alias("numbers"))
+    return read("lineitem").groupBy(F.col("l_orderkey").alias("page_no")).agg(F.count("*").alias("figures"), F.sum("l_linenumber").alias("numbers"))
 
 
 @query("SELECT substr(k, 1, 3) AS job, sum(n)::BIGINT AS tokens FROM (SELECT md5(event_type) || (event_id % 50) AS k, arg_min(event_id % 13, event_id) AS n FROM events GROUP BY 1) GROUP BY 1")

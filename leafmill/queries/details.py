@@ -105,11 +105,11 @@ def o5_figures_sorted(read):
     return read("lineitem").groupBy(F.col("l_orderkey").alias("page_no")).agg(made.alias("figures"))
 
 
-@query("SELECT l_orderkey AS page_no, l_returnflag = 'R' AS is_drawing, count(*)::BIGINT AS rects FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1, 2")
+@query("SELECT l_orderkey AS page_no, l_returnflag = 'R' AS is_drawing, count(*)::BIGINT AS rects FROM lineitem GROUP BY 1, 2")
 def u2_candidate_union(read):
     """Bitmaps and drawings, two inputs, as one."""
-    pick = lambda flag, drawing: read("lineitem").where(F.col("l_returnflag") == flag).select(F.col("l_orderkey").alias("page_no"), F.lit(drawing).alias("is_drawing"))
-    return pick("A", False).unionByName(pick("R", True)).groupBy("page_no", "is_drawing").agg(F.count("*").alias("rects"))
+    pick = lambda drawing: read("lineitem").where((F.col("l_returnflag") == "R") == drawing).select(F.col("l_orderkey").alias("page_no"), F.lit(drawing).alias("is_drawing"))
+    return pick(False).unionByName(pick(True)).groupBy("page_no", "is_drawing").agg(F.count("*").alias("rects"))
 
 
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS place FROM conversations")

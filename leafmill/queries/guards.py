@@ -71,5 +71,21 @@ def a14_accuracy(read):
 
 @query("SELECT event_type AS k, min(event_id) AS first FROM events GROUP BY event_type")
 def t1_stream_first_results(read):
-    """The checkpoint's first arrival of each key; the streaming form (streaming.checkpoints) gives the same rows."""
-    return read("events").groupBy(F.col("event_type").alias("k")).agg(F.min("event_id").alias("first"))
+    """The checkpoint as a stream: each key's first result, from what has arrived so far."""
+    from ..sources import tables
+    from ..streaming import checkpoints
+
+    events = read("events")
+    spark = events.sparkSession
+    stream = checkpoints.arrivals(spark, f"{read.folder}/events.parquet", events.schema).select(F.col("event_type").alias("k"), F.col("event_id").alias("first"))
+    out = tables.new_path(spark, "first")
+    checkpoints.run_complete(checkpoints.first_of(stream.withColumn("order", F.col("first")), "k", "order"), out, tables.new_path(spark, "progress"))
+    return spark.read.parquet(out).select("k", "first")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 > 0 AND event_id % 50 > event_id % 7 THEN round_even((event_id % 50 - event_id % 7) * elapsed / (event_id % 9 + 1) / 60, 1) END AS minutes FROM (SELECT event_id, event_id % 977 + 0.5::DOUBLE AS elapsed FROM events)")
+def w10_minutes_left(read):
+    from ..streaming.progress import minutes_left
+
+    n = lambda k: F.col("event_id") % k
+    return read("events").select("event_id", minutes_left(n(977) + F.lit(0.5), n(9) + 1, n(7), n(50)).alias("minutes"))

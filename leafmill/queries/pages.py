@@ -58,7 +58,7 @@ def a5_doc_report(read):
 
 
 _PLAIN = "html"
-for _p, _t in ((r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>", "' '"), (r"(?i)<br\s*/?>", "chr(10)"), (r"(?i)</(p|div|h[1-6]|li|tr|blockquote|section|article)\s*>", "chr(10)"), (r"(?s)<[^>]+>", "''")):
+for _p, _t in ((r"(?is)<script\b.*?</script>|<style\b.*?</style>", "' '"), (r"(?i)<br\s*/?>", "chr(10)"), (r"(?i)</(p|div|h[1-6]|li|tr|blockquote|section|article)>", "chr(10)"), (r"(?s)<[^>]+>", "''")):
     _PLAIN = f"regexp_replace({_PLAIN}, '{_p}', {_t}, 'g')"
 for _e, _c in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&nbsp;", "chr(160)"), ("&middot;", "chr(183)"), ("&copy;", "chr(169)"), ("&amp;", "'&'")):
     _PLAIN = f"replace({_PLAIN}, '{_e}', {_c})"
@@ -71,25 +71,19 @@ def f2_plain_text(read):
     return read("pages").select("page_id", fx.plain_text(F.col("html")).alias("text"))
 
 
-_RUBY = "'<p><ruby>' || left(text, 20) || '<rp>(</rp><rt>' || right(text, 9) || '</rt><rp>)</rp></ruby>' || '<RT class=\"a\">x</RT>' || '</p>'"
+_RUBY = "'<p><ruby>' || text || '<rp>(</rp><rt>' || text || '</rt><rp>)</rp></ruby>' || '<RT class=\"a\">x</RT>' || '</p>'"
 
 
 @query(rf"SELECT doc_id, regexp_replace({_RUBY}, '(?is)<rt\b[^>]*>.*?</rt\s*>|<rp\b[^>]*>.*?</rp\s*>', '', 'g') AS text FROM documents")
-def f1_strip_ruby(read, whole=False):
-    base, ruby = (F.col("text"), F.col("text")) if whole else (F.left("text", F.lit(20)), F.right("text", F.lit(9)))
-    made = F.concat(F.lit("<p><ruby>"), base, F.lit("<rp>(</rp><rt>"), ruby, F.lit('</rt><rp>)</rp></ruby><RT class="a">x</RT></p>'))
+def f1_strip_ruby(read):
+    made = F.concat(F.lit("<p><ruby>"), "text", F.lit("<rp>(</rp><rt>"), "text", F.lit('</rt><rp>)</rp></ruby><RT class="a">x</RT></p>'))
     return read("documents").select("doc_id", fx.strip_ruby(made).alias("text"))
 
 
-@query()
-def f1_strip_ruby_whole(read):
-    return f1_strip_ruby(read, whole=True)
-
-
 _ESC = "text"
-for _c, _e in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+for _c, _e in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
     _ESC = f"replace({_ESC}, '{_c}', '{_e}')"
-_OUT = _ESC.replace("text", "('【译】' || text)", 1)
+_ESC_ALL = f"replace(replace({_ESC}, '\"', '&quot;'), '''', '&#x27;')"
 _OUT_SQL = TOKENS_SQL + rf""", o AS (SELECT page_id, grp, first_pos, '【译】' || text AS text FROM units),
 j AS (SELECT t.page_id, t.pos, CASE WHEN o.grp IS NOT NULL AND NOT t.is_tag AND regexp_matches(t.tok, '\p{{L}}') AND depth = 0 THEN regexp_extract(t.tok, '^{_WS}*') || CASE WHEN t.pos = o.first_pos THEN {_ESC} ELSE '' END || regexp_extract(t.tok, '{_WS}*$') ELSE t.tok END AS part FROM toks t LEFT JOIN o USING (page_id, grp))
 SELECT page_id, md5(string_agg(part, '' ORDER BY pos)) AS digest, sum(length(part))::BIGINT AS chars FROM j GROUP BY page_id"""
@@ -104,7 +98,7 @@ def l1_translate_pages(read):
     return made.select("page_id", F.md5("html").alias("digest"), F.length("html").cast("long").alias("chars"))
 
 
-@query(f"SELECT doc_id, {_ESC} AS text FROM documents")
+@query(f"SELECT doc_id, {_ESC_ALL} AS text FROM documents")
 def f30_xml_escape(read):
     return read("documents").select("doc_id", fx.xml_escape(F.col("text")).alias("text"))
 

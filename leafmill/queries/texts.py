@@ -72,15 +72,9 @@ def f6_job_key(read):
     return read("documents").select("source", "lang").distinct().withColumn("key", fx.job_key(fields))
 
 
-@query("SELECT doc_id, 'data:image/png;base64,' || to_base64(encode(left(text, 300))) AS url, md5(text) AS digest FROM documents")
-def f8_data_url(read, whole=False):
-    text = F.col("text") if whole else F.left("text", F.lit(300))
-    return read("documents").select("doc_id", fx.data_url(F.lit("image/png"), F.encode(text, "UTF-8")).alias("url"), F.md5("text").alias("digest"))
-
-
-@query()
-def f8_data_url_whole(read):
-    return f8_data_url(read, whole=True)
+@query("SELECT doc_id, 'data:image/png;base64,' || to_base64(encode(text)) AS url, md5(text) AS digest FROM documents")
+def f8_data_url(read):
+    return read("documents").select("doc_id", fx.data_url(F.lit("image/png"), F.encode("text", "UTF-8")).alias("url"), F.md5("text").alias("digest"))
 
 
 @query("""SELECT i AS id, CASE WHEN starts_with(h, '255044462D') THEN 'pdf' WHEN starts_with(h, '504B0304') OR e = 'epub' THEN 'epub' WHEN e IN ('pdf','png','jpg','jpeg','webp','bmp','tif','tiff','gif','jp2','j2k','pnm','pgm','ppm') THEN 'image' WHEN e = 'txt' THEN 'txt' END AS kind

@@ -54,12 +54,21 @@ def animated(data: bytes) -> bool:
         if data[:8] == b"\x89PNG\r\n\x1a\n":
             return b"acTL" in data
         if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
-            return (data[12:16] == b"VP8X" and bool(data[20] & 2)) or b"ANIM" in data
+            return any(name == b"ANIM" or (name == b"VP8X" and bool(body[0] & 2)) for name, body in riff_chunks(data))
     except (IndexError, struct.error):
         pass
     return False
 
 
+def riff_chunks(data: bytes):
+    """(name, first bytes) of a RIFF file's chunks, each padded to an even length; what looks like a chunk inside another is none."""
+    at = 12
+    while at + 8 <= len(data):
+        size = struct.unpack_from("<I", data, at + 4)[0]
+        yield data[at : at + 4], data[at + 8 : at + 24]
+        at += 8 + size + size % 2
+
+
 def gif_frames(data: bytes) -> int:
     """Image descriptors of a GIF, block by block."""
 
@@ -116,8 +125,9 @@ def is_document(name):
 
 
 def join_href(base: str, href: str) -> str:
-    """a package path from a manifest's folder and a reference."""
-    return posixpath.normpath(posixpath.join(base, href.split("#", 1)[0])).lstrip("./")
+    """a package path from a manifest's folder and a reference; in the package's own folder the reference stays as it is."""
+    path = href.split("#", 1)[0]
+    return (posixpath.normpath(posixpath.join(base, path)) if base else path).lstrip("./")
 
 
 def spine_order(docs: DataFrame, items: DataFrame, refs: DataFrame) -> DataFrame:
@@ -134,6 +144,33 @@ def joined_href(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([None if b is None or h is None else join_href(b, h) for b, h in zip(base, href, strict=True)])
 
 
-def opf_path(container):
-    """the package file that a container names."""
-    return F.regexp_extract(container, 'full-path="([^"]+)"', 1)
+def opf_path(container, names=None):
+    """the package file that a container names, else the first of the package's names (an array, in order) that ends in .opf, else
+    empty."""
+    named = F.nullif(F.regexp_extract(F.coalesce(container, F.lit("")), 'full-path="([^"]+)"', 1), F.lit(""))
+    first = F.get(F.filter(names, lambda n: F.lower(n).endswith(".opf")), F.lit(0)) if names is not None else F.lit(None)
+    return F.coalesce(named, first, F.lit(""))
+
+
+# pictures (S2, S5)
+
+
+def images(files: DataFrame, mode: str = "pages", renderer=None) -> DataFrame:
+    """(path, page_no, data, error) of visual inputs (path, kind, content). A still picture is one page; an animated one, and what can't
+    be read, is an error row. PDF files go to renderer(content, mode) -> pages' bytes in order, mode "pages" or "images"; without
+    one they are error rows."""
+
+    def pages(frames):
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    if renderer is None:
+                        raise ValueError("no renderer")
+                    made = [(path, i, data, None) for i, data in enumerate(renderer(content, mode), 1)]
+                except Exception as e:  # a file that can't be read is its own row's error
+                    made = [(path, None, None, f"{type(e).__name__}: {e}")]
+                yield pd.DataFrame(made, columns=["path", "page_no", "data", "error"]).astype({"page_no": "Int64"})
+
+    moving = is_animated(F.col("content"))
+    stills = files.where("kind = 'image'").select("path", F.when(~moving, 1).cast("long").alias("page_no"), F.when(~moving, F.col("content")).alias("data"), F.when(moving, "animated").alias("error"))
+    return stills.unionByName(files.where("kind = 'pdf'").select("path", "content").mapInPandas(pages, "path string, page_no long, data binary, error string"))

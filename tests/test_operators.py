@@ -84,3 +84,49 @@ def test_stream_equals_batch(spark, tmp_path):
         checkpoints.run_available(checkpoints.first_results(spark, src, "k long, v long", "k"), str(tmp_path / "out"), str(tmp_path / "cp"))
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r["k"] for r in got.collect()) == list(range(7))
+
+
+def test_plain_text_knows_all_entities(spark):
+    rows = ["<p>caf&eacute;&#8217;s &hellip; &#x41;&amp;lt; &copy2020</p>", "<p>a &amp;amp; b&nbsp;&middot;</p>", "<SCRIPT>x</script><p>1 & 2 &amp x</p>", None]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, html string")
+    got = [r["t"] for r in df.orderBy("id").select(fx.plain_text(F.col("html")).alias("t")).collect()]
+    assert got == ["café’s … A&lt; ©2020", "a &amp; b ·", "1 & 2 & x", None]
+
+
+def test_splice_escapes_content_alone_and_keeps_text_for_answers_without_letters(spark):
+    df = spark.createDataFrame([(1, '<p>say <b>so</b> </p><p> one <i>two</i></p><p>three</p>')], "id long, html string")
+    toks = xhtml.tokens(df, "id", F.col("html"))
+    units = xhtml.units(toks, "id")
+    out = units.withColumn("out", F.when(F.col("unit") == 0, "say \"hi\" it's <1> & ").when(F.col("unit") == 1, "…")).where("unit < 2")
+    assert xhtml.splice(toks, out, "id").first()["html"] == "<p>say \"hi\" it's &lt;1&gt; &amp; <b></b> </p><p> one <i></i></p><p>three</p>"
+
+
+def test_package_names(spark):
+    assert files.join_href("", "a/../b.xhtml#x") == "a/../b.xhtml" and files.join_href("O", "a/../b.xhtml") == "O/b.xhtml"
+    rows = [('<rootfile full-path="x.opf"/>', ["a.opf"]), ("<r/>", ["a.xhtml", "B.OPF", "c.opf"]), (None, ["a.opf.txt"]), (None, [])]
+    df = spark.createDataFrame(rows, "c string, n array<string>")
+    assert [r[0] for r in df.select(files.opf_path(F.col("c"), F.col("n"))).collect()] == ["x.opf", "B.OPF", "", ""]
+
+
+def test_pages_of_rendered_texts(spark):
+    from leafmill.functions import render
+
+    df = spark.createDataFrame([("o", "t"), ("", "t"), ("o", ""), ("", None), (" ", "t")], "o string, t string")
+    page = lambda *how: [r[0] for r in df.select(render.page(F.col("o"), F.col("o"), F.col("t"), *how)).collect()]
+    sep, none = "— 译文 —", "(本页无可用内容)"
+    assert page(True, True, False) == [f"o\n\n{sep}\n\nt", "t", "o", none, f"{sep}\n\nt"]
+    assert page(True, False, False) == ["t", "t", none, none, "t"]
+    assert page(False, False, True) == ["o", f"<p><i>{none}</i></p>", "o", f"<p><i>{none}</i></p>", f"<p><i>{none}</i></p>"]
+
+
+def test_pictures(spark):
+    from leafmill.functions import prompts
+
+    rows = [("a.png", "image", b"\x89PNG\r\n\x1a\nIDAT"), ("b.png", "image", b"\x89PNG\r\n\x1a\nacTL"), ("c.pdf", "pdf", b"%PDF-2"), ("d.pdf", "pdf", b"%PDF-x"), ("e.txt", "txt", b"t")]
+    df = spark.createDataFrame([(p, k, bytearray(c)) for p, k, c in rows], "path string, kind string, content binary")
+    got = sorted((r["path"], r["page_no"] or 0, r["error"] or "") for r in files.images(df, "pages", lambda data, mode: [mode.encode()] * int(data[5:])).collect())
+    assert [g[:2] for g in got] == [("a.png", 1), ("b.png", 0), ("c.pdf", 1), ("c.pdf", 2), ("d.pdf", 0)] and got[1][2] == "animated" and "ValueError" in got[4][2]
+    assert files.images(df).where("path = 'c.pdf'").first()["error"] == "ValueError: no renderer"
+    asked = df.select(*[prompts.vision_prompt(t, o, F.lit("法语"), F.lit(n)).alias(f"c{i}") for i, (t, o, n) in enumerate([(False, False, 0), (True, False, 3), (True, True, 0)])]).first()
+    assert all("[[FIG:n]]" in p and "<<<FIGURES>>>" in p for p in asked) and "caption_t" not in asked[0] and "caption_t" in asked[1]
+    assert "法语" in asked[1] and "【译文】" in asked[2] and spark.createDataFrame([tuple(asked)], "a string, b string, c string").select(prompts.candidate_count(F.col("a")), prompts.candidate_count(F.col("b"))).first()[:] == (0, 3)

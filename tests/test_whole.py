@@ -1,4 +1,4 @@
-"""Whole tables and whole texts, where the queries with SQL take a part: against brute force."""
+"""Whole tables and whole texts against brute force."""
 
 import base64
 import hashlib
@@ -53,10 +53,10 @@ def pages(rows):
 
 
 def test_figures_of_all_orders(spark, rects, candidates):
-    assert sorted(run(spark, "p6_figure_candidates_whole")) == sorted(r[:2] for r in candidates)
-    assert sorted(run(spark, "f9_zone_whole")) == sorted((*r[:2], zone(r)) for r in rects)
+    assert sorted(run(spark, "p6_figure_candidates")) == sorted(r[:2] for r in candidates)
+    assert sorted(run(spark, "f9_zone")) == sorted((*r[:2], zone(r)) for r in rects)
     held = pages(candidates)
-    assert sorted(run(spark, "j11_candidate_count_whole")) == sorted((p, len(held.get(p, []))) for p in pages(rects))
+    assert sorted(run(spark, "j11_candidate_count")) == sorted((p, len(held.get(p, []))) for p in pages(rects))
 
 
 def test_suppression_on_all_orders(spark, candidates):
@@ -67,7 +67,7 @@ def test_suppression_on_all_orders(spark, candidates):
             if not any(max(min(r[4], k[4]) - max(r[2], k[2]), 0) * max(min(r[5], k[5]) - max(r[3], k[3]), 0) > size(r) * 0.7 for k in kept):
                 kept.append(r)
         want += [(page, r[1]) for r in kept]
-    assert sorted(run(spark, "j6_suppress_whole")) == sorted(want)
+    assert sorted(run(spark, "j6_suppress")) == sorted(want)
 
 
 def test_reading_order_keeps_eight(spark, candidates):
@@ -75,7 +75,7 @@ def test_reading_order_keeps_eight(spark, candidates):
     for page, rows in pages(candidates).items():
         want += [(page, r[1], k) for k, r in enumerate(sorted(rows, key=lambda r: (round(r[3]), round(r[2]), r[1]))[:8])]
     assert max(k for _, _, k in want) > 3
-    assert sorted(run(spark, "o3_reading_order_whole")) == sorted(want)
+    assert sorted(run(spark, "o3_reading_order")) == sorted(want)
 
 
 def test_matching_on_all_orders(spark, rects):
@@ -92,7 +92,7 @@ def test_matching_on_all_orders(spark, rects):
                 free.remove(hit)
                 want.append((page, 10 - r[1], hit[1], "zone"))
         want += [(page, 10 - r[1], c[1], "order") for r, c in zip(left, free, strict=False)]
-    assert sorted(run(spark, "j4_j5_match_whole")) == sorted(want)
+    assert sorted(run(spark, "j4_j5_match")) == sorted(want)
 
 
 KANA = str.maketrans("aeiou", "あえいおう")
@@ -124,14 +124,14 @@ def judge(v):
 def test_cache_judges_whole_texts(spark, texts):
     folder, docs = texts
     values = [value(i, t) for i, t in enumerate(docs)]
-    for name, k in (("p8_usable_whole", 0), ("p9_trustworthy_whole", 1)):
+    for name, k in (("p8_usable", 0), ("p9_trustworthy", 1)):
         assert sorted(run(spark, name, folder)) == [(i, judge(v)[k]) for i, v in enumerate(values)]
     key = lambda i: hashlib.md5(f"t5|zh|{i % 200}".encode()).hexdigest()
     version = lambda i: None if i % 11 == 0 else 2 if i % 7 == 0 else 1
-    assert sorted(run(spark, "a8_first_wins_whole", folder)) == sorted((key(i), v) for i, v in enumerate(values) if version(i) == 1 and judge(v)[0])
+    assert sorted(run(spark, "a8_first_wins", folder)) == sorted((key(i), v) for i, v in enumerate(values) if version(i) == 1 and judge(v)[0])
     good = sum(judge(v)[1] for v in values)
-    assert run(spark, "a6_cache_audit_whole", folder) == [(len(docs), good, len(docs) - good, sum(version(i) is None for i in range(len(docs))))]
-    got = library.queries()["k11_cache_clean_whole"](spark, folder).select("n", "k", "t").collect()
+    assert run(spark, "a6_cache_audit", folder) == [(len(docs), good, len(docs) - good, sum(version(i) is None for i in range(len(docs))))]
+    got = library.queries()["k11_cache_clean"](spark, folder).select("n", "k", "t").collect()
     assert sorted(map(tuple, got)) == [(i, key(i), v) for i, v in enumerate(values) if judge(v)[1]]
 
 
@@ -154,12 +154,12 @@ def test_echo_of_whole_texts(spark, tmp_path):
 
 def test_functions_take_whole_texts(spark, texts):
     folder, docs = texts
-    assert sorted(run(spark, "f1_strip_ruby_whole", folder)) == [(i, f"<p><ruby>{t}</ruby></p>") for i, t in enumerate(docs)]
+    assert sorted(run(spark, "f1_strip_ruby", folder)) == [(i, f"<p><ruby>{t}</ruby></p>") for i, t in enumerate(docs)]
     want = [(i, "data:image/png;base64," + base64.b64encode(t.encode()).decode(), hashlib.md5(t.encode()).hexdigest()) for i, t in enumerate(docs)]
-    assert sorted(run(spark, "f8_data_url_whole", folder)) == want
+    assert sorted(run(spark, "f8_data_url", folder)) == want
 
 
 def test_failed_units_keep_300_characters(spark, texts):
     folder, docs = texts
-    got = {r["source"]: r["report"] for r in library.queries()["k7_failed_units_whole"](spark, folder).collect()}
-    assert got == {"s0": "\n".join(f"[{i}] {docs[i][:300]}" for i in range(0, len(docs), 9))}
+    got = {r["source"]: r["report"] for r in library.queries()["k7_failed_units"](spark, folder).collect()}
+    assert got == {f"s{s}": "\n".join(f"[{i}] {docs[i][:300]}" for i in range(s, len(docs), 3)) for s in range(3)}
