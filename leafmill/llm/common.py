@@ -189,6 +189,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return sample.where(~F.col("doc_id").isin(over)) if over else sample, counts
 
 
+def in_order(ids) -> list[int]:
+    """Places of a sample's rows by their ids (a chunked Arrow column)."""
+    values = ids.to_pylist()
+    return sorted(range(len(values)), key=values.__getitem__)
+
+
 def sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-max(-35.0, min(35.0, x))))
 

@@ -21,7 +21,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from .common import Words, filter_scores, labelled_sample, map_scores, mix64, sigmoid, worker_cache
+from .common import Words, filter_scores, in_order, labelled_sample, map_scores, mix64, sigmoid, worker_cache
 
 BITS = 18
 #: Texts of each class that training takes at most.
@@ -116,11 +116,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([n for _, n in made], pa.int32()), pa.array([i.astype("i4") for i, _ in made], pa.list_(pa.int32()))], ["doc_id", "y", "n", "idx"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    got = sample.mapInArrow(run, f"doc_id {kind}, y int, n int, idx array<int>").toArrow().sort_by([("doc_id", "ascending"), ("n", "ascending")])
-    y = got["y"].to_pylist()
+    got = sample.mapInArrow(run, f"doc_id {kind}, y int, n int, idx array<int>").toArrow()
+    order = in_order(got["doc_id"])
+    y = [got["y"][i].as_py() for i in order]
     if len(set(y)) < 2:
         return share
-    w, b = train([(i.values.to_numpy(), n, t) for i, n, t in zip(got["idx"], got["n"].to_pylist(), y, strict=True)])
+    w, b = train((got["idx"][i].values.to_numpy(), got["n"][i].as_py(), t) for i, t in zip(order, y, strict=True))
     ones = sum(y)
     # the sample holds the classes in other shares than the labelled rows do
     return w, b + math.log(counts[1] / counts[0]) - math.log(max(ones, 1) / max(len(y) - ones, 1))

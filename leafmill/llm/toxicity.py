@@ -19,7 +19,7 @@ import math
 
 from pyspark.sql import DataFrame
 
-from .common import Words, filter_scores, labelled_sample, map_scores, mix64, sigmoid
+from .common import Words, filter_scores, in_order, labelled_sample, map_scores, mix64, sigmoid
 
 BUCKET_BITS = 17
 DIM = 4
@@ -83,8 +83,11 @@ def train(bags: list, labels: list[int], epochs: int = EPOCHS, batch: int = 64,
     ones = max(y.sum(), 1)
     even = np.where(y == 1, 0.5 * len(y) / ones, 0.5 * len(y) / max(len(y) - ones, 1))  # both classes weigh the same
     every = rng.normal(0, 0.1, (DIM, 1 << bits)).astype("f4")
-    used = np.unique(np.concatenate([at for at, _ in bags]))  # buckets of no bag never move, so steps leave them out
-    bags = [(np.searchsorted(used, at), w) for at, w in bags]
+    met = np.zeros(1 << bits, bool)  # buckets of no bag never move, so steps leave them out
+    for at, _ in bags:
+        met[at] = True
+    used, place = np.nonzero(met)[0], np.cumsum(met, dtype="i4") - 1
+    bags = [(place[at], w) for at, w in bags]
     emb = every[:, used]
     out = rng.normal(0, 1, (2, DIM)).astype("f4")
     bias = np.zeros(2, "f4")
@@ -136,9 +139,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([at for at, _ in made], pa.list_(pa.int32())), pa.array([w for _, w in made], pa.list_(pa.float32()))], ["doc_id", "y", "buckets", "weights"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    got = sample.mapInArrow(run, f"doc_id {kind}, y int, buckets array<int>, weights array<float>").toArrow().sort_by([("doc_id", "ascending")])
-    bags = [(at.values.to_numpy(), w.values.to_numpy()) for at, w in zip(got["buckets"], got["weights"], strict=True)]
-    y = got["y"].to_pylist()
+    got = sample.mapInArrow(run, f"doc_id {kind}, y int, buckets array<int>, weights array<float>").toArrow()
+    order = in_order(got["doc_id"])
+    bags = [(got["buckets"][i].values.to_numpy(), got["weights"][i].values.to_numpy()) for i in order]  # views, not copies
+    y = [got["y"][i].as_py() for i in order]
     return train(bags, y) if len(set(y)) == 2 else share
 
 
