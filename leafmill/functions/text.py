@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import html
+import operator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -38,9 +40,10 @@ def _unescaped(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else html.unescape(t))
 
 
-def unescape(text: Column) -> Column:
-    """Entities as their characters. Texts with the common ones alone stay in the JVM; others, of which Python knows all, go there."""
-    other = _unescaped(F.when(text.rlike(OTHER_ENTITY), text))
+def unescape(text: Column, source: Column | None = None) -> Column:
+    """Entities as their characters. Texts with the common ones alone stay in the JVM; others, of which Python knows all, go there.
+    source: what text was made from, if it tells as well, and cheaper, whether there are others."""
+    other = _unescaped(F.when((text if source is None else source).rlike(OTHER_ENTITY), text))
     for entity, char in COMMON_ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     return F.coalesce(other, text)
@@ -51,7 +54,7 @@ def plain_text(xhtml: Column) -> Column:
     x = F.regexp_replace(xhtml, "(?is)<(script|style)\\b.*?</\\1>", " ")
     x = F.regexp_replace(x, "(?i)<br\\s*/?>", "\n")
     x = F.regexp_replace(x, "(?i)</(p|div|h[1-6]|li|tr|blockquote|section|article)>", "\n")
-    x = unescape(F.regexp_replace(x, "(?s)<[^>]+>", ""))
+    x = unescape(F.regexp_replace(x, "(?s)<[^>]+>", ""), xhtml)
     x = F.regexp_replace(x, "[ \\t\\u00a0]+", " ")
     return strip(F.regexp_replace(x, "\\n{3,}", "\n\n"))
 
@@ -87,13 +90,22 @@ def wants_chinese(target: str) -> bool:
     return "中文" in target or "chinese" in low or low == "zh"
 
 
+def is_blank(value: Column) -> Column:
+    """Null, empty, or white space alone, as Unicode defines it."""
+    return ~F.coalesce(value, F.lit("")).rlike("(?U)\\S")
+
+
+def is_refusal(value: Column) -> Column:
+    """Whether a refusal's mark is in it; the value is put in lower case once, whatever the number of marks."""
+    marked = lambda low: functools.reduce(operator.or_, [F.contains(low, F.lit(m)) for m in REFUSALS])
+    return F.exists(F.array(F.lower(F.coalesce(value, F.lit("")))), marked)
+
+
 def usable(value: Column, target: str) -> Column:
     """Not blank, no refusal and, for Chinese, not kana alone."""
-    v = strip(F.coalesce(value, F.lit("")))
-    refused = F.exists(F.array(*map(F.lit, REFUSALS)), lambda m: F.contains(F.lower(v), m))
-    out = (v != "") & ~refused
+    out = ~is_blank(value) & ~is_refusal(value)
     if wants_chinese(target):
-        out = out & ~((F.regexp_count(v, F.lit(KANA)) > 0) & (F.regexp_count(v, F.lit(CJK)) == 0))
+        out = out & ~(value.rlike(KANA) & ~value.rlike(CJK))
     return out
 
 
@@ -101,9 +113,8 @@ def trustworthy(value: Column, target: str) -> Column:
     """Usable and, for Chinese, a tenth of kana at most."""
     out = usable(value, target)
     if wants_chinese(target):
-        v = strip(F.coalesce(value, F.lit("")))
-        kana, cjk = F.regexp_count(v, F.lit(KANA)), F.regexp_count(v, F.lit(CJK))
-        out = out & (kana * 10 <= F.greatest(kana + cjk, F.lit(1)))
+        kana, cjk = F.regexp_count(value, F.lit(KANA)), F.regexp_count(value, F.lit(CJK))
+        out = out & (~value.rlike(KANA) | (kana * 10 <= F.greatest(kana + cjk, F.lit(1))))
     return out
 
 
