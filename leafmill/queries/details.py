@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import answers, markdown, prompts, render
+from ..functions import answers, markdown, prompts, render, uploads
 from ..functions import text as fx
 from ..operators import align
 from ..sources import files, settings, sinks
@@ -138,3 +138,16 @@ def k4_package_copy(read):
     new = read("conversations").where("turn % 2 = 0").select(F.col("conv_id").alias("book"), F.format_string("c%04d.xhtml", "turn").alias("name"), F.encode(F.concat(F.lit("new "), "role"), "UTF-8").alias("data"))
     made = sinks.packages(sinks.overlay(rows, new)).select(F.col("book").cast("string").alias("path"), "content")
     return files.epub_entries(made).where("name != 'mimetype'").select(F.col("path").cast("long").alias("book"), "ord", F.decode("data", "UTF-8").alias("content"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '没有收到文件' WHEN event_id % 7 = 1 THEN '文件内容为空' WHEN event_id % 7 = 2 THEN '未配置 API Key' WHEN event_id % 5 <> 3 THEN NULL ELSE '不支持的文件类型' END AS refusal FROM events""")
+def p15_upload_refusals(read):
+    k, m = F.col("event_id") % 7, F.col("event_id") % 5
+    name = F.when(m == 0, "a.b/c.PDF").when(m == 1, "书.epub").when(m == 2, "").when(m == 3, F.when(k > 4, ".txt").otherwise("a.docx")).otherwise("x.tar.TXT")
+    return read("events").select("event_id", uploads.refusal(name, F.when(k == 0, None).when(k == 1, 0).otherwise(9), k != 2).alias("refusal"))
+
+
+@query("""SELECT doc_id, 'attachment; filename="' || CASE WHEN doc_id % 2 = 0 THEN '__ ' || doc_id || '~_.zip' ELSE 'output.zip' END || '"; filename*=UTF-8' || chr(39) || chr(39) || CASE WHEN doc_id % 2 = 0 THEN '%E6%B1%89_%20' || doc_id || '~_.zip' ELSE 'output.zip' END AS header FROM documents""")
+def f42_download_header(read):
+    title = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("汉: "), "doc_id", F.lit("~*"))).otherwise("")
+    return read("documents").select("doc_id", uploads.content_disposition(F.concat(uploads.download_name(title), F.lit(".zip"))).alias("header"))

@@ -7,6 +7,8 @@ import posixpath
 import re
 import struct
 import zipfile
+from email import policy
+from email.parser import BytesParser
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -97,6 +99,30 @@ def is_animated(data: pd.Series) -> pd.Series:
     return pd.Series([None if d is None else animated(d) for d in data])
 
 
+def form_parts(body: bytes, content_type: str | None) -> list[tuple[str, str | None, bytes]]:
+    """(field, file name or None, content) of a multipart form's parts; parts without a field name are passed over."""
+    if not content_type or "multipart/form-data" not in content_type:
+        return []
+    form = BytesParser(policy=policy.default).parsebytes(b"MIME-Version: 1.0\r\nContent-Type: " + content_type.encode("latin-1") + b"\r\n\r\n" + body)
+    named = [(p.get_param("name", header="content-disposition"), p.get_filename(), p.get_payload(decode=True)) for p in form.iter_parts()]
+    return [(name, file or None, data) for name, file, data in named if name and data is not None]
+
+
+def forms(uploads: DataFrame) -> DataFrame:
+    """Uploads (id, content_type, body) as rows (id, field, file, value, data): a text field has a value, a file its data. A field that
+    comes again counts by its last part."""
+    kind = uploads.schema["id"].dataType.simpleString()
+
+    def run(frames):
+        for frame in frames:
+            for key, content_type, body in zip(frame["id"], frame["content_type"], frame["body"], strict=True):
+                last = {(name, file is None): (file, data) for name, file, data in form_parts(body or b"", content_type)}
+                rows = [(key, name, file, data.decode("utf-8", "replace") if text else None, None if text else data) for (name, text), (file, data) in last.items()]
+                yield pd.DataFrame(rows, columns=["id", "field", "file", "value", "data"])
+
+    return uploads.select("id", "content_type", "body").mapInPandas(run, f"id {kind}, field string, file string, value string, data binary")
+
+
 # EPUB packages
 
 DOCUMENT = re.compile(r"\.(xhtml|html|htm|xml)$", re.I)

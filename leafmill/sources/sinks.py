@@ -45,6 +45,20 @@ def package(rows: list[tuple[str, bytes]]) -> bytes:
     return out.getvalue()
 
 
+def archives(entries: DataFrame) -> DataFrame:
+    """(book, content): a plain zip per book of its entries (book, name, data), sorted by name."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, data in sorted(zip(frame["name"], frame["data"], strict=True)):
+                z.writestr(zipfile.ZipInfo(name), data, zipfile.ZIP_DEFLATED)
+        return pd.DataFrame({"book": [frame["book"].iloc[0]], "content": [out.getvalue()]})
+
+    kind = entries.schema["book"].dataType.simpleString()
+    return entries.select("book", "name", "data").groupBy("book").applyInPandas(run, f"book {kind}, content binary")
+
+
 def packages(entries: DataFrame) -> DataFrame:
     """(book, content): a package per book, made where the book's entries meet."""
 

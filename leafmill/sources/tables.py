@@ -46,6 +46,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def first_writable(spark: SparkSession, candidates: list[str]) -> tuple[str, bool]:
+    """U4, K9: the first folder that can be written to, and whether it is another than the first that was asked for. Candidates that differ
+    in upper and lower case alone are one; folders are made where they are missing; PermissionError where none will do."""
+    seen: set[str] = set()
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in candidates:
+        if path.lower() in seen:
+            continue
+        seen.add(path.lower())
+        probe = hadoop.Path(f"{path}/.probe-{uuid.uuid4().hex[:8]}")
+        try:
+            system = probe.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            system.mkdirs(hadoop.Path(path))
+            system.create(probe, True).close()
+            system.delete(probe, False)
+        except Exception:  # whatever a file system refuses with, the next folder is tried
+            continue
+        return path, path != candidates[0]
+    raise PermissionError(f"no folder can be written to: {', '.join(candidates)}")
+
+
 @atexit.register
 def _clean() -> None:
     spark = SparkSession.getActiveSession()

@@ -130,3 +130,24 @@ def test_pictures(spark):
     asked = df.select(*[prompts.vision_prompt(t, o, F.lit("法语"), F.lit(n)).alias(f"c{i}") for i, (t, o, n) in enumerate([(False, False, 0), (True, False, 3), (True, True, 0)])]).first()
     assert all("[[FIG:n]]" in p and "<<<FIGURES>>>" in p for p in asked) and "caption_t" not in asked[0] and "caption_t" in asked[1]
     assert "法语" in asked[1] and "【译文】" in asked[2] and spark.createDataFrame([tuple(asked)], "a string, b string, c string").select(prompts.candidate_count(F.col("a")), prompts.candidate_count(F.col("b"))).first()[:] == (0, 3)
+
+
+def test_uploads(spark, tmp_path):
+    from urllib.parse import quote
+
+    from leafmill.functions import uploads
+    from leafmill.sources import tables
+
+    body = b'--x\r\nContent-Disposition: form-data; name="title"\r\n\r\n\xe4\xb9\xa6\r\n--x\r\nContent-Disposition: form-data; name="file"; filename="a.txt"\r\nContent-Type: text/plain\r\n\r\nline\x00\r\n--x\r\nContent-Disposition: form-data\r\n\r\nnone\r\n--x--\r\n'
+    df = spark.createDataFrame([(1, "multipart/form-data; boundary=x", bytearray(body)), (2, "text/plain", bytearray(b"x")), (3, None, None)], "id long, content_type string, body binary")
+    got = sorted((r["id"], r["field"], r["file"], r["value"], r["data"] and bytes(r["data"])) for r in files.forms(df).collect())
+    assert got == [(1, "file", "a.txt", None, b"line\x00"), (1, "title", None, "书", None)]
+    names = ["汉 a~*/+b.zip", "plain.zip", "é"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select(uploads.content_disposition(F.col("n"))).collect()
+    assert [r[0].split("''")[1] for r in rows] == [quote(n) for n in names]
+    (tmp_path / "file").write_text("x")
+    out = f"file://{tmp_path}"
+    assert tables.first_writable(spark, [f"{out}/file/below", f"{out}/FILE/below", f"{out}/made"]) == (f"{out}/made", True)
+    assert tables.first_writable(spark, [f"{out}/made"]) == (f"{out}/made", False)
+    zips = sinks.archives(spark.createDataFrame([(1, "b", bytearray(b"2")), (1, "a", bytearray(b"1"))], "book long, name string, data binary")).first()
+    assert zipfile.ZipFile(io.BytesIO(zips["content"])).namelist() == ["a", "b"]
