@@ -83,7 +83,7 @@ class Run:
         """Requests that the next round may send; 0 where a guard stops the job."""
         x = self.limits
         if self.why is None:
-            self.why = "requests" if self.requests >= x.max_requests else "output_tokens" if self.tokens >= x.max_tokens else "stall" if self.stalled >= x.stall_limit else "failures" if self.failed >= x.failure_limit else None
+            self.why = "requests" if self.requests >= x.max_requests else "output_tokens" if self.tokens >= x.max_tokens else "stall" if self.stalled >= x.stall_limit else None
         if self.why is not None:
             return 0
         room = min(self.pace, x.max_requests - self.requests, x.together or 1 << 30)
@@ -98,6 +98,7 @@ class Run:
             self.why, self.detail = "auth", detail
         elif kind == "transport":
             self.failed, self.detail = self.failed + 1, detail
+            self.why = self.why or ("failures" if self.failed >= self.limits.failure_limit else None)
         elif kind == "json_mode":
             self.json_mode = False
         elif filled:
