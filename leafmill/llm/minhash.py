@@ -50,7 +50,7 @@ class WordHashes:
         import numpy as np
         import xxhash
 
-        return np.array(self.known.of(words, lambda new: [xxhash.xxh3_64_intdigest(w) for w in new]), "u8")
+        return np.frombuffer(b"".join(self.known.of(words, lambda new: [xxhash.xxh3_64_digest(w) for w in new])), ">u8").astype("u8")
 
 
 def shingles(text: str | None, size: int, word_hashes: WordHashes):
