@@ -1,6 +1,9 @@
 """The text channel with pluggable models."""
 
+import duckdb
+import pandas as pd
 import pytest
+from leafmill import queries as library
 from leafmill.operators import xhtml
 from leafmill.plans import translate
 from pyspark.sql import functions as F
@@ -81,3 +84,20 @@ def test_contexts(spark):
     toks = xhtml.tokens(spark.createDataFrame([(1, html)], "id long, html string"), "id", F.col("html"))
     got = [r["context"] for r in xhtml.contexts(toks, "id").orderBy("pos").collect()]
     assert got == ["", "a", "a b", "", "e" * 400]
+
+
+def test_the_offline_model_does_not_refuse(spark, tmp_path):
+    texts = ["ils ont, pas an aielle reoi", "plain", "I cannot. " * 300, "known, pas an aielle", "pas an aielle, reoi", "plain", "known, pas an aielle"]
+    pd.DataFrame({"doc_id": [1, 2, 3, 4, 5, 6, 7], "text": texts}).to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    for name in ("c9_new_cache_lines", "l1_translate_texts"):
+        got, want = library.queries()[name](spark, str(tmp_path)), con.sql(library.oracle_sql()[name])
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_refusals_of_a_backend_are_not_cached(spark):
+    segs = spark.createDataFrame([(1, "aa"), (2, "bb")], "seg_id long, text string")
+    out = translate.translate(segs, spark.createDataFrame([], "k string, t string"), "en", lambda texts: ["As an AI, no" if t == "aa" else t.upper() for t in texts])
+    assert [r["t"] for r in translate.new_cache_lines(out, "en").collect()] == ["BB"]
+    assert {r["seg_id"]: r["why"] for r in out.collect()} == {1: "疑似模型拒答", 2: None}
