@@ -102,7 +102,7 @@ class Words(dict):
     def of(self, words: list, make) -> list:
         """The words' values. make() gives those of a list of distinct words."""
         try:
-            return [self[w] for w in words]
+            return list(map(self.__getitem__, words))
         except KeyError:
             pass
         if len(self) > self.most:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, minhash, neardup_vectors, packing, quality, rules, toxicity, urlfilter, warc
+from . import bpe, chat, common, fingerprint, minhash, neardup_vectors, packing, quality, rules, toxicity, urlfilter, warc
 
 #: The rules of op9 (verdict, host, path).
 URL_RULES = [
@@ -83,8 +83,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, quality, 0.3)
 
 
+def op12_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_neighbours(common.read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_warc, op4_quality_rules, op5_byte_bpe, op6_vector_near_dedup, op7_minhash_near_dedup, op8_chat_format, op9_url_filter, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_warc, op4_quality_rules, op5_byte_bpe, op6_vector_near_dedup, op7_minhash_near_dedup, op8_chat_format, op9_url_filter, op10_quality_classifier, op12_fingerprint)}
 
 
 #: SQL for the queries that SQL can express; the others are tested against brute force in tests/llm.
