@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, fingerprint, minhash, neardup_vectors, packing, quality, rules, toxicity, urlfilter, warc
+from . import bpe, chat, common, fingerprint, minhash, neardup_vectors, negatives, packing, quality, rules, toxicity, urlfilter, warc
 
 #: The rules of op9 (verdict, host, path).
 URL_RULES = [
@@ -83,12 +83,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, quality, 0.3)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.read(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved), "vec_id % 100 = 0", 5, 10, 30, 90, 256)
+
+
 def op12_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_neighbours(common.read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_warc, op4_quality_rules, op5_byte_bpe, op6_vector_near_dedup, op7_minhash_near_dedup, op8_chat_format, op9_url_filter, op10_quality_classifier, op12_fingerprint)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_warc, op4_quality_rules, op5_byte_bpe, op6_vector_near_dedup, op7_minhash_near_dedup, op8_chat_format, op9_url_filter, op10_quality_classifier, op11_hard_negatives, op12_fingerprint)}
 
 
 #: SQL for the queries that SQL can express; the others are tested against brute force in tests/llm.
@@ -123,4 +129,12 @@ p AS (SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_ex
 r(verdict, h, q) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 m AS (SELECT page_id, arg_max(h || q, length(h || q)) AS rule, arg_max(verdict, length(h || q)) AS verdict FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id)
 SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)""",
+    "op11_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS e FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+ FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
 }
