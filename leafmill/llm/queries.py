@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, fingerprint, minhash, neardup_vectors, negatives, packing, quality, rules, toxicity, urlfilter, warc
+from . import bpe, chat, common, fingerprint, minhash, neardup_vectors, negatives, packing, quality, rules, toxicity, trie, urlfilter, warc
 
 #: The rules of op9 (verdict, host, path).
 URL_RULES = [
@@ -93,8 +93,12 @@ def op12_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_neighbours(common.read(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(common.read(spark, sf_dir, "conversations"), 20, 4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_warc, op4_quality_rules, op5_byte_bpe, op6_vector_near_dedup, op7_minhash_near_dedup, op8_chat_format, op9_url_filter, op10_quality_classifier, op11_hard_negatives, op12_fingerprint)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_warc, op4_quality_rules, op5_byte_bpe, op6_vector_near_dedup, op7_minhash_near_dedup, op8_chat_format, op9_url_filter, op10_quality_classifier, op11_hard_negatives, op12_fingerprint, op13_prefix_trie)}
 
 
 #: SQL for the queries that SQL can express; the others are tested against brute force in tests/llm.
@@ -137,4 +141,18 @@ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WH
 n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
  FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
 SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
+    "op13_prefix_trie": r"""
+WITH r AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS p FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ascii((c::VARCHAR)[i])::BIGINT)),
+ lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 4 AS h FROM (SELECT DISTINCT c FROM r)),
+b AS (SELECT k.c, p, role, text FROM k JOIN r ON r.c = k.c - k.c % 20 AND p < h UNION ALL SELECT c, p, role, text FROM k JOIN r USING (c) WHERE p >= h),
+s AS (SELECT k.c, coalesce(list({'role': role, 'text': text} ORDER BY p) FILTER (p IS NOT NULL), []) AS s FROM k LEFT JOIN b USING (c) GROUP BY k.c),
+m AS (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM s),
+n AS (SELECT s[1:d] AS q, d, min(c) AS conv, count(*) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(s) = d), '') AS ends FROM m GROUP BY ALL),
+w AS (SELECT *, CASE WHEN d = 0 THEN 0 ELSE len(list_filter(regexp_split_to_array(q[d].text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) END AS words FROM n),
+k2 AS (SELECT q[1:d - 1] AS q, d - 1 AS d, count(*) AS kids FROM n WHERE d > 0 GROUP BY ALL),
+t AS (SELECT w.*, coalesce(kids, 0) AS kids FROM w LEFT JOIN k2 USING (q, d)),
+a AS (SELECT q[1:e] AS q, e AS d, count(*) FILTER (kids = 0) AS leaves, sum((n - 1) * words) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM t) GROUP BY ALL)
+SELECT t.conv AS conv_id, t.d AS depth, u.conv AS parent_conv_id, t.n AS n_convs, t.kids AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(t.ends) AS ends_sha256
+FROM t JOIN a USING (q, d) LEFT JOIN n u ON u.d = t.d - 1 AND u.q = t.q[1:t.d - 1]""",
 }
