@@ -21,7 +21,7 @@ VISUAL_EXTENSIONS = ["pdf", "png", "jpg", "jpeg", "webp", "bmp", "tif", "tiff",
 
 def strip(text: Column) -> Column:
     """Without white space at both ends, as Unicode defines it."""
-    return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
+    return F.regexp_replace(text, "(?U)^\\s+|(?<!\\s)\\s+$", "")
 
 
 def strip_ruby(text: Column) -> Column:
@@ -54,20 +54,16 @@ def unescape(text: Column, source: Column | None = None) -> Column:
     return F.coalesce(other, common_unescaped(text))
 
 
-def plain_text(xhtml: Column, as_sql: bool = False) -> Column:
-    """XHTML as text with a line per block.
-
-    as_sql: as the query's SQL says it: the common entities alone are undone ("&amp" without its semicolon stays), tags' names end where
-    ASCII's word does, and white space is ASCII's without the vertical tab, at the ends also the no-break and the ideographic space."""
-    boundary, space = ("(?!\\w)", "[ \\t\\n\\f\\r]") if as_sql else ("\\b", "\\s")
-    x = F.regexp_replace(xhtml, f"(?isu)<(script|style){boundary}.*?</\\1>", " ")
-    x = F.regexp_replace(x, f"(?i)<br{space}*/?>", "\n")
+def plain_text(xhtml: Column) -> Column:
+    """XHTML as text with a line per block."""
+    x = F.regexp_replace(xhtml, "(?is)<([s\u017f]cript|[s\u017f]tyle)(?![\\p{L}\\p{N}_]).*?</\\1>", " ")
+    x = F.regexp_replace(x, "(?i)<br\\s*/?>", "\n")
     x = F.regexp_replace(x, "(?iu)</(p|div|h[1-6]|li|tr|blockquote|section|article)>", "\n")
-    x = F.regexp_replace(x, "(?s)<[^>]+>", "")
-    x = common_unescaped(x) if as_sql else unescape(x, xhtml)
+    rest = F.substring_index(x, ">", -1)  # no tag ends there, however many seem to begin
+    x = F.concat(F.regexp_replace(F.left(x, F.length(x) - F.length(rest)), "(?s)<[^>]+>", ""), rest)
+    x = unescape(x, xhtml)
     x = F.regexp_replace(x, "[ \\t\\u00a0]+", " ")
-    x = F.regexp_replace(x, "\\n{3,}", "\n\n")
-    return F.regexp_replace(x, "^[ \\t\\n\\f\\r\\u00a0\\u3000]+|[ \\t\\n\\f\\r\\u00a0\\u3000]+\\z", "") if as_sql else strip(x)
+    return strip(F.regexp_replace(x, "\\n{3,}", "\n\n"))
 
 
 def normalized(text: Column) -> Column:
@@ -112,9 +108,9 @@ def is_refusal(value: Column) -> Column:
     return F.exists(F.array(F.lower(F.coalesce(value, F.lit("")))), marked)
 
 
-def usable(value: Column, target: str, refused: Column | None = None) -> Column:
-    """Not blank, no refusal and, for Chinese, not kana alone. refused: whether it is one, if that is not for its marks to say."""
-    out = ~is_blank(value) & ~(is_refusal(value) if refused is None else refused)
+def usable(value: Column, target: str) -> Column:
+    """Not blank, no refusal and, for Chinese, not kana alone."""
+    out = ~is_blank(value) & ~is_refusal(value)
     if wants_chinese(target):
         out = out & ~(value.rlike(KANA) & ~value.rlike(CJK))
     return out

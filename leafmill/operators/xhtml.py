@@ -16,12 +16,52 @@ BLOCK = ["p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "tr",
 STRUCT = ["img", "br", "hr", "svg", "image", "table", "tr", "td", "th", "figure", "video", "audio", "object", "iframe"]
 #: Characters of running context.
 CONTEXT = 400
-TOKEN = "(?s)<!--.*?-->|<!\\[CDATA\\[.*?\\]\\]>|<\\?.*?\\?>|<[^>]*>|[^<]+(?:<(?![^>]*>)[^<]*)*|<(?![^>]*>)[^<]*"
+TOKEN = "(?s)<!--.*?-->|<!\\[CDATA\\[.*?\\]\\]>|<\\?.*?\\?>|<[^>]*>|[^<]+(?:<(?![^>]*>).*)?|<.*"
+#: What begins a token and what ends it; and how many beginnings without an end the pattern may meet, each of which costs it a look through the
+#: rest (but for an angle's, after which all is text).
+OPENED = [("<!--", "-->"), ("<![CDATA[", "]]>"), ("<?", "?>"), ("<", ">")]
+FEW = 16
+
+
+def split_tokens(html: str) -> list[str]:
+    """The pattern's tokens in one pass, however many beginnings have no end: once an end is missing, it is for all that follows."""
+    out, text_from, at, missing = [], 0, 0, set()
+    while (at := html.find("<", at)) >= 0:
+        stop = -1
+        for opening, ending in OPENED:
+            if ending not in missing and html.startswith(opening, at):
+                found = html.find(ending, at + len(opening))
+                if found >= 0:
+                    stop = found + len(ending)
+                    break
+                missing.add(ending)
+        if stop < 0:
+            if ">" in missing:
+                break
+            at += 1
+            continue
+        if at > text_from:
+            out.append(html[text_from:at])
+        out.append(html[at:stop])
+        text_from = at = stop
+    return [*out, html[text_from:]] if text_from < len(html) else out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _split_tokens(html: pd.Series) -> pd.Series:
+    return html.map(lambda t: None if t is None else split_tokens(t))
+
+
+def _tokens_of(html: Column) -> Column:
+    """A document's tokens. Documents with many beginnings that have no end go to Python; the others stay in the JVM."""
+    unclosed = sum(((F.length(rest) - F.length(F.replace(rest, F.lit(opening), F.lit("")))) / len(opening) for opening, ending in OPENED[:-1] for rest in [F.substring_index(html, ending, -1)]), F.lit(0))
+    many = unclosed > FEW
+    return F.coalesce(_split_tokens(F.when(many, html)), F.regexp_extract_all(F.when(~many, html), F.lit(TOKEN), F.lit(0)))
 
 
 def tokens(docs: DataFrame, id_col: str, html: Column) -> DataFrame:
     """(id_col, pos, tok, name, skip depth, group): one row a token. Windows run within a document."""
-    t = docs.select(id_col, F.posexplode(F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
+    t = docs.select(id_col, F.posexplode(_tokens_of(html)).alias("pos", "tok"))
     is_tag = F.col("tok").rlike("(?s)^<.*>$")
     t = t.withColumn("name", F.when(is_tag, F.lower(F.regexp_extract("tok", "^</?\\s*([A-Za-z0-9:_-]+)", 1))).otherwise(""))
     change = F.when(~F.col("name").isin(SKIP), 0).when(F.col("tok").startswith("</"), -1).when(F.col("tok").endswith("/>"), 0).otherwise(1)
@@ -47,7 +87,7 @@ def splice(toks: DataFrame, translated: DataFrame, id_col: str) -> DataFrame:
     kept, & < > escaped; where a translation has no letter its unit's first slot keeps its own text. Units without a row in translated
     stay as they are. translated: (id_col, grp, first_pos, out)."""
     t = toks.join(translated.select(id_col, "grp", "first_pos", "out"), [id_col, "grp"], "left")
-    lead, tail = F.regexp_extract("tok", "(?U)^\\s*", 0), F.regexp_extract("tok", "(?U)\\s*$", 0)
+    lead, tail = F.regexp_extract("tok", "(?U)^\\s*", 0), F.regexp_extract("tok", "(?U)(?<!\\s)\\s*$", 0)
     said = F.when(F.col("out").rlike("\\p{L}"), strip(F.col("out"))).otherwise(strip(F.col("tok")))
     body = F.when(F.col("pos") == F.col("first_pos"), content_escape(said)).otherwise("")
     part = F.when(F.col("is_slot") & F.col("first_pos").isNotNull(), F.concat(lead, body, tail)).otherwise(F.col("tok"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.echo import is_echo
@@ -87,8 +87,8 @@ def ask(backend: Backend, texts: list[str], budget: Budget, depth: int = 4) -> l
 def translate(segments: DataFrame, known: DataFrame, target: str, backend: Backend | Chat | None = None, limits: Limits | None = None) -> DataFrame:
     """segments (seg_id, text, and doc where they belong to several) with out, state (blank, hit, rejected_cache, miss), ok and why.
 
-    known: the cache (k, t). Segments of equal text are asked for once. The offline model is an expression and stays in the JVM; it repeats
-    its source, so a refusal's mark in its answer is the source's and refuses nothing. With a backend the requests are sent when this is called."""
+    known: the cache (k, t). Segments of equal text are asked for once. The offline model is an expression and stays in the JVM; its answers are
+    judged as any others. With a backend the requests are sent when this is called."""
     return translate_run(segments, known, target, backend, limits)[0]
 
 
@@ -108,7 +108,7 @@ def translate_run(segments: DataFrame, known: DataFrame, target: str, backend: B
     pieces = looked.select("doc", "seg_id", "key", "state", "cached", F.posexplode(F.coalesce(split, F.array("cached"))).alias("k", "text"))
     if backend is None:
         made = stub_translation(F.col("text"))
-        why = F.when(F.col("state") != "hit", align.reason(made, F.lit("stop"), is_echo(F.col("text"), made), target, F.lit(False)))
+        why = F.when(F.col("state") != "hit", align.reason(made, F.lit("stop"), is_echo(F.col("text"), made), target))
         answered = pieces.withColumn("why", why).withColumn("out", F.when(F.col("state") == "hit", F.col("cached")).when(F.col("why").isNull(), made))
     else:
         asked, run = ask_all(chunking.batched(pieces.where("state != 'hit'").select("doc", F.col("seg_id").alias("order"), F.col("key").alias("seg_id"), "k", "text"), ["doc", "order"]), target, backend, limits)
@@ -123,9 +123,9 @@ def translate_run(segments: DataFrame, known: DataFrame, target: str, backend: B
     return filled.join(whole, "_key").select(*kept, "out", "state", "ok", "why").unionByName(blank), run
 
 
-def new_cache_lines(translated: DataFrame, target: str, refused: Column | None = None) -> DataFrame:
-    """Lines (k, t, v) for what was asked and answered in full, refusals left out; refused: which are, if that is not for their marks to say."""
-    asked = translated.where(F.col("ok") & F.col("state").isin("miss", "rejected_cache") & usable(F.col("out"), target, refused))
+def new_cache_lines(translated: DataFrame, target: str) -> DataFrame:
+    """Lines (k, t, v) for what was asked and answered in full; refusals and copies of the source are left out."""
+    asked = translated.where(F.col("ok") & F.col("state").isin("miss", "rejected_cache") & usable(F.col("out"), target) & ~is_echo(F.col("text"), F.col("out")))
     return asked.select(text_key(F.lit(target), F.col("text")).alias("k"), F.col("out").alias("t"), F.lit(1).alias("v")).distinct()
 
 

@@ -10,15 +10,19 @@ from ..operators import chunking, guards, xhtml
 from ..plans import translate
 from ..sources import files, sinks
 from . import query
+from .caches import _MARKS
 from .guards import _LOG, _log
 from .texts import CUTS_SQL
 
 _DONE = "CASE WHEN n = 1 THEN o ELSE regexp_replace(o, '^\\n+|\\n+$', '', 'g') END"
+#: The offline model's answers, of which those with a refusal's mark leave the source; its texts have no kana, so none is a copy of its source.
+_WHOLE = f"""w AS (SELECT doc_id, string_agg({_DONE}, chr(10) ORDER BY k) AS out, bool_and(ok) AS ok FROM (
+ SELECT doc_id, k, NOT refused AS ok, CASE WHEN refused THEN text ELSE '【译】' || text END AS o, count(*) OVER (PARTITION BY doc_id) AS n FROM (SELECT *, regexp_matches(lower(text), '{_MARKS}') AS refused FROM pieces)) GROUP BY doc_id)"""
 
 
 @query(CUTS_SQL + f""", known AS (SELECT DISTINCT text, '译' || length(text) AS t FROM documents WHERE doc_id % 4 = 0),
-w AS (SELECT doc_id, string_agg({_DONE}, chr(10) ORDER BY k) AS out FROM (SELECT doc_id, k, '【译】' || text AS o, count(*) OVER (PARTITION BY doc_id) AS n FROM pieces) GROUP BY doc_id)
-SELECT d.doc_id AS seg_id, coalesce(known.t, w.out) AS out, CASE WHEN known.t IS NULL THEN 'miss' ELSE 'hit' END AS state, true AS ok FROM documents d JOIN w USING (doc_id) LEFT JOIN known ON known.text = d.text""")
+{_WHOLE}
+SELECT d.doc_id AS seg_id, coalesce(known.t, w.out) AS out, CASE WHEN known.t IS NULL THEN 'miss' ELSE 'hit' END AS state, known.t IS NOT NULL OR w.ok AS ok FROM documents d JOIN w USING (doc_id) LEFT JOIN known ON known.text = d.text""")
 def l1_translate_texts(read):
     docs = read("documents").select(F.col("doc_id").alias("seg_id"), "text")
     known = docs.where("seg_id % 4 = 0").select(fx.text_key(F.lit("zh"), F.col("text")).alias("k"), F.concat(F.lit("译"), F.length("text")).alias("t")).distinct()
@@ -40,12 +44,12 @@ def g8_shared_requests(read):
     return made.select("doc", (place - 1).cast("long").alias("batch"), "items", "chars")
 
 
-@query("SELECT DISTINCT md5('t5|zh|' || text) AS k, 1 AS v FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id % 4 = 0 AND e.text = d.text)")
+@query(CUTS_SQL + f", {_WHOLE} SELECT DISTINCT md5('t5|zh|' || d.text) AS k, 1 AS v FROM documents d JOIN w USING (doc_id) WHERE w.ok AND NOT regexp_matches(lower(w.out), '{_MARKS}') AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id % 4 = 0 AND e.text = d.text)")
 def c9_new_cache_lines(read):
-    """A line for every text that the offline model was asked for: it can't refuse, whatever words it repeats."""
+    """A line for every text that the offline model was asked for and whose answers hold no refusal's mark."""
     docs = read("documents").select(F.col("doc_id").alias("seg_id"), "text")
     known = docs.where("seg_id % 4 = 0").select(fx.text_key(F.lit("zh"), F.col("text")).alias("k"), F.lit("译文").alias("t")).distinct()
-    return translate.new_cache_lines(translate.translate(docs, known, "zh"), "zh", F.lit(False)).select("k", "v")
+    return translate.new_cache_lines(translate.translate(docs, known, "zh"), "zh").select("k", "v")
 
 
 @query(f"""WITH {_LOG}, i AS (SELECT *, sum((tokens < 700)::INT) OVER (PARTITION BY job ORDER BY seq) AS isl FROM log), s AS (SELECT *, sum((tokens >= 700)::INT) OVER (PARTITION BY job, isl ORDER BY seq) AS run FROM i)

@@ -1,5 +1,7 @@
 """The text channel with pluggable models."""
 
+import hashlib
+
 import duckdb
 import pandas as pd
 import pytest
@@ -86,7 +88,7 @@ def test_contexts(spark):
     assert got == ["", "a", "a b", "", "e" * 400]
 
 
-def test_the_offline_model_does_not_refuse(spark, tmp_path):
+def test_answers_of_the_offline_model_are_judged(spark, tmp_path):
     texts = ["ils ont, pas an aielle reoi", "plain", "I cannot. " * 300, "known, pas an aielle", "pas an aielle, reoi", "plain", "known, pas an aielle"]
     pd.DataFrame({"doc_id": [1, 2, 3, 4, 5, 6, 7], "text": texts}).to_parquet(tmp_path / "documents.parquet")
     con = duckdb.connect()
@@ -94,6 +96,16 @@ def test_the_offline_model_does_not_refuse(spark, tmp_path):
     for name in ("c9_new_cache_lines", "l1_translate_texts"):
         got, want = library.queries()[name](spark, str(tmp_path)), con.sql(library.oracle_sql()[name])
         assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+    refused = "pas an aielle, reoi"
+    assert dict(library.queries()["l1_translate_texts"](spark, str(tmp_path)).select("seg_id", "ok").collect()) == {1: False, 2: True, 3: False, 4: True, 5: False, 6: True, 7: True}
+    keys = {r["k"] for r in library.queries()["c9_new_cache_lines"](spark, str(tmp_path)).collect()}
+    assert keys == {hashlib.md5(b"t5|zh|plain").hexdigest()} and hashlib.md5(f"t5|zh|{refused}".encode()).hexdigest() not in keys
+
+
+def test_copies_of_the_source_are_not_cached(spark):
+    text = "これはとても長い文章です。"
+    segs = spark.createDataFrame([(1, text, text, "miss", True), (2, text, "这是很长的文章", "miss", True)], "seg_id long, text string, out string, state string, ok boolean")
+    assert [r["t"] for r in translate.new_cache_lines(segs, "简体中文").collect()] == ["这是很长的文章"]
 
 
 def test_refusals_of_a_backend_are_not_cached(spark):
