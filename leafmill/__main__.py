@@ -62,7 +62,7 @@ def main(argv: list[str] | None = None) -> int:
     found = files.scan(spark, args.input)
     raw = found.where("kind = 'txt'").select("path", files.decoded(F.col("content")).alias("text"))
     texts = chunking.block_pages(raw, "path", blocks(F.col("text")))
-    packages = found.where("kind = 'epub'").select("path", "content")
+    packages = found.where("kind = 'epub'").select("path", "content")  # by what they are, whatever their names
     if args.dry_run:
         for name, value in dry_run(texts, files.epub_entries(packages)).items():
             print(f"{name}: {value}")

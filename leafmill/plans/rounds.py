@@ -27,6 +27,8 @@ from ..sources import tables
 Backend = Callable[[list[str]], list[str | None] | tuple[list[str | None], int]]
 #: Halvings of a batch, tokens that a request may answer with.
 DEPTH, ANSWER_TOKENS = 4, 8192
+#: Outcomes of requests that brought an answer to judge.
+JUDGED = ("ok", "length")
 
 
 class ServiceError(Exception):
@@ -75,6 +77,7 @@ class Run:
     failed: int = 0
     filled: int = 0
     json_mode: bool = True
+    second: bool = True  # whether a single text has a second attempt, with thinking
     why: str | None = None
     detail: str = ""
     pace: int = 1
@@ -103,8 +106,8 @@ class Run:
             self.json_mode = False
         elif filled:
             self.stalled = self.failed = 0
-        elif kind != "length" and mode != "single":  # a cut answer is a matter of size; a single text's second attempt is to come
-            self.stalled += 1
+        elif not (mode == "batch" and kind == "length") and not (mode == "single" and self.second and kind in JUDGED):
+            self.stalled += 1  # a cut batch is a matter of size; a single text's second attempt is to come
 
     def paced(self, bad: bool) -> None:
         self.pace = 1 if bad else min(self.pace * 2, 1 << 30)
@@ -192,9 +195,10 @@ def _judged(came: DataFrame, target: str) -> DataFrame:
     return flat.withColumn("why", why).withColumn("out", F.when(F.col("why").isNull(), F.col("answer")))
 
 
-def _follow_ups(judged: DataFrame) -> DataFrame:
+def _follow_ups(judged: DataFrame, second: bool) -> DataFrame:
     """What is asked next (pos, path, depth, mode, items): C4 the batch again, C5 halves of what is missing (all of it where the answer was
-    cut), then single texts, C6 a single text once more with thinking. Transport failures aren't followed up."""
+    cut), then single texts, C6 a single text whose answer was rejected once more with thinking (second), if it was not on already. Transport failures,
+    and errors on single texts, aren't followed up."""
     left = judged.where("out is null and kind not in ('transport', 'auth')")
     rows = left.groupBy("pos", "path", "depth", "mode", "kind").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "seg_id", "k", "text"))), lambda x: F.struct(x["seg_id"].alias("seg_id"), x["k"].alias("k"), x["text"].alias("text"))).alias("items"))
     n, half = F.size("items"), F.floor(F.size("items") / 2).cast("int")
@@ -202,7 +206,7 @@ def _follow_ups(judged: DataFrame) -> DataFrame:
     halves = F.array(request(".0", F.col("depth") + 1, "batch", F.slice("items", F.lit(1), half)), request(".1", F.col("depth") + 1, "batch", F.slice("items", half + 1, n)))
     singles = F.transform("items", lambda x, i: F.struct(F.concat("path", F.lit("."), F.lpad(i.cast("string"), 2, "0")).alias("path"), F.col("depth").alias("depth"), F.lit("single").alias("mode"), F.array(x).alias("items")))
     again = F.when(F.col("kind") == "json_mode", F.array(request(".r", F.col("depth"), "batch", F.col("items"))))
-    again = again.when(F.col("mode") == "single", F.array(request(".t", F.col("depth"), "thinking", F.col("items"))))
+    again = again.when((F.col("mode") == "single") & F.col("kind").isin(*JUDGED) & F.lit(second), F.array(request(".t", F.col("depth"), "thinking", F.col("items"))))
     again = again.when((F.col("mode") == "batch") & (n > 1) & (F.col("depth") < DEPTH), halves).when(F.col("mode") == "batch", singles)
     return rows.select("pos", F.explode(again).alias("x")).select("pos", "x.*")
 
@@ -212,8 +216,8 @@ def ask_all(batches: DataFrame, target: str, backend, limits: Limits | None = No
 
     out is null where no answer was accepted; why then tells the last reason ("未译" where nothing was asked any more)."""
     spark = batches.sparkSession
-    run = Run(limits or Limits())
-    plan = tables.written(batches, "batches")
+    run = Run(limits or Limits(), second=not (isinstance(backend, Chat) and backend.thinking == "enabled"))
+    plan = dealt = tables.written(batches, "batches")
     sizes = {r["part"]: r["n"] for r in plan.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row for each partition
     before, total = {}, 0
     for part in sorted(sizes):
@@ -223,6 +227,7 @@ def ask_all(batches: DataFrame, target: str, backend, limits: Limits | None = No
     plan_path = tables.new_path(spark, "plan")
     numbered.write.parquet(plan_path)
     plan = spark.read.parquet(plan_path)
+    tables.release(dealt)
     fresh = plan.select("pos", F.lit("").alias("path"), F.lit(0).alias("depth"), F.lit("batch").alias("mode"), "items")
     log = tables.new_path(spark, "answers")
     wide = (limits.together if limits and limits.together else None) or 32 * spark.sparkContext.defaultParallelism
@@ -245,9 +250,12 @@ def ask_all(batches: DataFrame, target: str, backend, limits: Limits | None = No
             run.note(r["kind"], r["mode"], r["tokens"], r["filled"], r["detail"])
         run.paced(run.filled == before_ or run.failed > failed)
         rest = waiting.join(taken.select("pos", "path"), ["pos", "path"], "left_anti") if queued and n < queued else None
-        more = _follow_ups(judged)
+        more = _follow_ups(judged, run.second)
+        before_ = waiting
         waiting = tables.written(more if rest is None else more.unionByName(rest.select(*more.columns)), "waiting")
+        tables.release(came, before_)
         queued = waiting.count()
+    tables.release(waiting)
     asked = spark.read.schema(f"seg_id {_seg_kind(batches)}, k int, pos long, step int, out string, answer string, why string").parquet(log) if run.requests else None
     items = plan.select(F.explode("items").alias("x")).select("x.*")
     if asked is None:

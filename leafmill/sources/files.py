@@ -135,14 +135,19 @@ def entries(data: bytes) -> list[tuple[int, str, bytes]]:
 
 
 def epub_entries(files: DataFrame) -> DataFrame:
-    """(path, ord, name, data): a row per file of each package; what isn't a package gives an error."""
+    """(path, ord, name, size, data, error) of packages that are rows already (path, content), as books.read_epubs has them of files."""
+    from .books import SCHEMA, read_package
 
     def run(frames):
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                yield pd.DataFrame([(path, *e) for e in entries(content)], columns=["path", "ord", "name", "data"])
+        import pyarrow as pa
+
+        schema = pa.schema([("path", pa.string()), ("ord", pa.int32()), ("name", pa.string()), ("size", pa.int64()), ("data", pa.binary()), ("error", pa.string())])
+        for b in frames:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                for row in read_package(io.BytesIO(content.as_py() or b""), path):
+                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
-    return files.select("path", "content").mapInPandas(run, "path string, ord int, name string, data binary")
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
 def is_document(name):

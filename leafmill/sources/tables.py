@@ -6,10 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[str] = []
+_path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _own_dir: list[str] = []
 
 
@@ -43,7 +45,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written once and read back."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _path_of[out] = path
+    return out
+
+
+def release(*dfs: DataFrame | None) -> None:
+    """Remove what written() wrote, once all that reads it is written itself; None is passed over."""
+    for df in dfs:
+        if df is not None and (path := _path_of.pop(df, None)) is not None:
+            remove(df.sparkSession, path)
 
 
 def first_writable(spark: SparkSession, candidates: list[str]) -> tuple[str, bool]:

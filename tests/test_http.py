@@ -10,9 +10,8 @@ from leafmill.__main__ import main
 from leafmill.plans import translate
 from leafmill.plans.http import http_chat, request_body
 from leafmill.plans.rounds import Limits, ServiceError
-from leafmill.sources import files, sinks
+from leafmill.sources import books, sinks
 from pyspark import cloudpickle
-from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -93,11 +92,11 @@ def test_command_line(spark, tmp_path, capsys):
     assert (plan["segments"], plan["pieces"], plan["batches"]) == ("3", "3", "2")
     out = f"file://{tmp_path}/out"
     assert main([str(folder), "--out", out, "--translate", "中文"]) == 0
-    assert spark.read.parquet(f"{out}/texts/txt").first()["text"] == "【译】第一段。\n\n【译】Second **."
+    assert (tmp_path / "out/texts/txt/a.txt").read_text() == f"a\n====\nsource: {folder}\nlanguage: 中文\n\n【译】第一段。\n\n【译】Second **.\n"
     assert "skipped: 0" in capsys.readouterr().out
-    made = files.epub_entries(spark.read.parquet(f"{out}/texts/epub").select(F.col("book").alias("path"), "content")).where("name like '%chap%'").first()
+    made = books.read_epubs(spark, f"{out}/texts/epub").where("name like '%chap%'").first()
     assert "<p>【译】第一段。</p>" in bytes(made["data"]).decode()
-    copy = {r["name"]: bytes(r["data"]).decode() for r in files.epub_entries(spark.read.parquet(f"{out}/packages/epub")).collect()}
+    copy = {r["name"]: bytes(r["data"]).decode() for r in books.read_epubs(spark, f"{out}/packages/epub/b.epub").collect()}
     assert copy["x.xhtml"] == "<p>【译】one二<ruby></ruby></p>" and copy["c.opf"] == "<dc:language>zh-CN</dc:language>"
     (tmp_path / "empty.txt").write_text("\n\n")
     assert main([str(tmp_path / "empty.txt"), "--out", out]) == 1

@@ -3,12 +3,13 @@
 import json
 import re
 import sys
+import time
 
 import pytest
 from leafmill.operators import chunking
 from leafmill.plans import jobs, rounds, translate
 from leafmill.plans.rounds import Chat, Limits, ServiceError
-from leafmill.sources import files, sinks
+from leafmill.sources import books, files, sinks, tables
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
@@ -180,18 +181,19 @@ def test_job_writes_what_is_done_before_it_stops_and_goes_on_later(spark, tmp_pa
     upper = lambda t: [x.upper() for x in t]
     with pytest.raises(translate.Stopped, match="requests"):
         jobs.run_texts(segs, "en", out, counting(tmp_path, upper), Limits(max_requests=4), formats=("txt", "epub"), title="T & co")
-    got = {r["doc"]: r["text"] for r in spark.read.parquet(f"{out}/txt").collect()}
+    texts = lambda: {int(f.stem): f.read_text().split("\n\n", 1) for f in (tmp_path / "out/txt").iterdir() if f.suffix == ".txt"}
+    assert texts()[0][0] == "T & co 0\n========\nlanguage: en" and len(texts()) == 3
+    got = {d: body.removesuffix("\n") for d, (_, body) in texts().items()}
     assert got[0] == "\n\n".join(t.upper() for d, _, t in rows if d == 0)
     assert got[1] == "\n\n".join(t for d, _, t in rows if d == 1)  # unfinished: as it was
     assert spark.read.json(f"{out}/cache").count() == 4 and spark.read.json(f"{out}/failed").count() == 5
     summary = jobs.run_texts(segs, "en", out, counting(tmp_path, upper), formats=("txt",), api_key="secret")
     assert (summary["requests"], summary["cached"], summary["skipped"]) == (5, 4, 0) and len(calls(tmp_path)) == 9
-    assert {r["text"] for r in spark.read.parquet(f"{out}/txt").collect()} == {"\n\n".join(t.upper() for e, _, t in rows if e == d) for d in range(3)}
+    assert {body.removesuffix("\n") for _, body in texts().values()} == {"\n\n".join(t.upper() for e, _, t in rows if e == d) for d in range(3)}
     meta = spark.read.text(f"{out}/meta").first()[0]
     assert "secret" not in meta and '"requests":5.0' in meta
-    books = spark.read.parquet(f"{out}/epub").withColumnRenamed("book", "path").select(F.col("path").cast("string"), "content")
-    names = {(r["path"], r["name"]) for r in files.epub_entries(books).collect()}
-    assert ("0", "OEBPS/chap0001.xhtml") in names and ("2", "META-INF/container.xml") in names
+    names = {(r["path"].rsplit("/", 1)[1], r["name"]) for r in books.read_epubs(spark, f"{out}/epub").collect()}
+    assert ("0.epub", "OEBPS/chap0001.xhtml") in names and ("2.epub", "META-INF/container.xml") in names
 
 
 def test_epub_job(spark, tmp_path):
@@ -200,8 +202,8 @@ def test_epub_job(spark, tmp_path):
     book = sinks.package([(n, d.encode()) for n, d in entries])
     packages = spark.createDataFrame([("b.epub", bytearray(book))], "path string, content binary")
     jobs.run_epubs(packages, "en", f"file://{tmp_path}/out", lambda t: [f"<{x}>" for x in t])
-    made = spark.read.parquet(f"file://{tmp_path}/out/epub").first()["content"]
-    got = {n: d.decode() for _, n, d in files.entries(bytes(made))}
+    made = next((tmp_path / "out/epub").glob("*.epub")).read_bytes()
+    got = {n: d.decode() for _, n, d in files.entries(made)}
     assert list(got)[0] == "mimetype" and got["p.png"] == "\x00ANIM" and "<dc:language>en</dc:language>" in got["c.opf"]
     assert got["a.xhtml"] == '<p>&lt;say "hi" it\'s&gt; <b></b></p><script>x</script><p>& 1 < 2</p>'
 
@@ -258,3 +260,39 @@ def test_rounds_send_each_request_once_while_many_run_together(spark, tmp_path):
     out, run = translate.translate_run(segments(spark, 60, "{} " + "x" * 1100), known(spark), "en", counting(tmp_path, lambda t: [x.upper() for x in t]), Limits(together=16))
     sent = [x for c in calls(tmp_path) for x in c]
     assert len(sent) == len(set(sent)) == 60 == run.requests and out.where("ok").count() == 60 and rounds.DEPTH == 4
+
+
+def test_the_first_line_of_a_key_counts(spark, tmp_path):
+    def lines(name, *rows):
+        (tmp_path / name).write_text("".join(json.dumps({"k": k, "t": t, "v": v}) + "\n" for k, t, v in rows))
+
+    lines("part-b.json", ("k", "good answer", 1), ("k", "As an AI I cannot", 1), ("m", "i cannot", 1), ("m", "zz later", 1), ("o", "old version", 0), ("o", "new", 1))
+    got = {r["k"]: r["t"] for r in jobs.saved_cache(spark, f"file://{tmp_path}", "en").collect()}
+    assert got == {"k": "good answer", "o": "new"}  # m's first line is not usable and hides its second
+    time.sleep(0.05)
+    lines("part-a.json", ("k", "a later answer", 1), ("n", "of the later file", 1))
+    got = {r["k"]: r["t"] for r in jobs.saved_cache(spark, f"file://{tmp_path}", "en").collect()}
+    assert got == {"k": "good answer", "o": "new", "n": "of the later file"}
+
+
+@pytest.mark.parametrize("thinking, fails, sent", [("enabled", False, 2), ("disabled", False, 3), ("disabled", True, 2)])
+def test_single_texts_are_asked_again_only_as_judged(thinking, fails, sent, spark, tmp_path):
+    path = f"{tmp_path}/{CALLS}"
+
+    def call(prompt, fields):
+        with open(path, "a") as f:
+            f.write(json.dumps(fields["thinking"]) + "\n")
+        if fails:
+            raise ServiceError(0, "no such model")
+        return "As an AI I cannot", 5, "stop"
+
+    out, run = translate.translate_run(segments(spark, 1), known(spark), "en", Chat(call, thinking), Limits(pause=0.0))
+    assert run.requests == sent == len(calls(tmp_path)) and not out.first()["ok"]
+    assert calls(tmp_path)[-1] == ("enabled" if sent == 3 else thinking)
+    assert run.stalled == (2 if not fails else 2)
+
+
+def test_rounds_leave_few_tables(spark, tmp_path):
+    before = len(tables._made)
+    translate.translate_run(segments(spark, 60, "{} " + "x" * 1100), known(spark), "en", counting(tmp_path, lambda t: [x.upper() for x in t]), Limits(together=8))
+    assert len(calls(tmp_path)) == 60 and len(tables._made) - before <= 4
