@@ -19,8 +19,9 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def is_echo(source: Column, value: Column) -> Column:
     """The tests that columns can do come first; the sequence matcher only sees what they leave open (others pass as null)."""
-    a, b = normalized(F.coalesce(source, F.lit(""))), normalized(F.coalesce(value, F.lit("")))
-    able = F.coalesce(source, F.lit("")).rlike(KANA) & (F.length(a) >= 8) & (F.regexp_count(a, F.lit(KANA)) >= 3)
+    spoken = F.coalesce(source, F.lit("")).rlike(KANA)  # others are no echo, and none of what follows looks at them
+    a, b = (normalized(F.coalesce(F.when(spoken, x), F.lit(""))) for x in (source, value))
+    able = spoken & (F.length(a) >= 8) & (F.regexp_count(a, F.lit(KANA)) >= 3)
     near = F.abs(F.length(a) - F.length(b)) <= F.greatest(F.lit(2), (F.length(a) * 0.25).cast("int"))
     open_ = able & (a != b) & (F.regexp_count(b, F.lit(KANA)) > 0) & near
     ratio = _ratio(F.when(open_, b), F.when(open_, a))  # in this order: from 200 characters on the matcher leaves out what is frequent in its second text

@@ -19,9 +19,13 @@ ECHO_STRIP = "[\\s\\u3000、。，,．.！!？?…「」『』（）()\\[\\]【
 VISUAL_EXTENSIONS = ["pdf", "png", "jpg", "jpeg", "webp", "bmp", "tif", "tiff", "gif", "jp2", "j2k", "pnm", "pgm", "ppm"]
 
 
+#: Fixed value: what Unicode counts as white space (with the four separators of ASCII).
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends, as Unicode defines it."""
-    return F.regexp_replace(text, "(?U)^\\s+|(?<!\\s)\\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def strip_ruby(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.answers import PLACEHOLDER
 from ..functions.markdown import markdown_parts_to_html, markdown_parts_to_plain
-from ..functions.text import is_blank, is_refusal
+from ..functions.text import is_blank, usable
 
 
 def to_pieces(pieces: DataFrame, answers: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def reassemble(pieces: DataFrame, *carried: str) -> DataFrame:
 
 def reason(out: Column, finish: Column, echo: Column, target: str) -> Column:
     """Why an answer is rejected, or null."""
-    return F.when(finish == "length", "输出被截断").when(is_blank(out), "返回缺失或为空").when(is_refusal(out), "疑似模型拒答").when(echo, "照抄原文未翻译")
+    return F.when(finish == "length", "输出被截断").when(is_blank(out), "返回缺失或为空").when(~usable(out, target), "疑似模型拒答").when(echo, "照抄原文未翻译")
 
 
 def _parts(pages: DataFrame, figures: DataFrame, key: str) -> DataFrame:

@@ -124,8 +124,9 @@ def translate_run(segments: DataFrame, known: DataFrame, target: str, backend: B
 
 
 def new_cache_lines(translated: DataFrame, target: str) -> DataFrame:
-    """Lines (k, t, v) for what was asked and answered in full; refusals and copies of the source are left out."""
-    asked = translated.where(F.col("ok") & F.col("state").isin("miss", "rejected_cache") & usable(F.col("out"), target) & ~is_echo(F.col("text"), F.col("out")))
+    """Lines (k, t, v) for what was asked and answered in full; copies of the source are left out. Answers were judged piece by piece, and pieces
+    that are usable make a usable whole: no refusal's mark spans two lines."""
+    asked = translated.where(F.col("ok") & F.col("state").isin("miss", "rejected_cache") & ~is_echo(F.col("text"), F.col("out")))
     return asked.select(text_key(F.lit(target), F.col("text")).alias("k"), F.col("out").alias("t"), F.lit(1).alias("v")).distinct()
 
 
