@@ -86,7 +86,9 @@ def splice(toks: DataFrame, translated: DataFrame, id_col: str) -> DataFrame:
     """Documents with translations in their units' first slots; other slots of a unit empty, white space at slots' ends
     kept, & < > escaped; where a translation has no letter its unit's first slot keeps its own text. Units without a row in translated
     stay as they are. translated: (id_col, grp, first_pos, out)."""
-    t = toks.join(translated.select(id_col, "grp", "first_pos", "out"), [id_col, "grp"], "left")
+    # a document's tokens lie together already, and stay where they are: its translations come as one map
+    told = translated.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("grp", F.struct("first_pos", "out")))).alias("told"))
+    t = toks.join(told, id_col, "left").withColumn("said", F.try_element_at("told", F.col("grp"))).select("*", "said.first_pos", "said.out")
     lead, tail = F.regexp_extract("tok", "(?U)^\\s*", 0), F.regexp_extract("tok", "(?U)(?<!\\s)\\s*$", 0)
     said = F.when(F.col("out").rlike("\\p{L}"), strip(F.col("out"))).otherwise(strip(F.col("tok")))
     body = F.when(F.col("pos") == F.col("first_pos"), content_escape(said)).otherwise("")
