@@ -51,7 +51,7 @@ def dry_run(texts, epubs) -> dict:
     units = xhtml.units(xhtml.tokens(docs, "id", F.col("html")), "id").select(F.to_json("id").alias("doc"), F.col("unit").alias("seg_id"), "text")
     segments = texts.select(F.col("path").alias("doc"), F.col("page_no").alias("seg_id"), "text").unionByName(units)
     pieces = segments.select("doc", "seg_id", F.posexplode(chunking.split_long(F.col("text"))).alias("k", "text"))
-    batches = chunking.batched(pieces, ["doc", "seg_id"], whole_docs=True).select("part", "nth", F.explode("items").alias("x"))
+    batches = chunking.batched(pieces, ["doc", "seg_id"]).select("part", "nth", F.explode("items").alias("x"))
     numbered = batches.select(F.concat_ws(":", "part", "nth").alias("doc"), F.lit(0).alias("batch"), F.col("x.k").alias("k"), F.col("x.text").alias("text"))
     return estimate.plan(numbered, "doc").first().asDict() | {"segments": segments.count()}
 

@@ -16,6 +16,12 @@ def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(first.alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
+def first_k(rows: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
+    """The first k rows by order of each class: every task keeps k of a class at most before the shuffle (a rank's limit is pushed below it)."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return rows.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
+
+
 def load_cache(lines: DataFrame, target: str, version: int = 1) -> DataFrame:
     """(k, t): lines (n, k, t, v) of the right version, the first of each key, then only usable ones: an unusable first
     line hides later lines of its key (P11, A8, P8)."""
@@ -41,6 +47,13 @@ def audit(lines: DataFrame, target: str) -> DataFrame:
     return lines.agg(F.count("*").alias("total"), F.count_if(good).alias("good"), F.count_if(~good).alias("bad"), F.count_if(F.col("v").isNull()).alias("legacy"))
 
 
+def samples(lines: DataFrame, target: str, order: list[str], good: int = 3, bad: int = 6) -> DataFrame:
+    """The first trustworthy and the first other lines by order, with is_good."""
+    judged = lines.withColumn("is_good", F.coalesce(trustworthy(F.col("t"), target), F.lit(False)))
+    rank = F.row_number().over(Window.partitionBy("is_good").orderBy(*order))
+    return judged.withColumn("_rank", rank).where(F.col("_rank") <= max(good, bad)).where(F.col("_rank") <= F.when(F.col("is_good"), good).otherwise(bad)).drop("_rank")
+
+
 def clean(lines: DataFrame, target: str) -> DataFrame:
     """Lines worth keeping."""
     return lines.where(trustworthy(F.col("t"), target))

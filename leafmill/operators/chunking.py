@@ -1,6 +1,6 @@
 """Splitting long texts, packing pieces into batches, chapters.
 
-Both loops carry state along one document only, so they run row by row on arrays in a vectorised UDF, in parallel over documents.
+Splitting carries state along one text, so it runs row by row on arrays in a vectorised UDF; batches of a long document are found in parallel.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..sources.tables import written
+
 # Characters after which a text may be cut (white space too), and the limits.
 SENTENCE_END = "。！？!?；;…．.\n）)】」』”\"'’、，,：:"
 PIECE_CHARS, BATCH_CHARS, BATCH_ITEMS = 1200, 1800, 24
@@ -66,44 +68,117 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return split.select(id_col, F.posexplode(F.arrays_zip("parts", "batches")).alias("k", "p")).select(id_col, "k", F.col("p.batches").alias("batch"), F.col("p.parts").alias("text"))
 
 
-def batched(rows: DataFrame, by: list[str], chars: int = BATCH_CHARS, items: int = BATCH_ITEMS, whole_docs: bool = False) -> DataFrame:
-    """W2 over texts in their order, across segments: (part, nth, items), a whole batch a row, in order within each part.
+def next_starts(sizes, new_doc, chars: int, items: int):
+    """For a stretch of pieces in order: where the next batch begins if one begins at each, by binary search over the sums of sizes (numpy
+    arrays; new_doc: whether a piece is its document's first). A batch that could take more than the stretch has ends at its end."""
+    import numpy as np
+
+    n = len(sizes)
+    sums = np.concatenate([[0], np.cumsum(sizes)])
+    begins = np.append(np.nonzero(new_doc)[0], n)
+    at = np.arange(n)
+    fits = np.searchsorted(sums, sums[:-1] + chars, "right") - 1
+    return np.maximum(np.minimum(np.minimum(fits, at + items), begins[np.searchsorted(begins, at, "right")]), at + 1)
+
+
+def last_starts(nexts):
+    """The last batch's beginning, and the number of batches, if one begins at each place: pointer doubling."""
+    import numpy as np
+
+    n = len(nexts)
+    to = np.where(nexts < n, nexts, np.arange(n))
+    steps = (nexts < n).astype("i8")
+    while (steps[to] > 0).any():
+        steps, to = steps + steps[to], to[to]
+    return to, steps + 1
 
-    rows: (doc, seg_id, k, text, and what else by names); a batch holds texts of one doc. by: the order of docs and segments. Rows are dealt by ranges of that order,
-    and only a range's end cuts a batch that would go on; memory holds one batch. Small tables are one range. whole_docs: ranges end
-    with docs, so batches are exactly the loop's; a doc is then one pass of one task."""
 
-    def run(frames):
+def batched(rows: DataFrame, by: list[str], chars: int = BATCH_CHARS, items: int = BATCH_ITEMS) -> DataFrame:
+    """W2 over texts in their order, across segments: (part, nth, items), a whole batch a row, numbered in order (part is 0); exactly the loop's
+    batches, however many tasks a document fills.
+
+    rows: (doc, seg_id, k, text, perhaps context, and what else by names); a batch holds texts of one doc. by: the order of docs and segments, in which
+    no two rows with one k are equal. Sizes alone are dealt by ranges of that order; each range says, for the first places where a batch may
+    begin in it, what its last batch then holds. The driver follows those from range to range, some numbers a range, and then each range knows its
+    first batch. Texts meet by their batch's number."""
+    texts = rows if "context" in rows.columns else rows.withColumn("context", F.lit(None).cast("string"))
+    key = F.to_json(F.struct(F.col("doc").alias("d"))).alias("_doc")
+    sized = rows.select(*by, "k", key, F.length("text").cast("long").alias("_size"))
+    ordered = sized.repartitionByRange(*by, "k").sortWithinPartitions(*by, "k")
+    names = [*sized.columns, "_new", "_part", "_at", "_first", "_used", "_held", "_count"]
+
+    def ranges(batches):
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
-        part, nth = TaskContext.get().partitionId(), 0
-        held: list[dict] = []
-        doc, used, kind = None, 0, None
-
-        def out(batches):
-            return pa.RecordBatch.from_arrays([pa.array([part] * len(batches), pa.int32()), pa.array(range(nth - len(batches), nth), pa.int64()), pa.array(batches, kind)], ["part", "nth", "items"])
-
-        for frame in frames:
-            seg_kind = frame.schema.field("seg_id").type
-            kind = pa.list_(pa.struct([("seg_id", seg_kind), ("k", pa.int32()), ("text", pa.string())]))
-            done = []
-            for row in frame.to_pylist():
-                size = len(row["text"])
-                if held and (row["doc"] != doc or used + size > chars or len(held) >= items):
-                    done.append(held)
-                    held, used, nth = [], 0, nth + 1
-                doc, used = row["doc"], used + size
-                held.append({c: row[c] for c in ("seg_id", "k", "text")})
-            if done:
-                yield out(done)
-        if held:
-            nth += 1
-            yield out([held])
-
-    kind = rows.schema["seg_id"].dataType.simpleString()
-    ordered = rows.repartitionByRange(*(["doc"] if whole_docs else [*by, "k"])).sortWithinPartitions(*by, "k").select("doc", "seg_id", "k", "text")
-    return ordered.mapInArrow(run, f"part int, nth long, items array<struct<seg_id:{kind},k:int,text:string>>")
+        number, at, last, sizes, new, row, first_doc = TaskContext.get().partitionId(), 0, None, [], [], None, None
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            docs = b.column(b.num_columns - 2)
+            fresh = np.ones(n, bool)
+            fresh[1:] = pc.not_equal(docs.slice(1), docs.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            fresh[0] = last is None or docs[0].as_py() != last
+            first_doc = docs[0].as_py() if last is None else first_doc
+            last, row = docs[n - 1].as_py(), b.slice(n - 1, 1)
+            sizes.append(b.column(b.num_columns - 1).to_numpy())
+            new.append(fresh)
+            blank = [pa.nulls(n, pa.list_(pa.int64()))] * 4
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fresh), pa.array(np.full(n, number, "i4")), pa.array(np.arange(at, at + n)), *blank], names)
+            at += n
+        if row is None:
+            return
+        sizes, new = np.concatenate(sizes), np.concatenate(new)
+        n = len(sizes)
+        to, count = last_starts(next_starts(sizes, new, chars, items))
+        few = min(n, items + 1)
+        sums = np.concatenate([[0], np.cumsum(sizes)])
+        begins = np.nonzero(new)[0]
+        own = few if len(begins) < 2 else min(few, int(begins[1]))  # sizes of the range's first document
+        told = [sizes[:own], sums[n] - sums[to[:few]], n - to[:few], count[:few]]
+        end = [*row.columns[:-2], pa.array([first_doc]), pa.array([n]), pa.array([True]), pa.array([number], pa.int32()), pa.array([-1]), *[pa.array([t], pa.list_(pa.int64())) for t in told]]
+        yield pa.RecordBatch.from_arrays(end, names)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sized.schema)
+    found = written(ordered.mapInArrow(ranges, f"{kinds}, _new boolean, _part int, _at long, _first array<long>, _used array<long>, _held array<long>, _count array<long>"), "sizes")
+    last_doc = found.where("_at >= 0").groupBy("_part").agg(F.max_by("_doc", "_at").alias("last"))
+    ends = found.where("_at < 0").select("_part", "_doc", F.col("_size").alias("n"), "_first", "_used", "_held", "_count").join(last_doc, "_part").orderBy("_part").collect()  # a row a partition
+    begins, total, open_, doc = {}, 0, None, None
+    for r in ends:
+        at = 0
+        if open_ is not None and r["_doc"] == doc:  # the batch that the ranges before left open takes what it can
+            used, held = open_
+            while at < len(r["_first"]) and held < items and used + r["_first"][at] <= chars:
+                used, held, at = used + r["_first"][at], held + 1, at + 1
+            open_ = (used, held)
+        begins[r["_part"]] = (at, total)
+        if at < r["n"]:
+            open_, total = (r["_used"][at], r["_held"][at]), total + r["_count"][at]
+        doc = r["last"]
+
+    def numbered(t):
+        import numpy as np
+        import pyarrow as pa
+
+        t = t.sort_by("_at")
+        at, batch = begins[t["_part"][0].as_py()]
+        nexts = next_starts(t["_size"].to_numpy(), t["_new"].to_numpy(zero_copy_only=False), chars, items)
+        starts = np.zeros(len(nexts), "i8")
+        while at < len(nexts):
+            starts[at] = 1
+            at = nexts[at]
+        return pa.table([*[t[c] for c in keys], pa.array(batch - 1 + np.cumsum(starts))], [*keys, "nth"])
+
+    keys = [*by, "k"]
+    schema = ", ".join(f"`{c}` {found.schema[c].dataType.simpleString()}" for c in keys)
+    numbers = found.where("_at >= 0").groupBy("_part").applyInArrow(numbered, f"{schema}, nth long") if begins else found.select(*keys, F.lit(0).cast("long").alias("nth"))
+    item = lambda x: F.struct(x["seg_id"].alias("seg_id"), x["k"].cast("int").alias("k"), x["text"].alias("text"), x["context"].alias("context"))
+    kept = list(dict.fromkeys([*by, "k", "seg_id", "text", "context"]))
+    made = texts.select(*kept).join(numbers, keys).groupBy("nth").agg(F.sort_array(F.collect_list(F.struct(*kept))).alias("xs"))
+    return made.select(F.lit(0).alias("part"), "nth", F.transform("xs", item).alias("items"))
 
 
 def block_pages(docs: DataFrame, id_col: str, blocks: Column) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import content_escape, strip
+from ..sources.tables import written
 
 # Tags whose content is skipped, and tags that end a unit.
 SKIP = ["script", "style", "pre", "code", "svg", "math"]
@@ -96,25 +97,121 @@ def splice(toks: DataFrame, translated: DataFrame, id_col: str) -> DataFrame:
     return t.groupBy(id_col).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", part.alias("part")))), lambda x: x["part"]), "").alias("html"))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _running(parts: pd.Series) -> pd.Series:
-    """Contexts before each part of a document; a null part (an opening block tag) resets."""
+class Running:
+    """The text since the last reset, of which only the last CONTEXT characters count: parts joined by spaces, white space at their ends dropped (at their
+    beginnings too where nothing stands before). Two stretches of parts add up: the suffix of the later one, or where it is short the earlier one's
+    with it. raw: the end of what was added, as if something stood before it; n: its length if nothing does."""
+
+    def __init__(self):
+        self.raw, self.n = "", 0
+
+    def add(self, part: str) -> None:
+        part = part.rstrip()
+        if not part:
+            return
+        self.n = self.n + 1 + len(part) if self.n else len(part.lstrip())
+        self.raw = f"{self.raw} {part}"[-CONTEXT:]
+
+    def after(self, before: str) -> str:
+        return f"{before}{self.raw}"[-CONTEXT:] if before else self.raw[len(self.raw) - min(self.n, len(self.raw)) :]
+
+
+def last_step(before: str, part: str | None) -> str:
+    """The context after a part: what stood before it is cut already, loses white space at its ends, takes the part, and is cut again."""
+    return "" if part is None else f"{before} {part}".strip()[-CONTEXT:]
+
+
+def short(part: str | None) -> str | None:
+    """A part of which as much is left as contexts can tell; the mark in front of a cut one is cut off itself."""
+    kept = part and part.rstrip()
+    return part if part is None else (kept or " ") if len(kept or "") <= CONTEXT else f"|{kept[-CONTEXT:]}"
+
+
+def grown(before: str, part: str | None) -> str:
+    """A stretch's text, cut, with a part more."""
+    now = Running()
+    if part is not None:
+        now.add(part)
+    return now.after(before)
+
+
+@F.pandas_udf(T.StringType())
+def _lent_context(before: pd.Series, part: pd.Series, raw: pd.Series, n: pd.Series, last: pd.Series) -> pd.Series:
+    """Contexts of rows whose stretch begins in an earlier range, which left `before` and `part`."""
     out = []
-    for row in parts:
-        now, made = "", []
-        for part in row:
-            made.append(now)
-            now = "" if part is None else f"{now} {part}".strip()[-CONTEXT:]
-        out.append(made)
-    return pd.Series(out)
+    for b, p, r, k, own in zip(before, part, raw, n, last, strict=True):
+        now = Running()
+        if b is None or r is None:
+            out.append(None)
+        elif own is None:
+            out.append(last_step(b, p))
+        else:
+            now.raw, now.n = r, int(k)
+            out.append(last_step(now.after(grown(b, p)), own))
+    return pd.Series(out, dtype=object)
 
 
 def contexts(toks: DataFrame, id_col: str) -> DataFrame:
-    """(id_col, pos, context) for every slot. A document's tokens are folded in one row, in order."""
+    """(id_col, pos, context) for every slot: the last CONTEXT characters of the text since the last opening block tag.
+
+    A parallel scan: ranges of (id_col, pos) are read in order, each with what its own rows say; what each range leaves to the next, some CONTEXT
+    characters, is added up over the ranges on the driver and set before the rows that no reset parts from their range's beginning. So a
+    document is as many tasks' as its tokens fill."""
     opens = F.col("name").isin(BLOCK) & ~F.col("tok").startswith("</")
     is_text = (F.col("name") == "") & ~F.col("tok").rlike("(?s)^<.*>$")
-    kept = toks.where(opens | is_text).select(id_col, F.struct("pos", F.when(is_text, F.col("tok")).alias("part"), "is_slot").alias("x"))
-    rows = kept.groupBy(id_col).agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    rows = rows.select(id_col, "xs", _running(F.transform("xs", lambda x: x["part"])).alias("ctx"))
-    out = rows.select(id_col, F.explode(F.arrays_zip("xs", "ctx")).alias("z")).where("z.xs.is_slot")
-    return out.select(id_col, F.col("z.xs.pos").alias("pos"), F.col("z.ctx").alias("context"))
+    kept = toks.where(opens | is_text).select(id_col, "pos", F.to_json(F.struct(F.col(id_col).alias("i"))).alias("_doc"), F.when(is_text, F.col("tok")).alias("part"), "is_slot")
+    ordered = kept.repartitionByRange(id_col, "pos").sortWithinPartitions(id_col, "pos")
+    names = [id_col, "pos", "context", "head", "raw", "n", "part", "_part", "_doc", "is_slot"]
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        number, doc, head, now, last, kinds = TaskContext.get().partitionId(), None, True, Running(), None, None
+
+        def row(i, pos, is_slot):
+            said = last_step(now.after(""), last)
+            return (i, pos, said, head, *((now.raw, now.n, short(last)) if head or not is_slot else (None, None, None)), number, doc, is_slot)
+
+        def out(made):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names)
+
+        for b in batches:
+            kinds = [b.schema.field(0).type, b.schema.field(1).type, pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.bool_()]
+            made = []
+            for i, pos, key, part, is_slot in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if key != doc:
+                    head, now, last, doc = doc is None, Running(), None, key
+                if is_slot:
+                    made.append(row(i, pos, True))
+                if part is None:
+                    head, now, last = False, Running(), None
+                else:
+                    if last is not None:
+                        now.add(last)
+                    last = part
+            if made:
+                yield out(made)
+        if doc is not None:
+            yield out([row(i, pos, False)])  # what the range leaves to the next one
+
+    id_kind, pos_kind = (kept.schema[c].dataType.simpleString() for c in (id_col, "pos"))
+    found = written(ordered.mapInArrow(run, f"{id_col} {id_kind}, pos {pos_kind}, context string, head boolean, raw string, n long, part string, _part int, _doc string, is_slot boolean"), "contexts")
+    before, part, doc, lent = "", None, None, []
+    for r in found.where("not is_slot").orderBy("_part").select("_part", "_doc", "head", "raw", "n", "part").collect():  # a row a partition
+        if doc is not None and part is not None:
+            lent.append((r["_part"], doc, before, part))
+        now = Running()
+        now.raw, now.n = r["raw"], r["n"]
+        goes_on = r["head"] and r["_doc"] == doc
+        if not goes_on:
+            before, part = "", None
+        if r["part"] is not None:
+            before, part = now.after(grown(before, part)), r["part"]
+        doc = r["_doc"]
+    slots = found.where("is_slot")
+    if lent:
+        more = toks.sparkSession.createDataFrame(lent, "_part int, _doc string, _before string, _last string")  # a row a partition at most
+        slots = slots.join(F.broadcast(more), ["_part", "_doc"], "left")
+        slots = slots.withColumn("context", F.coalesce(_lent_context(F.when(F.col("head"), F.col("_before")), "_last", "raw", "n", "part"), "context"))
+    return slots.select(id_col, "pos", "context")

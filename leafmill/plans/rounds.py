@@ -152,7 +152,7 @@ def _requests(waiting: DataFrame, target: str, backend, run: Run) -> DataFrame:
     """waiting (pos, path, depth, mode, items) with what came back: each row is one request."""
     single = F.col("mode") != "batch"
     if isinstance(backend, Chat):
-        items = F.transform("items", lambda x: F.struct(F.concat_ws(":", x["seg_id"].cast("string"), x["k"].cast("string")).alias("id"), x["text"].alias("text"), F.lit(None).cast("string").alias("context")))
+        items = F.transform("items", lambda x: F.struct(F.concat_ws(":", x["seg_id"].cast("string"), x["k"].cast("string")).alias("id"), x["text"].alias("text"), x["context"].alias("context")))
         waiting = waiting.withColumn("prompt", F.when(single, prompts.single_prompt(F.col("items")[0]["text"], target)).otherwise(prompts.batch_prompt(items, target)))
     else:
         waiting = waiting.withColumn("prompt", F.lit(None).cast("string"))
@@ -187,7 +187,7 @@ def _judged(came: DataFrame, target: str) -> DataFrame:
         by_id = F.try_element_at(F.filter(F.col("found"), lambda t: t["id"] == key), F.lit(-1))["text"]
         by_place = F.get(F.col("found"), at)["text"]
         spoken = F.when(F.col("mode") == "batch", F.coalesce(by_id, by_place)).otherwise(answers.single_answer(F.col("content")))
-        return F.struct(item["seg_id"].alias("seg_id"), item["k"].alias("k"), item["text"].alias("text"), F.when(F.col("answers").isNotNull(), F.get("answers", at)).otherwise(spoken).alias("answer"))
+        return F.struct(item["seg_id"].alias("seg_id"), item["k"].alias("k"), item["text"].alias("text"), item["context"].alias("context"), F.when(F.col("answers").isNotNull(), F.get("answers", at)).otherwise(spoken).alias("answer"))
 
     flat = came.withColumn("found", F.when(F.size("items") > 0, F.coalesce(found, F.expr("cast(array() as array<struct<ordinal:int,id:string,text:string>>)"))))
     flat = flat.select("pos", "path", "depth", "mode", "kind", F.posexplode(F.transform("items", of)).alias("at", "x")).select("pos", "path", "depth", "mode", "kind", "at", "x.*")
@@ -200,7 +200,7 @@ def _follow_ups(judged: DataFrame, second: bool) -> DataFrame:
     cut), then single texts, C6 a single text whose answer was rejected once more with thinking (second), if it was not on already. Transport failures,
     and errors on single texts, aren't followed up."""
     left = judged.where("out is null and kind not in ('transport', 'auth')")
-    rows = left.groupBy("pos", "path", "depth", "mode", "kind").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "seg_id", "k", "text"))), lambda x: F.struct(x["seg_id"].alias("seg_id"), x["k"].alias("k"), x["text"].alias("text"))).alias("items"))
+    rows = left.groupBy("pos", "path", "depth", "mode", "kind").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "seg_id", "k", "text", "context"))), lambda x: F.struct(*[x[c].alias(c) for c in ("seg_id", "k", "text", "context")])).alias("items"))
     n, half = F.size("items"), F.floor(F.size("items") / 2).cast("int")
     request = lambda step, depth, mode, items: F.struct(F.concat("path", F.lit(step)).alias("path"), depth.alias("depth"), F.lit(mode).alias("mode"), items.alias("items"))
     halves = F.array(request(".0", F.col("depth") + 1, "batch", F.slice("items", F.lit(1), half)), request(".1", F.col("depth") + 1, "batch", F.slice("items", half + 1, n)))
@@ -257,7 +257,7 @@ def ask_all(batches: DataFrame, target: str, backend, limits: Limits | None = No
         queued = waiting.count()
     tables.release(waiting)
     asked = spark.read.schema(f"seg_id {_seg_kind(batches)}, k int, pos long, step int, out string, answer string, why string").parquet(log) if run.requests else None
-    items = plan.select(F.explode("items").alias("x")).select("x.*")
+    items = plan.select(F.explode("items").alias("x")).select("x.seg_id", "x.k", "x.text")
     if asked is None:
         return items.withColumns({"out": F.lit(None).cast("string"), "answer": F.lit(None).cast("string"), "why": F.lit("未译")}), run
     last = asked.groupBy("seg_id", "k").agg(F.max("out").alias("out"), F.max_by(F.struct("answer", "why"), "step").alias("x"))

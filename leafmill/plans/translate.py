@@ -85,7 +85,8 @@ def ask(backend: Backend, texts: list[str], budget: Budget, depth: int = 4) -> l
 
 
 def translate(segments: DataFrame, known: DataFrame, target: str, backend: Backend | Chat | None = None, limits: Limits | None = None) -> DataFrame:
-    """segments (seg_id, text, and doc where they belong to several) with out, state (blank, hit, rejected_cache, miss), ok and why.
+    """segments (seg_id, text, doc where they belong to several, context where requests are to carry what stands before) with out, state (blank,
+    hit, rejected_cache, miss), ok and why.
 
     known: the cache (k, t). Segments of equal text are asked for once. The offline model is an expression and stays in the JVM; its answers are
     judged as any others. With a backend the requests are sent when this is called."""
@@ -96,22 +97,24 @@ def translate_run(segments: DataFrame, known: DataFrame, target: str, backend: B
     """translate() and what it used. ok: all pieces were answered; why: the reason of the first piece that was not ("未译" if never asked)."""
     if "doc" not in segments.columns:
         segments = segments.withColumn("doc", F.lit(0))
+    if "context" not in segments.columns:
+        segments = segments.withColumn("context", F.lit(None).cast("string"))
     key = text_key(F.lit(target), F.col("text"))
     filled = segments.where(F.trim("text") != "").withColumn("_key", key)
     # texts meet by their digests; a text moves once as its digest's first segment, and once in the last join
-    firsts = filled.groupBy("_key").agg(F.min_by(F.struct("doc", "seg_id", "text"), F.struct("doc", "seg_id")).alias("x")).select(F.col("_key").alias("key"), "x.*")
+    firsts = filled.groupBy("_key").agg(F.min_by(F.struct("doc", "seg_id", "text", "context"), F.struct("doc", "seg_id")).alias("x")).select(F.col("_key").alias("key"), "x.*")
     looked = cache.lookup(firsts, known, F.col("key"), is_echo(F.col("text"), F.col("cached")) | ~usable(F.col("cached"), target))
     run = Run(limits or Limits())
     if backend is not None:
         looked = tables.written(looked, "looked")
     split = chunking.split_long(F.when(F.col("state") != "hit", F.col("text")))
-    pieces = looked.select("doc", "seg_id", "key", "state", "cached", F.posexplode(F.coalesce(split, F.array("cached"))).alias("k", "text"))
+    pieces = looked.select("doc", "seg_id", "key", "state", "cached", "context", F.posexplode(F.coalesce(split, F.array("cached"))).alias("k", "text"))
     if backend is None:
         made = stub_translation(F.col("text"))
         why = F.when(F.col("state") != "hit", align.reason(made, F.lit("stop"), is_echo(F.col("text"), made), target))
         answered = pieces.withColumn("why", why).withColumn("out", F.when(F.col("state") == "hit", F.col("cached")).when(F.col("why").isNull(), made))
     else:
-        asked, run = ask_all(chunking.batched(pieces.where("state != 'hit'").select("doc", F.col("seg_id").alias("order"), F.col("key").alias("seg_id"), "k", "text"), ["doc", "order"]), target, backend, limits)
+        asked, run = ask_all(chunking.batched(pieces.where("state != 'hit'").select("doc", F.col("seg_id").alias("order"), F.col("key").alias("seg_id"), "k", "text", "context"), ["doc", "order"]), target, backend, limits)
         asked = asked.select(F.col("seg_id").alias("key"), "k", F.col("out").alias("_out"), "why")
         answered = pieces.join(asked, ["key", "k"], "left").withColumn("out", F.when(F.col("state") == "hit", F.col("cached")).otherwise(F.col("_out")))
     whole = align.reassemble(answered.select(F.col("key").alias("seg_id"), "k", "text", "out", "state", "why"), "state", "why")
@@ -130,6 +133,7 @@ def new_cache_lines(translated: DataFrame, target: str) -> DataFrame:
     return asked.select(text_key(F.lit(target), F.col("text")).alias("k"), F.col("out").alias("t"), F.lit(1).alias("v")).distinct()
 
 
-def failures(translated: DataFrame, most: int = 300) -> DataFrame:
-    """K7's rows: (doc, seg_id, why, source) of segments that kept their source in part, the source cut as the report has it."""
-    return translated.where(~F.col("ok")).select("doc", "seg_id", "why", F.left("text", F.lit(most)).alias("source"))
+def failures(translated: DataFrame, chars: int = 300, most: int = 500) -> DataFrame:
+    """(doc, seg_id, why, source) of the first `most` segments, in order, that kept their source in part; the source is cut as the report has it."""
+    bad = translated.where(~F.col("ok")).select("doc", "seg_id", "why", F.left("text", F.lit(chars)).alias("source"))
+    return bad.orderBy("doc", "seg_id").limit(most)

@@ -58,6 +58,12 @@ def a6_cache_audit(read):
     return cache.audit(_lines(read), "zh")
 
 
+@query(_LINES + ", g AS (SELECT n, k, usable AND kana * 10 <= greatest(kana + cjk, 1) AS is_good FROM lines) SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY is_good ORDER BY n) <= CASE WHEN is_good THEN 3 ELSE 6 END")
+def a6_cache_samples(read):
+    """The first three lines to trust and the first six others, as the audit shows them."""
+    return cache.samples(_lines(read), "zh", ["n"]).select("n", "k", "is_good")
+
+
 @query(_LINES + " SELECT n, k, t FROM lines WHERE usable AND kana * 10 <= greatest(kana + cjk, 1)")
 def k11_cache_clean(read):
     return cache.clean(_lines(read), "zh").select("n", "k", "t")

@@ -8,7 +8,8 @@ from ..functions import render
 from ..functions import text as fx
 from ..operators import chunking, guards, xhtml
 from ..plans import translate
-from ..sources import files, sinks
+from ..operators.cache import first_k
+from ..sources import books, files, sinks, tables
 from . import query
 from .caches import _MARKS
 from .guards import _LOG, _log
@@ -29,7 +30,7 @@ def l1_translate_texts(read):
     return translate.translate(docs, known, "zh").select("seg_id", "out", "state", "ok")
 
 
-@query("""WITH RECURSIVE s AS (SELECT conv_id % 20 AS doc, length(text) AS size, row_number() OVER (PARTITION BY conv_id % 20 ORDER BY conv_id, turn) AS n FROM conversations),
+@query("""WITH RECURSIVE s AS (SELECT conv_id // 5 AS doc, length(text) AS size, row_number() OVER (PARTITION BY conv_id // 5 ORDER BY conv_id, turn) AS n FROM conversations),
 b(doc, n, batch, used, items) AS (SELECT doc, n, 0, size, 1 FROM s WHERE n = 1 UNION ALL
  SELECT s.doc, s.n, CASE WHEN used + size > 1800 OR items >= 24 THEN batch + 1 ELSE batch END, CASE WHEN used + size > 1800 OR items >= 24 THEN size ELSE used + size END, CASE WHEN used + size > 1800 OR items >= 24 THEN 1 ELSE items + 1 END FROM b JOIN s ON s.doc = b.doc AND s.n = b.n + 1)
 SELECT doc, batch::BIGINT AS batch, count(*)::BIGINT AS items, max(used)::BIGINT AS chars FROM b GROUP BY doc, batch""")
@@ -37,9 +38,9 @@ def g8_shared_requests(read):
     """Requests that carry texts of several segments of a document, each text whole."""
     from pyspark.sql.window import Window
 
-    c = read("conversations").select((F.col("conv_id") % 20).alias("doc"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seg_id"), F.lit(0).alias("k"), "text")
-    made = chunking.batched(c, ["doc", "seg_id"], whole_docs=True)
-    made = made.select(F.expr("(items[0].seg_id div 1000) % 20").alias("doc"), "nth", "part", F.size("items").cast("long").alias("items"), F.aggregate("items", F.lit(0), lambda n, x: n + F.length(x["text"])).cast("long").alias("chars"))
+    c = read("conversations").select(F.expr("conv_id div 5").alias("doc"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seg_id"), F.lit(0).alias("k"), "text")
+    made = chunking.batched(c, ["doc", "seg_id"])
+    made = made.select(F.expr("(items[0].seg_id div 1000) div 5").alias("doc"), "nth", "part", F.size("items").cast("long").alias("items"), F.aggregate("items", F.lit(0), lambda n, x: n + F.length(x["text"])).cast("long").alias("chars"))
     place = F.row_number().over(Window.partitionBy("doc").orderBy("part", "nth"))
     return made.select("doc", (place - 1).cast("long").alias("batch"), "items", "chars")
 
@@ -109,19 +110,46 @@ def f34_normal_href(read):
     return read("pages").select("page_id", files.joined_href(base, F.concat(start, "page_id", F.lit(".xhtml#n"))).alias("name"))
 
 
-@query("SELECT source, string_agg('[' || doc_id || '] ' || left(text, 300), chr(10) ORDER BY doc_id) AS report FROM documents GROUP BY source")
+@query("SELECT source, string_agg('[' || doc_id || '] ' || left(text, 300), chr(10) ORDER BY doc_id) AS report FROM (SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 500) GROUP BY source")
 def k7_failed_units(read):
-    """With the 300 characters of a source that the report keeps."""
-    rows = read("documents").select("source", "doc_id", F.concat(F.lit("["), "doc_id", F.lit("] "), F.left("text", F.lit(300))).alias("line"))
+    """With the 300 characters of a source, and the first 500 rows, that a report keeps."""
+    kept = first_k(read("documents").select("source", "doc_id", "text"), ["source"], ["doc_id"], 500)
+    rows = kept.select("source", "doc_id", F.concat(F.lit("["), "doc_id", F.lit("] "), F.left("text", F.lit(300))).alias("line"))
     return sinks.ordered_text(rows, "source", "doc_id", "line", "\n").withColumnRenamed("text", "report")
 
 
 @query("SELECT conv_id AS book, count(*)::BIGINT + 1 AS files FROM conversations GROUP BY conv_id")
 def k3_packages(read):
-    """A package per conversation, written and read back."""
+    """A package file per conversation, written and read back."""
     rows = read("conversations").select(F.col("conv_id").alias("book"), F.col("turn").cast("int").alias("ord"), F.format_string("c%04d.xhtml", "turn").alias("name"), F.encode(F.concat(F.lit("<p>"), "text", F.lit("</p>")), "UTF-8").alias("data"))
-    made = sinks.packages(rows).select(F.col("book").cast("string").alias("path"), "content")
-    return files.epub_entries(made).groupBy(F.col("path").cast("long").alias("book")).agg(F.count("*").alias("files"))
+    folder = tables.new_path(rows.sparkSession, "packages")
+    books.write_books(rows, folder)
+    made = books.read_epubs(rows.sparkSession, folder, payload=False)
+    return made.groupBy(F.regexp_extract("path", "(\\d+)\\.epub$", 1).cast("long").alias("book")).agg(F.count("*").alias("files"))
+
+
+@query("""WITH p AS (SELECT page_id // 8 AS book, page_id, length(html) AS chars FROM pages)
+SELECT book, 'OEBPS/p' || page_id || '.xhtml' AS name, row_number() OVER (PARTITION BY book ORDER BY CASE WHEN page_id % 3 <> 0 THEN -page_id ELSE 1073741824 END, page_id)::BIGINT AS place, chars::BIGINT AS chars FROM p""")
+def s6_epub_documents(read):
+    """Packages of eight pages each, written as files; of what they hold, documents alone are read, and put in the order of their spines."""
+    from pyspark.sql.window import Window
+
+    p = read("pages").select(F.expr("page_id div 8").alias("book"), "page_id", "html")
+    name = F.concat(F.lit("p"), "page_id", F.lit(".xhtml"))
+    item = F.concat(F.lit('<item id="i'), "page_id", F.lit('" href="'), name, F.lit('#top" media-type="application/xhtml+xml"/>'))
+    ref = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit('<itemref idref="i'), "page_id", F.lit('"/>')))
+    in_order = lambda x, falling: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", x.alias("x"))), not falling), lambda y: y["x"]), "")
+    opf = F.concat(F.lit("<package><manifest>"), in_order(item, False), F.lit("</manifest><spine>"), in_order(F.coalesce(ref, F.lit("")), True), F.lit("</spine></package>"))
+    listed = p.groupBy("book").agg(opf.alias("opf"))
+    fixed = listed.select("book", F.explode(F.array(F.struct(F.lit(0).alias("ord"), F.lit("META-INF/container.xml").alias("name"), F.encode(F.lit('<rootfile full-path="OEBPS/c.opf"/>'), "UTF-8").alias("data")), F.struct(F.lit(1).alias("ord"), F.lit("OEBPS/c.opf").alias("name"), F.encode("opf", "UTF-8").alias("data")))).alias("x")).select("book", "x.*")
+    pages = p.select("book", (F.col("page_id") % 8 + 2).cast("int").alias("ord"), F.concat(F.lit("OEBPS/"), name).alias("name"), F.encode("html", "UTF-8").alias("data"))
+    spark = p.sparkSession
+    folder = tables.new_path(spark, "packages")
+    books.write_books(fixed.unionByName(pages), folder)
+    docs = books.documents(books.read_epubs(spark, folder))
+    book = F.regexp_extract("book", "(\\d+)\\.epub$", 1).cast("long").alias("book")
+    place = F.row_number().over(Window.partitionBy("book").orderBy("place", "ord")).cast("long").alias("place")
+    return docs.select(book, "name", place, F.length(books.text_of(F.col("data"))).cast("long").alias("chars"))
 
 
 @query("SELECT doc_id, text || '汉' AS text FROM documents")

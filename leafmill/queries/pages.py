@@ -116,8 +116,8 @@ def p2_epub_documents(read):
     return read("pages").select("page_id", is_document(name).alias("is_document"))
 
 
-@query("""WITH d AS (SELECT page_id % 10 AS book, 'p' || page_id AS name FROM pages), i AS (SELECT page_id % 10 AS book, 'i' || page_id AS id, 'p' || page_id AS name FROM pages),
-r AS (SELECT page_id % 10 AS book, -page_id AS ord, 'i' || page_id AS idref FROM pages WHERE page_id % 3 <> 0),
+@query("""WITH d AS (SELECT page_id // 8 AS book, 'p' || page_id AS name FROM pages), i AS (SELECT page_id // 8 AS book, 'i' || page_id AS id, 'p' || page_id AS name FROM pages),
+r AS (SELECT page_id // 8 AS book, -page_id AS ord, 'i' || page_id AS idref FROM pages WHERE page_id % 3 <> 0),
 x AS (SELECT book, name, min(ord) AS place FROM r JOIN i ON r.book = i.book AND r.idref = i.id GROUP BY r.book, name, i.book)
 SELECT d.book, d.name, row_number() OVER (PARTITION BY d.book ORDER BY coalesce(place, 1073741824), d.name)::BIGINT AS ord FROM d LEFT JOIN x ON d.book = x.book AND d.name = x.name""".replace("SELECT book, name, min(ord)", "SELECT r.book AS book, name, min(ord)"))
 def j7_spine_order(read):
@@ -126,7 +126,7 @@ def j7_spine_order(read):
     from ..sources.files import spine_order
 
     p = read("pages")
-    book = (F.col("page_id") % 10).alias("book")
+    book = F.expr("page_id div 8").alias("book")
     docs = p.select(book, F.concat(F.lit("p"), "page_id").alias("name"))
     items = p.select(book, F.concat(F.lit("i"), "page_id").alias("id"), F.concat(F.lit("p"), "page_id").alias("name"))
     refs = p.where("page_id % 3 != 0").select(book, (-F.col("page_id")).alias("ord"), F.concat(F.lit("i"), "page_id").alias("idref"))

@@ -113,3 +113,9 @@ def test_refusals_of_a_backend_are_not_cached(spark):
     out = translate.translate(segs, spark.createDataFrame([], "k string, t string"), "en", lambda texts: ["As an AI, no" if t == "aa" else t.upper() for t in texts])
     assert [r["t"] for r in translate.new_cache_lines(out, "en").collect()] == ["BB"]
     assert {r["seg_id"]: r["why"] for r in out.collect()} == {1: "疑似模型拒答", 2: None}
+
+
+def test_failures_are_the_first_five_hundred(spark):
+    rows = spark.range(2000).selectExpr("id % 3 as doc", "id as seg_id", "repeat('x', 400) as text", "id % 2 = 0 as ok", "'w' as why").repartition(7)
+    got = [(r["doc"], r["seg_id"], len(r["source"])) for r in translate.failures(rows).collect()]
+    assert got == [(d, i, 300) for d, i in sorted((i % 3, i) for i in range(2000) if i % 2)][:500]
