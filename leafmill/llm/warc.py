@@ -7,8 +7,12 @@ partitions by size; predicates on record_type, target_uri, record_id and refers_
 headers first and seeks over payloads of unwanted records, and over all payloads if the option payload is "false". In plain
 archives that is a seek within the file; of gzip members only the first bytes are inflated and the rest is never read, or, where other
 writers left out the length, inflated piece by piece and thrown away. An archive is one task's, so `roll_mb` bounds tasks.
+A gzip file that another writer made of one member for all its records is one task's too and can't be passed over unread.
 Paths go through pyarrow.fs: file, hdfs, s3 and whatever else it knows.
 
+Header names count in any case, and their values as they are; only values that no line can hold are escaped by this writer, under a mark of its own. A
+record without a length, or one that is cut, ends its archive: the job fails, or, by option, the archive gives a row with an error.
+
 Defined results: a null payload is an empty one; a null target_uri leaves its header out and reads as null; a null record_id gets a
 fresh urn:uuid, as every record needs one, under a mark that makes it read as null; repeated rows are records each; of ties in
 payload and id all are responses; very long payloads and urls are taken whole; an empty table writes and reads as no records; further
@@ -30,7 +34,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from . import common
 
-SCHEMA = "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_length long, payload binary"
+SCHEMA = "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_length long, payload binary, error string"
 #: Columns and the headers that hold them.
 HEADERS = {
     "record_type": "WARC-Type",
@@ -44,6 +48,9 @@ VERSION = b"WARC/1.1"
 #: The profile of revisits by digest, the mark of records without an id.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NO_ID = "X-Record-ID-Absent"
+#: Our own mark: the names of a record's headers that are percent-encoded; others' are taken as they are.
+ESCAPED = "X-Escaped-Headers"
+KNOWN = {name.lower(): name for name in (*HEADERS.values(), NO_ID, ESCAPED, "Content-Length", "Content-Type", "WARC-Date", "WARC-Profile")}
 #: Fixed value: a gzip header with an extra field of 12 bytes, the subfield "sl" of two lengths (member, record).
 MEMBER = "<10sH2sHII"
 MEMBER_SIZE = struct.calcsize(MEMBER)
@@ -61,26 +68,58 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def needs_escape(text: str) -> bool:
+    """Whether a header line can't hold the text as it is: control characters, or white space at an end."""
+    return text != text.strip(" ") or any(ord(c) < 32 or ord(c) == 127 for c in text)
+
+
 def header_value(text: str) -> str:
-    """Header values keep to one line: percent signs and control characters are percent-encoded."""
-    return "".join(f"%{ord(c):02X}" if c == "%" or ord(c) < 32 or ord(c) == 127 else c for c in text)
+    """A text that needs it in one line: percent signs, spaces and control characters are percent-encoded, and the record names the header (ESCAPED)."""
+    return "".join(f"%{ord(c):02X}" if c == "%" or ord(c) <= 32 or ord(c) == 127 else c for c in text)
 
 
 def header_text(value: str) -> str:
-    if "%" not in value:
-        return value
     first, *rest = value.split("%")
     return first + "".join(chr(int(r[:2], 16)) + r[2:] for r in rest)
 
 
+def read_headers(stream) -> dict[str, str]:
+    """A record's headers. Names count in any case, known ones under the name they have here; lines that begin with white space go on from the one
+    before; what is no UTF-8 is Latin-1; lines without a colon are passed over."""
+    headers: dict[str, str] = {}
+    name = None
+    while (line := stream.readline()).strip():
+        try:
+            text = line.decode("utf-8")
+        except UnicodeDecodeError:
+            text = line.decode("latin-1")
+        if text[0] in " \t" and name is not None:
+            headers[name] += f" {text.strip()}"
+            continue
+        found, colon, value = text.partition(":")
+        if colon:
+            name = KNOWN.get(found.strip().lower(), found.strip())
+            headers[name] = value.strip(" \t\r\n")
+    for name in headers.pop(ESCAPED, "").split():
+        if name in headers:
+            headers[name] = header_text(headers[name])
+    return headers
+
+
 def record(values: dict, payload: bytes, date: str = "1970-01-01T00:00:00Z", content_type: str = "text/html") -> bytes:
     """A record's bytes."""
-    lines = [VERSION, f"WARC-Date: {date}".encode(), f"Content-Type: {content_type}".encode()]
+    lines, escaped = [VERSION, f"WARC-Date: {date}".encode(), f"Content-Type: {content_type}".encode()], []
     for column, name in HEADERS.items():
         if values.get(column) is not None:
-            lines.append(f"{name}: {header_value(str(values[column]))}".encode())
+            value = str(values[column])
+            if needs_escape(value):
+                escaped.append(name)
+                value = header_value(value)
+            lines.append(f"{name}: {value}".encode())
     if values.get("record_id") is None:
         lines += [f"{HEADERS['record_id']}: <urn:uuid:{uuid.uuid4()}>".encode(), f"{NO_ID}: 1".encode()]
+    if escaped:
+        lines.append(f"{ESCAPED}: {' '.join(escaped)}".encode())
     if values.get("record_type") == "revisit":
         lines.append(f"WARC-Profile: {PROFILE}".encode())
     lines.append(f"Content-Length: {len(payload)}".encode())
@@ -187,13 +226,13 @@ def read_records(stream, wanted=lambda headers: True, payloads: bool = True):
             continue
         if not line.startswith(b"WARC/"):
             raise ValueError(f"a record begins with {line[:40]!r}")
-        headers: dict[str, str] = {}
-        while (line := stream.readline()).strip():
-            name, _, value = line.decode("utf-8").partition(":")
-            headers[name.strip()] = header_text(value.strip(" \r\n"))
+        headers = read_headers(stream)
         if headers.pop(NO_ID, None):
             headers.pop(HEADERS["record_id"], None)
-        n = int(headers["Content-Length"])
+        n = headers.get("Content-Length", "")
+        if not (n.isascii() and n.isdigit()):
+            raise ValueError(f"a record without a length: {n[:40]!r}")
+        n = int(n)
         take = wanted(headers)
         if take and payloads:
             payload = stream.read(n)
@@ -221,7 +260,8 @@ class Written(WriterCommitMessage):
 
 
 class WarcSource(DataSource):
-    """Options: path; reading: payload ("true"), split_mb (128, files of a task), parallelism (1, tasks aimed at);
+    """Options: path; reading: payload ("true"), split_mb (128, files of a task), parallelism (1, tasks aimed at), bad ("fail": a broken archive
+    fails the job, "row": it is a row with an error after its good records);
     writing: compression ("none" or "gzip"), roll_mb (256, size of an archive), content_type ("text/html")."""
 
     @classmethod
@@ -244,6 +284,7 @@ class WarcReader(DataSourceReader):
         self.payloads = options.get("payload", "true").lower() != "false"
         self.split = int(float(options.get("split_mb", 128)) * (1 << 20))
         self.parallelism = max(int(options.get("parallelism", 1)), 1)
+        self.bad = options.get("bad", "fail").lower()
         self.allowed: dict[str, set[str]] = {}
 
     def pushFilters(self, filters):
@@ -278,8 +319,8 @@ class WarcReader(DataSourceReader):
         import pyarrow as pa
 
         system, _ = filesystem(self.path)
-        names = [*HEADERS, "payload"]
-        kinds = [pa.string()] * 5 + [pa.int64(), pa.binary()]
+        names = [*HEADERS, "payload", "error"]
+        kinds = [pa.string()] * 5 + [pa.int64(), pa.binary(), pa.string()]
         rows: list[tuple] = []
         size = 0
 
@@ -289,14 +330,19 @@ class WarcReader(DataSourceReader):
         for path in partition.paths:
             with system.open_input_file(path) as raw:
                 stream = Members(raw) if path.endswith(".gz") else io.BufferedReader(raw, 1 << 18)
-                for headers, payload in read_records(stream, self.wanted, self.payloads):
-                    length = headers.get(HEADERS["payload_length"])
-                    rows.append((*(headers.get(HEADERS[c]) for c in names[:5]), None if length is None else int(length), payload))
-                    size += len(payload or b"") + 200
-                    if size > 1 << 23:
-                        yield batch()
-                        rows.clear()
-                        size = 0
+                try:
+                    for headers, payload in read_records(stream, self.wanted, self.payloads):
+                        length = headers.get(HEADERS["payload_length"], "")
+                        rows.append((*(headers.get(HEADERS[c]) for c in names[:5]), int(length) if length.isascii() and length.isdigit() else None, payload, None))
+                        size += len(payload or b"") + 200
+                        if size > 1 << 23:
+                            yield batch()
+                            rows.clear()
+                            size = 0
+                except (ValueError, EOFError, zlib.error) as e:
+                    if self.bad != "row":
+                        raise
+                    rows.append((*[None] * 7, f"{path}: {e}"))
         if rows:
             yield batch()
 

@@ -76,3 +76,39 @@ def test_archives_roll_and_records_have_what_the_format_asks(spark, tmp_path, co
     for name in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "Content-Type"):
         assert text.count(f"\r\n{name}: ") == 200
     assert text.count("\r\nWARC-Profile: ") == sum(r["record_type"] == "revisit" for r in got) == 99
+
+
+def test_records_of_other_writers():
+    raw = b"".join([
+        b"WARC/1.0\r\nwarc-type: response\r\nWARC-RECORD-ID: <urn:x:1>\r\nWARC-Target-URI: http://a/b%20c?x=%E9&y=100%\r\ncontent-length: 3\r\n\r\nabc\r\n\r\n",
+        b"WARC/1.1\nWARC-Type: request\nWARC-Target-URI: http://a/%zz\xe9\nX-Long: one\n two\n\tthree\nno colon\nCONTENT-LENGTH:  2 \n\nde\n\n",
+        "WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: http://é/\r\nContent-Length: 0\r\n\r\n\r\n\r\n".encode(),
+    ])
+    got = list(warc.read_records(io.BytesIO(raw)))
+    assert [(h["WARC-Type"], h["WARC-Target-URI"], p) for h, p in got] == [("response", "http://a/b%20c?x=%E9&y=100%", b"abc"), ("request", "http://a/%zzé", b"de"), ("response", "http://é/", b"")]
+    assert got[0][0]["WARC-Record-ID"] == "<urn:x:1>" and got[1][0]["X-Long"] == "one two three"
+
+
+@pytest.mark.parametrize("uri", ["http://a/b%20c?x=%E9", "100%", "%zz", "a\nb", " lead", "trail ", "tab\tin", "é\x7f%41", "", "a b"])
+def test_headers_come_back_as_they_were(uri):
+    made = warc.record({"record_type": "response", "record_id": "<urn:x:1>", "target_uri": uri}, b"p")
+    (headers, payload), = warc.read_records(io.BytesIO(made))
+    assert headers["WARC-Target-URI"] == uri and payload == b"p"
+    if not warc.needs_escape(uri):
+        assert f"WARC-Target-URI: {uri}\r\n".encode() in made and warc.ESCAPED.encode() not in made
+
+
+def test_broken_archives(spark, tmp_path):
+    good = warc.record({"record_type": "response", "record_id": "<urn:x:1>", "target_uri": "u"}, b"abc")
+    (tmp_path / "a.warc").write_bytes(good + b"WARC/1.1\r\nWARC-Type: response\r\n\r\nxx")
+    (tmp_path / "b.warc").write_bytes(good + good[:-20])
+    (tmp_path / "c.warc.gz").write_bytes(warc.member(good) + warc.member(good)[:40])
+    (tmp_path / "d.warc").write_bytes(b"nothing\r\n")
+    (tmp_path / "e.warc.gz").write_bytes(gzip.compress(good + good))
+    warc.register(spark)
+    read = lambda bad: spark.read.format("warc").option("bad", bad).load(f"file://{tmp_path}")
+    rows = read("row").collect()
+    assert sum(r["error"] is None for r in rows) == 5 and all(bytes(r["payload"]) == b"abc" for r in rows if r["error"] is None)
+    assert sorted(r["error"].split(": ")[0].rsplit("/", 1)[1] for r in rows if r["error"]) == ["a.warc", "b.warc", "c.warc.gz", "d.warc"]
+    with pytest.raises(Exception, match="length|within|begins"):
+        read("fail").collect()
