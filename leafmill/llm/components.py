@@ -2,7 +2,8 @@
 
 Partition-local union-find first shrinks the links to forests; then rounds of large-star and small-star contraction
 (Kiveris et al., "Connected Components in MapReduce and Beyond") make every vertex point at the smallest vertex of its component.
-Each round is written to the shared folder. A hot vertex is only ever aggregated (min), or joined by its neighbours.
+Each round is written to the shared folder. A vertex of many links is aggregated (min, which combines before the shuffle), and its links meet what is
+known of it by join_one: they stay where they are, so a star of any size fills no task.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import join_one, materialize, release
 
 
 def forest(links: DataFrame) -> DataFrame:
@@ -48,14 +49,17 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         # large star: neighbours greater than u move to the smallest of u and its neighbours
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        large = large.distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        low = materialize(low, "low")
+        large = join_one(both, low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+        large = materialize(large.distinct(), "large")
+        release(low)
         # small star: smaller neighbours of u, and u itself, move to the smallest of them
-        low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        moved = large.join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = moved.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a != b").distinct()
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
+        moved = join_one(large, low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = moved.unionByName(low.select("a", F.col("m").alias("b"))).where("a != b").distinct()
         new = materialize(small, "links")
+        release(low, large)
         # done when every vertex has one link and no root has any
         tall = new.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
         deep = 0 if tall else new.join(new.select(F.col("a").alias("r")), F.col("b") == F.col("r"), "left_semi").limit(1).count()

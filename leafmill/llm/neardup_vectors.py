@@ -52,8 +52,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     # equal vectors of a label: one class with a key of its own, as ids may repeat; rep is its smallest id; -0.0 and 0.0 are equal
     plain = F.transform("v", lambda x: x + F.lit(0.0).cast(kind[6:-1]))
     keyed = rows.where("usable").select("id", F.struct(F.col("label").cast("string").alias("label"), F.size("v").alias("dim")).alias("grp"), plain.alias("v"))
+    keyed = keyed.withColumn("vd", F.struct(F.xxhash64("grp", "v").alias("x"), F.hash("grp", "v").alias("y")))  # 96 bits tell vectors apart
     with passing(vectors.sparkSession) as keep:
-        classes = keyed.groupBy("grp", "v").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
+        classes = keyed.groupBy("grp", "v").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("vd").alias("vd"))
         classes = materialize(classes.withColumn("key", F.monotonically_increasing_id()), "vectors")  # written, so that it stays
         found = _found(_blocks(classes, math.acos(cosine) + 1e-7, kind), cosine)  # widened, so that rounding can only add candidates
         groups = components(found.select(F.col("key").alias("a"), F.explode("to").alias("b")))
@@ -61,10 +62,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
         least = grouped.groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("n"))  # a component bears its smallest id
         named = join_one(grouped, materialize(least, "names"), "component").select("key", "least")
         per_class = classes.join(found.groupBy("key").agg(F.sum("n").alias("n")), "key", "left").join(named, "key", "left")
-        per_class = per_class.select("grp", "v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
+        per_class = per_class.select("vd", "weight", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
         per_class = materialize(per_class, "classes")
         keep(per_class)
-    linked = keyed.join(per_class, ["grp", "v"]).select("id", "n_links", "component_id")
+    linked = join_one(keyed.select("id", "vd"), per_class, "vd", "weight").select("id", "n_links", "component_id")  # copies of one vector stay where they are
     alone = rows.where("not usable").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.llm import urlfilter
+from leafmill.llm import common, components, neardup_vectors, urlfilter
 
 
 def _judged(url, rules):
@@ -94,3 +94,18 @@ def test_ranked_encoder_only_where_it_is_proved_equal(tmp_path):
     spec["model"] |= {"vocab": vocab | {"ab": start, "abc": start + 1}, "merges": [["a", "b"], ["ab", "c"]]}
     path.write_text(json.dumps(spec))
     assert packing.FileIds(str(path), public_tokenizers.PATTERN).ranked is not None
+
+
+def test_a_star_of_many_links_is_joined_where_it_lies(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    rows = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5200)] + [(2999, 5000), (9000, 8000)]
+    links = spark.createDataFrame(rows, "a long, b long").repartition(6)
+    got = {r["id"]: r["component"] for r in components.components(links).collect()}
+    assert got == {**{i: 0 for i in [*range(3000), *range(5000, 5201)]}, 8000: 8000, 9000: 8000}
+
+
+def test_copies_of_one_vector_are_joined_where_they_lie(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    rows = [(i, [1.0, 0.0] if i % 3 else [0.0, 1.0 + i], 1) for i in range(900)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert got == {i: (599, 1) if i % 3 else (299, 0) for i in range(900)}
