@@ -360,3 +360,54 @@ def test_rounds_leave_few_tables(spark, tmp_path):
     before = len(tables._made)
     translate.translate_run(segments(spark, 60, "{} " + "x" * 1100), known(spark), "en", counting(tmp_path, lambda t: [x.upper() for x in t]), Limits(together=8))
     assert len(calls(tmp_path)) == 60 and len(tables._made) - before <= 4
+
+
+@pytest.mark.parametrize("bad, sent", [(0, 1), (3, 7)])
+def test_page_job_stops_at_its_first_error(bad, sent, spark, tmp_path):
+    pages = spark.createDataFrame([(f"k{i:03d}", bytearray([i])) for i in range(100)], "key string, data binary").repartition(8)
+    path, out = f"{tmp_path}/{CALLS}", f"file://{tmp_path}/out"
+
+    def ask(data):
+        with open(path, "a") as f:
+            f.write(f"{data[0]}\n")
+        if data[0] == bad:
+            raise ValueError("unreadable")
+        return f"page {data[0]}", 10
+
+    with pytest.raises(translate.Stopped, match=f"k{bad:03d}"):
+        jobs.run_pages(pages, ask, out)
+    assert len(calls(tmp_path)) == sent and sorted(calls(tmp_path)) == list(range(sent))
+    with pytest.raises(translate.Stopped, match="requests"):
+        jobs.run_pages(pages, lambda data: ask(data + b"x") if data[0] != bad else "now", out, Limits(max_requests=20))
+    done = {r["key"]: r["answer"] for r in spark.read.json(f"{out}/checkpoint").collect()}
+    assert len(done) == sent - 1 + 20 and done[f"k{bad:03d}"] == "now"
+    assert jobs.run_pages(pages, lambda data: "later", out).count() == 100
+
+
+def test_page_job_tries_again_and_tells_refused_accounts(spark, tmp_path):
+    pages = spark.createDataFrame([("a", bytearray(b"a")), ("b", bytearray(b"b"))], "key string, data binary")
+    path = f"{tmp_path}/{CALLS}"
+
+    def busy(data):
+        with open(path, "a") as f:
+            f.write("1\n")
+        raise ServiceError(503, "busy")
+
+    with pytest.raises(translate.Stopped, match="503"):
+        jobs.run_pages(pages, busy, f"file://{tmp_path}/o1", Limits(attempts=3, pause=0.0))
+    assert len(calls(tmp_path)) == 3
+    assert jobs.run_pages(pages.where("false"), busy, f"file://{tmp_path}/o2").count() == 0
+
+
+def test_a_saved_cache_is_cleaned_in_place(spark, tmp_path):
+    lines = [("a", "good", 1), ("a", "second", 1), ("b", "i cannot", 1), ("b", "hidden", 1), ("c", "old", 0), ("d", "かなだけ", 1), ("e", "", 1), ("f", "fine", 1)]
+    for n in range(2):
+        (tmp_path / "cache").mkdir(exist_ok=True)
+        (tmp_path / f"cache/part-{n}.json").write_text("".join(json.dumps({"k": k, "t": t, "v": v}) + "\n" for k, t, v in lines[4 * n : 4 * n + 4]))
+        time.sleep(0.05)
+    out = f"file://{tmp_path}/cache"
+    before = {r["k"]: r["t"] for r in jobs.saved_cache(spark, out, "中文").collect()}
+    assert jobs.clean_cache(spark, out, "中文") == {"before": 8, "after": 2}
+    assert {r["k"]: r["t"] for r in jobs.saved_cache(spark, out, "中文").collect()} == {"a": "good", "f": "fine"} == before
+    assert spark.read.json(f"{out}.bak").count() == 8
+    assert jobs.clean_cache(spark, out, "中文") == {"before": 2, "after": 2}
