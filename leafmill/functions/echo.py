@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -12,9 +13,25 @@ from pyspark.sql import types as T
 from .text import KANA, normalized
 
 
-@F.pandas_udf(T.DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+#: Fixed value: the matcher's ratio from which on an answer is a copy.
+LEAST = 0.9
+
+
+def near(a: str, b: str) -> bool:
+    """Whether the sequence matcher's ratio of a and b is LEAST or more, with no more of its work than that takes: what both share of characters, in
+    any order, bounds the ratio from above, and its first block, the longest, from below; only what neither settles is matched to the end."""
+    total = len(a) + len(b)
+    if not total or 2.0 * sum((Counter(a) & Counter(b)).values()) / total < LEAST:
+        return not total
+    matcher = SequenceMatcher(None, a, b)
+    if 2.0 * matcher.find_longest_match().size / total >= LEAST:
+        return True
+    return matcher.ratio() >= LEAST
+
+
+@F.pandas_udf(T.BooleanType())
+def _near(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else near(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
 
 
 def is_echo(source: Column, value: Column) -> Column:
@@ -22,7 +39,7 @@ def is_echo(source: Column, value: Column) -> Column:
     spoken = F.coalesce(source, F.lit("")).rlike(KANA)  # others are no echo, and none of what follows looks at them
     a, b = (normalized(F.coalesce(F.when(spoken, x), F.lit(""))) for x in (source, value))
     able = spoken & (F.length(a) >= 8) & (F.regexp_count(a, F.lit(KANA)) >= 3)
-    near = F.abs(F.length(a) - F.length(b)) <= F.greatest(F.lit(2), (F.length(a) * 0.25).cast("int"))
-    open_ = able & (a != b) & (F.regexp_count(b, F.lit(KANA)) > 0) & near
-    ratio = _ratio(F.when(open_, b), F.when(open_, a))  # in this order: from 200 characters on the matcher leaves out what is frequent in its second text
-    return F.when(~able, False).when(a == b, True).otherwise(F.coalesce(ratio >= 0.9, F.lit(False)))
+    alike = F.abs(F.length(a) - F.length(b)) <= F.greatest(F.lit(2), (F.length(a) * 0.25).cast("int"))
+    open_ = able & (a != b) & (F.regexp_count(b, F.lit(KANA)) > 0) & alike
+    copied = _near(F.when(open_, b), F.when(open_, a))  # in this order: from 200 characters on the matcher leaves out what is frequent in its second text
+    return F.when(~able, False).when(a == b, True).otherwise(F.coalesce(copied, F.lit(False)))
