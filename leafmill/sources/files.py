@@ -11,7 +11,7 @@ from email import policy
 from email.parser import BytesParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,8 +44,14 @@ def decode(data: bytes) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def decoded(data: pd.Series) -> pd.Series:
-    return pd.Series([None if d is None else decode(d) for d in data])
+def _decoded(data: pd.Series) -> pd.Series:
+    return pd.Series([None if d is None else decode(d) for d in data], dtype=object)
+
+
+def decoded(data: Column) -> Column:
+    """S7 as a column. What is UTF-8, with or without its mark, stays in the JVM; only other encodings go to Python."""
+    valid = F.try_validate_utf8(data.cast("string"))
+    return F.coalesce(F.when(F.startswith(valid, F.lit("\ufeff")), F.substring(valid, 2, 1 << 30)).otherwise(valid), _decoded(F.when(valid.isNull(), data)))
 
 
 def animated(data: bytes) -> bool:
