@@ -10,7 +10,8 @@ What a worker remembers is bounded: states (also within one piece), pieces of at
 text is worked through some matches at a time, and a long piece byte by byte.
 
 Defined results: null and empty texts encode to no tokens (decoding to no bytes); very long texts and pieces are encoded whole;
-repeated rows each get a row; an empty table gives an empty table; further columns of the input are ignored.
+repeated rows each get a row; an empty table gives an empty table; further columns of the input are ignored. A vocabulary with tokens that their own
+merges don't build is encoded by its merges, where the tiktoken library would take such a token for a whole piece; the given file has none.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ string gets a backslash after its first character (and one more if it has some a
 mark, and taking one backslash away restores it. A loss mask covers assistants' texts, neither marks nor roles.
 
 Defined results: null text or role is empty; events of equal sequence are taken in order of kind, role and text; other events than
-"message" change the turn's last message (or begin one); rows that repeat a (conversation, turn) are messages each; null conversation ids form one conversation; an empty table gives an empty table; further columns are ignored.
+"message" change the turn's last message (or begin one); rows that repeat a (conversation, turn) are messages each; null conversation ids form one conversation; very long texts are formatted whole, one at a time; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -20,7 +20,7 @@ hubs' texts are dealt over salted copies, and blocks are of bounded size.
 
 Defined results: null, empty and blank texts have no shingles and stand alone; very long texts are taken whole; a text with fewer words than a shingle has its
 whole word sequence as its one shingle; repeated texts form one class; rows that repeat an id form one row of the
-result, linked with whatever any of them is linked with, and the largest of their set sizes; null ids are left out; an empty table gives an empty table.
+result, linked with whatever any of them is linked with, and the largest of their set sizes; null ids are left out; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations

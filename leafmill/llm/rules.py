@@ -8,7 +8,7 @@ all labelled rows, a few hundred rows to the driver. The outcome is one ordered
 
 Defined results: null and empty texts have no words and every count 0 (they fail the base rule); rows count as often as
 they occur; without labels of both classes the list is empty and keeps all that the base rule keeps; the features depend on
-the text column alone, whatever other columns there are.
+the text column alone, whatever other columns there are; very long texts are counted whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
