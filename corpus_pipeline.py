@@ -38,7 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in sequences of 2048 tokens, a row each: null texts are empty, long ones several pieces, repeated rows are packed
-    as often as they occur, no documents give no rows."""
+    as often as they occur, no documents give no rows; further columns are not part of the result."""
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), split_pattern(), 2048, 0)
 
 
