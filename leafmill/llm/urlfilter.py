@@ -10,7 +10,8 @@ A level has its bits sized by the keys it encodes; level 0 is sized by the unive
 false positives as listed keys remain. So the cascade's size follows the list and the logarithm of the corpus. Filters travel as
 literals of the expression. A list whose level 0 would take more than MAX_BITS is dealt over shards by a hash of the key, each
 with a cascade of its own, and shards are asked PASS_BITS at a time: a pass takes from each url's candidates those of its shards
-that aren't listed. So lists of any size give exact verdicts; they cost passes, not accuracy.
+that aren't listed. Shards are built one by one and written to the shared folder; a pass fetches its own. So lists beyond one filter's size give exact
+verdicts and cost passes, not accuracy, and the driver holds a shard (while it is built) or a pass at a time, however many there are.
 
 Defined results: a null url, or one without "://", has empty host and path; only rules with an empty host cover it; very long urls are
 taken whole. Repeated urls are judged alike; an empty table gives an empty table; without rules every url gets the default; of two rules
@@ -24,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, passing, release
+from .common import materialize, passing, release, shared_path
 
 #: Bits that a level of a shard has about at most (8 MB), and those of all shards that one expression asks.
 MAX_BITS = 1 << 26
@@ -62,14 +63,14 @@ def shard_of(key: Column, shards: int) -> Column:
 
 
 class Cascade:
-    """Levels of (hashes, bits, words of 64 bits)."""
+    """Levels of (hashes, bits, array of 64-bit words)."""
 
-    def __init__(self, levels: list[tuple[int, int, list[int]]]):
+    def __init__(self, levels: list[tuple]):
         self.levels = levels
 
     def passes(self, key: Column, level: int) -> Column:
         hashes, size, words = self.levels[level]
-        table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folded to one literal
+        table = F.split(F.lit(",".join(map(str, words.tolist()))), ",").cast("array<bigint>")  # folded to one literal
         return F.forall(_bits(key, level, hashes, size), lambda at: F.getbit(F.get(table, F.shiftright(at, 6).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1)
 
     def listed(self, key: Column) -> Column:
@@ -87,15 +88,17 @@ def _size(n: int, bits_per_key: float) -> int:
     return max(64, 64 * math.ceil(n * bits_per_key / 64))
 
 
-def _level(keys: DataFrame, number: int, n: int, bits_per_key: float) -> tuple[int, int, list[int]]:
+def _level(keys: DataFrame, number: int, n: int, bits_per_key: float) -> tuple:
     """One filter over keys (column key): positions are set by an aggregation per 64-bit word."""
+    import numpy as np
+
     size = _size(n, bits_per_key)
     hashes = max(1, min(16, round(math.log(2) * size / max(n, 1))))
-    words = [0] * (size // 64)
+    words = np.zeros(size // 64, "i8")
     at = keys.select(F.explode(_bits(F.col("key"), number, hashes, size)).alias("at"))
     one = F.expr("shiftleft(1L, cast(pmod(at, 64) as int))")
-    for r in at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("bits")).collect():  # size / 64 rows at most
-        words[r["word"]] = r["bits"]
+    made = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()  # size / 64 rows at most
+    words[made["word"].to_numpy()] = made["bits"].to_numpy()
     return hashes, size, words
 
 
@@ -108,9 +111,11 @@ def cascade_of(keys: DataFrame, universe: DataFrame) -> Cascade:
     """The cascade of the listed keys (column key, distinct) over the universe (column key, distinct). Both are written tables.
 
     Each level halves what is left about three times over and takes a hash of its own, so levels end; their number isn't limited."""
+    import numpy as np
+
     n = keys.count()
     if not n:
-        return Cascade([(1, 64, [0])])
+        return Cascade([(1, 64, np.zeros(1, "i8"))])
     levels = [_level(keys, 0, n, bits_of(n, universe.count()))]
     # false positives of level 0; only these few are told from the listed keys by comparison
     wrong = universe.where(Cascade(levels).passes(F.col("key"), 0)).join(keys, "key", "left_anti")
@@ -133,30 +138,45 @@ def bits_of(listed: int, universe: int) -> float:
 
 
 class Filter:
-    """Cascades of all shards of a list, to be asked pass by pass."""
+    """The cascades of all shards of a list, to be asked pass by pass: a single one in memory, or a written table of several (shard, level, hashes,
+    size, words), of which the driver knows the sizes."""
 
-    def __init__(self, shards: int, cascades: dict[int, Cascade]):
-        self.shards, self.cascades = shards, cascades
+    def __init__(self, shards: int, bits: dict[int, int], cascade: Cascade | None = None, table: DataFrame | None = None):
+        self.shards, self.bits, self.cascade, self.table = shards, bits, cascade, table
 
     def passes(self) -> list[list[int]]:
         """The shards' numbers, as many at a time as PASS_BITS hold (one at least)."""
         out: list[list[int]] = []
         room = 0
-        for k, c in self.cascades.items():
-            if not out or c.bits() > room:
+        for k, bits in self.bits.items():
+            if not out or bits > room:
                 out.append([])
                 room = PASS_BITS
             out[-1].append(k)
-            room -= c.bits()
+            room -= bits
         return out
 
+    def fetched(self, among: list[int]) -> dict[int, Cascade]:
+        """The cascades of some shards, a pass's at most."""
+        import numpy as np
+
+        levels: dict[int, list] = {k: [] for k in among}
+        for r in self.table.where(F.col("shard").isin(among)).orderBy("shard", "level").toArrow().to_pylist():
+            levels[r["shard"]].append((r["hashes"], r["size"], np.frombuffer(r["words"], "<i8")))
+        return {k: Cascade(v) for k, v in levels.items()}
+
+    @property
+    def cascades(self) -> dict[int, Cascade]:
+        """All of them, to look at."""
+        return self.fetched(list(self.bits)) if self.cascade is None else {0: self.cascade}
+
     def listed(self, key: Column, among: list[int]) -> Column:
         """Whether a key of one of these shards is listed; true for keys of others, which another pass asks."""
-        if self.shards == 1:
-            return self.cascades[0].listed(key)
+        if self.cascade is not None:
+            return self.cascade.listed(key)
         shard, out = shard_of(key, self.shards), F.lit(True)
-        for k in among:
-            out = F.when(shard == k, self.cascades[k].listed(key)).otherwise(out)
+        for k, cascade in self.fetched(among).items():
+            out = F.when(shard == k, cascade.listed(key)).otherwise(out)
         return out
 
 
@@ -165,9 +185,16 @@ def filter_of(keys: DataFrame, universe: DataFrame) -> Filter:
     n, total = keys.count(), universe.count()
     shards = max(1, math.ceil(1.1 * _size(n, bits_of(n, total)) / MAX_BITS))  # hashed shards are not quite equal
     if shards == 1:
-        return Filter(1, {0: cascade_of(keys, universe)})
-    part = lambda t, k: t.where(shard_of(F.col("key"), shards) == k)
-    return Filter(shards, {k: cascade_of(part(keys, k), part(universe, k)) for k in range(shards)})
+        cascade = cascade_of(keys, universe)
+        return Filter(1, {0: cascade.bits()}, cascade)
+    spark, bits, path = keys.sparkSession, {}, shared_path(keys.sparkSession, "shards")
+    schema = "shard int, level int, hashes int, size long, words binary"
+    for k in range(shards):
+        cascade = cascade_of(*(t.where(shard_of(F.col("key"), shards) == k) for t in (keys, universe)))
+        rows = [(k, level, hashes, size, bytearray(words.astype("<i8").tobytes())) for level, (hashes, size, words) in enumerate(cascade.levels)]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
+        bits[k] = cascade.bits()
+    return Filter(shards, bits, table=spark.read.schema(schema).parquet(path))
 
 
 def left_of(asked: DataFrame, wanted: Filter) -> DataFrame:
