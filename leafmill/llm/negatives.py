@@ -24,6 +24,7 @@ gives an empty table; further columns are ignored.
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ from pyspark.sql.window import Window
 from .common import join_one, materialize, passing, release
 
 #: Rows of a block and components of its vectors, points of a leaf, queries that meet a block at once.
-BLOCK, BLOCK_CELLS, LEAF, DEAL = 4096, 1 << 22, 64, 1024
+BLOCK, BLOCK_CELLS, LEAF, DEAL = 4096, 1 << 22, 256, 1024
 #: Points that the top tree is built on at most, their components, and how many it needs for a cell.
 SAMPLE, SAMPLE_CELLS, PER_CELL = 4096, 1 << 20, 8
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -385,7 +386,8 @@ class Tree:
         self.codes = {s: k for k, s in enumerate(dict.fromkeys(labels))}
         self.labels = np.array([self.codes[s] for s in labels], "i8")
         self.x = flat("flat_").astype("i8").reshape(len(self.ids), row["dim_"][0].as_py())
-        self.nodes, self.ends = flat("shape_").reshape(-1, 5), flat("ends_").reshape(-1, 4)
+        self.nodes, self.ends = flat("shape_").reshape(-1, 5), flat("ends_").reshape(-1, 4).tolist()
+        self.steps = self.nodes.tolist()
 
     def first(self, queries) -> list[tuple]:
         """(q, id, score) of each query's first rows here; queries of one anchor follow each other."""
@@ -403,20 +405,21 @@ class Tree:
             if a != last:
                 last, leaves = a, {}
             code = self.codes.get(label, -1)
-            out += [(number, i, s) for s, i in self._one(q[row : row + 1], norm2[row], dist[row], leaves, qid, code, same, k, lo, hi, cut)]
+            out += [(number, i, s) for s, i in self._one(q[row : row + 1], float(norm2[row]), dist[row].tolist(), leaves, qid, code, same, k, lo, hi, cut)]
         return out
 
-    def _one(self, q, norm2, dist, leaves: dict, qid: int, code: int, same: bool, k: int, lo: int, hi: int, cut: int) -> list[tuple]:
+    def _one(self, q, norm2: float, dist: list, leaves: dict, qid: int, code: int, same: bool, k: int, lo: int, hi: int, cut: int) -> list[tuple]:
         import numpy as np
 
         best: list[tuple] = []  # (-score, id), rising
         worst = max(lo, cut)  # rows below it are of no use
+        both, slack = norm2 + self.sphere.m2, 1e-7 * (math.sqrt(norm2) + math.sqrt(self.sphere.m2))  # as Sphere.score_range has it
         heap = [(float("-inf"), 0, 0.0, float("inf"))]  # nodes by the highest score within the window that they can hold
         while heap:
             top, node, near, far = heapq.heappop(heap)
             if -top < worst:
                 break
-            a, b, _, left, right = self.nodes[node].tolist()
+            a, b, _, left, right = self.steps[node]
             if left < 0:
                 if node not in leaves:
                     leaves[node] = scores(q, self.x[a:b])[0]
@@ -430,7 +433,7 @@ class Tree:
             d, ends = dist[node], self.ends[node]
             for child, least, greatest in ((left, ends[0], ends[1]), (right, ends[2], ends[3])):
                 n, f = max(near, d - greatest, least - d), min(far, d + greatest)
-                low, high = self.sphere.score_range(norm2, n, f)
+                low, high = (both - (f + slack) ** 2) / 2 - 1, (both - max(n - slack, 0.0) ** 2) / 2 + 1
                 if high >= worst and low <= hi:
                     heapq.heappush(heap, (-min(high, hi), child, n, f))
         return [(-s, i) for s, i in best]
