@@ -1,10 +1,14 @@
 """What a Python worker holds of a batch besides what comes and goes."""
 
+import random
 import tracemalloc
 
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
+from leafmill.operators import chunking
 from leafmill.sources import files
 
 
@@ -29,3 +33,13 @@ def test_a_batch_is_decoded_in_bounded_memory():
         tracemalloc.stop()
     assert got.to_pylist() == [None if i % 7 == 0 else t for i, t in enumerate(texts)]
     assert peak < 20e6  # texts alone are 30 MB as strings; Arrow's own memory is not counted
+
+
+@pytest.mark.parametrize("limit", [1, 2, 3, 7, 20, 1200])
+def test_pieces_are_cut_in_the_jvm(spark, limit):
+    r = random.Random(limit)
+    texts = ["", None, "x" * limit, "x" * (limit + 1), "𠀀" * (3 * limit + 1), "a\u2028" * 2 * limit, "]^-&&[\\" * limit]
+    texts += ["".join(r.choice(letters) for _ in range(r.randrange(6 * limit))) for letters in ("ab", "ab。 ", "ab\n\r\x85\x1c", "𠀀a’", "字\u3000", "a" * 500 + "…") for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", chunking.split_long(F.col("t"), limit).alias("p"))
+    assert dict(df.collect()) == {i: None if t is None else chunking.cuts(t, limit) for i, t in enumerate(texts)}
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
