@@ -1,6 +1,7 @@
 """What a Python worker holds of a batch besides what comes and goes."""
 
 import random
+import re
 import tracemalloc
 
 import pyarrow as pa
@@ -8,6 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from leafmill import queries as library
 from leafmill.operators import chunking
 from leafmill.sources import files
 
@@ -43,3 +45,9 @@ def test_pieces_are_cut_in_the_jvm(spark, limit):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", chunking.split_long(F.col("t"), limit).alias("p"))
     assert dict(df.collect()) == {i: None if t is None else chunking.cuts(t, limit) for i, t in enumerate(texts)}
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["c9_new_cache_lines", "l1_translate_texts", "w2_batches"])
+def test_whole_texts_stay_in_the_jvm(spark, name):
+    plan = library.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and set(re.findall(r"\b(_\w+)\((?=[^)]*\)#)", plan)) <= {"_judged"}
