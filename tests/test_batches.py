@@ -1,15 +1,18 @@
 """What a Python worker holds of a batch besides what comes and goes."""
 
+import hashlib
 import random
 import re
 import tracemalloc
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
 from leafmill import queries as library
+from leafmill.functions import echo
 from leafmill.operators import chunking
 from leafmill.sources import files
 
@@ -51,3 +54,16 @@ def test_pieces_are_cut_in_the_jvm(spark, limit):
 def test_whole_texts_stay_in_the_jvm(spark, name):
     plan = library.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" in plan and set(re.findall(r"\b(_\w+)\((?=[^)]*\)#)", plan)) <= {"_judged"}
+
+
+def test_the_offline_model_leaves_the_matcher_no_text(spark, tmp_path, monkeypatch):
+    """So what Python holds for c9 doesn't grow with texts, whatever they are: those with kana have an answer without any."""
+    texts = [f"{i}" + "これはとても長い文章です。カナ、漢字" * n for i, n in enumerate((1, 2, 9, 70, 400) * 4)] + ["plain", "かな", "ー" * 30]
+    pd.DataFrame({"doc_id": range(len(texts)), "text": texts}).to_parquet(tmp_path / "documents.parquet")
+    monkeypatch.setattr(echo, "_judged", lambda x: F.when(x["a"].isNotNull(), F.raise_error(F.lit("left open")).cast("boolean")).otherwise(x["known"]))
+    found = library.queries()["c9_new_cache_lines"](spark, str(tmp_path))
+    asked = [t for i, t in enumerate(texts) if i % 4]
+    assert sorted(r["k"] for r in found.collect()) == sorted(hashlib.md5(f"t5|zh|{t}".encode()).hexdigest() for t in asked)
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="left open"):  # else the test would see nothing
+        spark.createDataFrame([(texts[1], texts[1] + "あ")], "t string, o string").select(echo.is_echo(F.col("t"), F.col("o"))).collect()
